@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pulseloom.functions.common import broadcast_if_small, is_number, latest, load
 from pulseloom.llm import percentiles as sketch
 from pulseloom.llm.collapse_runs import collapse_runs
+from pulseloom.llm.language import find_languages
 from pulseloom.llm.leakage import find_leaks
 from pulseloom.llm.nearest_time import match_nearest_time
 from pulseloom.llm.packing import count_tokens, pack_items
@@ -196,8 +197,19 @@ def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_item"), "doc_id", "text", "item_id", "passage")
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = p9_languages(spark, sf_dir)
+    right = (F.col("n_languages") == 1) & F.col("label").eqNullSafe(F.col("lang"))
+    return found.where(~right).select("doc_id", "lang")
+
+
+def p9_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of every message with their shares, confidences and parts, beside what the label says."""
+    return find_languages(load(spark, sf_dir, "documents"), "doc_id", "text", "lang")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p3_found, p3_runs, p5_percentiles, p5_bound_check, p7_containers, p7_fill, p8_found, p8_leaks)}
+    return {f.__name__: f for f in (p1_found, p3_found, p3_runs, p5_percentiles, p5_bound_check, p7_containers, p7_fill, p8_found, p8_leaks, p9_found, p9_languages)}
 
 
 def oracle_sql() -> dict[str, str]:
