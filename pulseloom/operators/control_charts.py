@@ -62,27 +62,41 @@ def _runs(x: np.ndarray) -> np.ndarray:
     return end - start + 1
 
 
-def usual_height(x: np.ndarray, valid: np.ndarray, rate: np.ndarray, window_sec: float) -> np.ndarray:
-    """Trough-to-peak height of each row from a chart over its windows' heights; NaN where there is no window."""
-    heights = np.full(len(x), np.nan)
-    for fs in np.unique(rate):
-        rows = np.flatnonzero(rate == fs)
-        width = max(2, int(round(window_sec * fs)))
-        k = x.shape[1] // width
-        if not k:
-            continue
-        cube = np.where(valid[rows, : k * width], x[rows, : k * width], np.nan).reshape(len(rows), k, width)
-        there = np.isfinite(cube).sum(2) > width // 2
-        tall = np.where(there, np.nanmax(np.where(there[..., None], cube, 0), axis=2) - np.nanmin(np.where(there[..., None], cube, 0), axis=2), np.nan)
-        have = there.any(1)
-        if not have.any():
-            continue
-        rows, tall, there = rows[have], tall[have], there[have]
+def window_heights(x: np.ndarray, use: np.ndarray, width: int) -> np.ndarray:
+    """Trough-to-peak height of each row's windows; NaN where less than half of a window is there."""
+    k = x.shape[1] // width
+    cube, there = (a[:, : k * width].reshape(len(x), k, width) for a in (x, use))
+    tall = np.where(there, cube, -np.inf).max(2) - np.where(there, cube, np.inf).min(2)
+    return np.where(there.sum(2) > width // 2, tall, np.nan)
+
+
+def usual_height(heights: np.ndarray) -> np.ndarray:
+    """Usual height of each row from a chart over its windows' heights; NaN where there is no window."""
+    there = np.isfinite(heights)
+    usual = np.full(len(heights), np.nan)
+    rows = np.flatnonzero(there.any(1))
+    if len(rows):
+        tall, there = heights[rows], there[rows]
         middle = np.nanmedian(tall, axis=1)
         spread = np.nanmedian(np.abs(tall - middle[:, None]), axis=1)
         _, level = clipped_chart(np.where(there, tall, 0), there, 0.1, 2.0, middle, np.maximum(spread, 1e-3 * middle))
-        heights[rows] = np.median(level, axis=1)
-    return heights
+        usual[rows] = np.median(level, axis=1)
+    return usual
+
+
+def stand_out(values: np.ndarray, broke: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Runs of one to three readings between two steps that broke the limits: (their positions, how far they stand out).
+
+    The distance is that of the run's nearest reading from the nearer of the readings before and after, on one side.
+    """
+    out = []
+    for n in (1, 2, 3):
+        i = np.flatnonzero(broke[1:-n] & broke[1 + n :]) + 1 if len(values) > n + 1 else np.zeros(0, int)
+        if len(i):
+            at = i[:, None] + np.arange(n)
+            run, a, b = values[at], values[i - 1], values[i + n]
+            out.append((at, np.maximum(run.min(1) - np.maximum(a, b), np.minimum(a, b) - run.max(1))))
+    return out
 
 
 def flag_matrix(x: np.ndarray, rate: np.ndarray, spike_factor: np.ndarray, *, physical_limit: float, held_sec: float, window_sec: float, weight: float, limit: float) -> list[tuple[np.ndarray, np.ndarray, str]]:
@@ -107,22 +121,29 @@ def flag_matrix(x: np.ndarray, rate: np.ndarray, spike_factor: np.ndarray, *, ph
     if some.any():
         scale[some] = np.nanmedian(moving[some], axis=1)
     beyond, _ = clipped_chart(step, valid, weight, limit, np.zeros(len(x)), scale)
-    height = usual_height(x, valid, rate, window_sec)
-
-    for row in np.flatnonzero(beyond.any(1) & np.isfinite(height) & (height > 0)):
-        at = np.flatnonzero(valid[row])
-        values, broke = x[row, at], beyond[row, at]
-        least = spike_factor[row] * height[row]
-        marked = np.zeros(len(at), bool)
-        for n in (1, 2, 3):
-            i = np.flatnonzero(broke[1:-n] & broke[1 + n :]) + 1 if len(at) > n + 1 else np.zeros(0, int)
-            if not len(i):
+    for fs in np.unique(rate):
+        rows = np.flatnonzero(rate == fs)
+        width = max(2, int(round(window_sec * fs)))
+        use = valid[rows]
+        first = window_heights(x[rows], use, width)
+        runs = {}
+        for k, row in enumerate(rows):
+            tall = first[k][first[k] > 0]
+            if not len(tall) or not beyond[row].any():
                 continue
-            run = values[i[:, None] + np.arange(n)]
-            a, b = values[i - 1], values[i + n]
-            over = (run.min(1) - np.maximum(a, b) >= least) | (np.minimum(a, b) - run.max(1) >= least)
-            marked[(i[over, None] + np.arange(n)).ravel()] = True
-        out.append((np.full(marked.sum(), row), at[marked], SPIKE))
+            at = np.flatnonzero(valid[row])
+            runs[k] = (at, stand_out(x[row, at], beyond[row, at]))
+            # readings that stand out much are left out of the heights, so that many spikes don't raise what is usual
+            much = 0.5 * spike_factor[row] * np.quantile(tall, 0.25)
+            for places, far in runs[k][1]:
+                use[k, at[places[far >= much]]] = False
+        usual = usual_height(window_heights(x[rows], use, width)) if runs else np.zeros(len(rows))
+        for k, (at, found) in runs.items():
+            marked = np.zeros(len(at), bool)
+            for places, far in found:
+                if usual[k] > 0:
+                    marked[places[far >= spike_factor[rows[k]] * usual[k]].ravel()] = True
+            out.append((np.full(marked.sum(), rows[k]), at[marked], SPIKE))
     return out
 
 

@@ -14,8 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from pulseloom.functions.common import quoted
 from pulseloom.functions.kernels import tallest_first
-from pulseloom.operators.moving import _number, framed, moving_mean, smooth, window_sum
-from pulseloom.operators.runs import cluster_by_gap
+from pulseloom.operators.moving import _number, framed, smooth_and_level, window_sum
 
 
 def local_maxima(df: DataFrame, keys: list[str], position: str, value: str) -> DataFrame:
@@ -77,10 +76,10 @@ def weighted_vote(votes: DataFrame, keys: list[str], position: str, weight: str,
 
     A candidate stands at its tallest vote (the earliest of equals). Chains of close votes are one candidate.
     """
-    islands = cluster_by_gap(votes, keys, position, reach).select(*map(quoted, keys), "cluster_no", F.col("first").alias("__low"))
-    w = Window.partitionBy(*map(quoted, keys)).orderBy(quoted(position)).rangeBetween(Window.unboundedPreceding, 0)
-    starts = votes.join(islands.withColumnRenamed("__low", position).withColumn("__starts", F.lit(1)), [*keys, position], "left")
-    numbered = starts.withColumn("__no", F.max("cluster_no").over(w)).drop("cluster_no", "__starts")
+    w = Window.partitionBy(*map(quoted, keys)).orderBy(quoted(position))
+    far = F.coalesce((quoted(position) - F.lag(quoted(position)).over(w) > reach).cast("int"), F.lit(1))
+    numbered = votes.where(quoted(position).isNotNull()).withColumn("__far", far)
+    numbered = numbered.withColumn("__no", F.sum("__far").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     agreed = numbered.groupBy(*map(quoted, keys), F.col("__no").alias("candidate")).agg(
         F.max(F.struct(quoted(height).alias("h"), (-quoted(position)).alias("p"))).alias("__top"), F.round(F.sum(quoted(weight)), 9).alias("votes")
     )
@@ -105,9 +104,9 @@ def run_extrema(df: DataFrame, keys: list[str], position: str, value: str, mask:
 
 def pulse_valleys_and_peaks(df: DataFrame, keys: list[str], position: str, value: str, *, smooth_width: int, mean_width: int) -> DataFrame:
     """Valleys and peaks of a pulse wave: extrema of the runs below and above the moving mean of the smoothed signal."""
-    even = smooth(df, keys, position, value, smooth_width, 3, out="__smooth")
-    level = moving_mean(even, keys, position, "__smooth", mean_width, out="__level")
-    masked = level.withColumn("__above", F.col("__smooth") > F.col("__level"))
+    own = df.select(*map(quoted, keys), quoted(position), quoted(value))
+    level = smooth_and_level(own, keys, position, value, smooth_width=smooth_width, mean_width=mean_width)
+    masked = level.withColumn("__above", F.col("smooth") > F.col("level"))
     return run_extrema(masked, keys, position, value, "__above")
 
 

@@ -2,7 +2,8 @@
 
 Frames reach over positions, not rows, so missing samples leave holes instead of shifting the frame. A channel is cut
 into stretches of positions with just the overlap that the frame needs; a long channel is therefore many window
-partitions, each of bounded size. Frames shrink at a channel's ends. Null and NaN samples are skipped.
+partitions, each of bounded size. Frames shrink at a channel's ends. Null, NaN and infinite
+samples are skipped.
 """
 
 from __future__ import annotations
@@ -43,13 +44,35 @@ def _reach(k: int) -> tuple[int, int]:
 
 
 def _number(value: str) -> Column:
-    return F.nanvl(quoted(value).cast("double"), F.lit(None).cast("double"))
+    number = quoted(value).cast("double")
+    return F.when(F.abs(number) < float("inf"), number)  # NaN counts as larger than infinity
+
+
+def _total(source: Column, frame: Callable[[int, int], WindowSpec], low: int, high: int, count: bool = False) -> Column:
+    """Sum or count over the frame from ``low`` to ``high`` as the difference of two running ones, so its cost doesn't grow with the frame."""
+    running = lambda upto: F.coalesce((F.count if count else F.sum)(source).over(frame(Window.unboundedPreceding, upto)), F.lit(0))
+    return running(high) - running(low - 1)
+
+
+def _mean_over(rows: DataFrame, frame: Callable[[int, int], WindowSpec], source: Column, before: int, after: int, out: str) -> DataFrame:
+    n = _total(source, frame, -before, after, count=True)
+    return rows.withColumn(out, F.when(n > 0, _total(source, frame, -before, after) / n))
+
+
+def _smooth_over(rows: DataFrame, frame: Callable[[int, int], WindowSpec], source: Column, width: int, passes: int, tolerance: float, out: str) -> DataFrame:
+    half, least = width // 2, max(width * (1 - tolerance), 1)
+    frames = [(-half, half)] if width % 2 else [(-half, half - 1), (1 - half, half)]
+    for _ in range(passes):
+        total, weight = (sum((_total(source, frame, *f, count=c) for f in frames), F.lit(0)) / len(frames) for c in (False, True))
+        rows = rows.withColumn(out, F.when(weight >= least, total / weight))
+        source = F.col(out)
+    return rows
 
 
 def moving_mean(df: DataFrame, keys: list[str], position: str, value: str, k: int, out: str = "moving_mean") -> DataFrame:
     """Mean over a centred frame of ``k`` positions."""
     before, after = _reach(k)
-    return framed(df, keys, position, before, after, lambda rows, frame, _: rows.withColumn(out, F.avg(_number(value)).over(frame(-before, after))))
+    return framed(df, keys, position, before, after, lambda rows, frame, _: _mean_over(rows, frame, _number(value), before, after, out))
 
 
 def moving_std(df: DataFrame, keys: list[str], position: str, value: str, k: int, out: str = "moving_std") -> DataFrame:
@@ -64,24 +87,20 @@ def smooth(df: DataFrame, keys: list[str], position: str, value: str, width: int
     The ends of an even frame weigh one half. A position's result is null where the samples there weigh less than
     ``width * (1 - tolerance)``, at least 1.
     """
-    half, even = width // 2, width % 2 == 0
-    least = max(width * (1 - tolerance), 1)
+    reach = passes * (width // 2)
+    return framed(df, keys, position, reach, reach, lambda rows, frame, _: _smooth_over(rows, frame, _number(value), width, passes, tolerance, out))
+
 
-    def one(rows: DataFrame, frame: Callable[[int, int], WindowSpec], source: Column) -> DataFrame:
-        if even:
-            total = sum((F.coalesce(F.sum(source).over(frame(*f)), F.lit(0.0)) for f in ((-half, half - 1), (1 - half, half))), F.lit(0.0)) / 2
-            weight = sum((F.count(source).over(frame(*f)) for f in ((-half, half - 1), (1 - half, half))), F.lit(0)) / 2
-        else:
-            total, weight = F.sum(source).over(frame(-half, half)), F.count(source).over(frame(-half, half))
-        return rows.withColumn(out, F.when(weight >= least, total / weight))
+def smooth_and_level(df: DataFrame, keys: list[str], position: str, value: str, *, smooth_width: int, mean_width: int) -> DataFrame:
+    """Add ``smooth`` (three passes of ``smooth_width``) and its moving mean ``level`` over ``mean_width`` in one layout."""
+    before, after = _reach(mean_width)
+    reach = 3 * (smooth_width // 2)
 
     def add(rows: DataFrame, frame: Callable[[int, int], WindowSpec], _: WindowSpec) -> DataFrame:
-        rows = one(rows, frame, _number(value))
-        for _pass in range(passes - 1):
-            rows = one(rows, frame, F.col(out))
-        return rows
+        rows = _smooth_over(rows, frame, _number(value), smooth_width, 3, 0.5, "smooth")
+        return _mean_over(rows, frame, F.col("smooth"), before, after, "level")
 
-    return framed(df, keys, position, passes * half, passes * half, add)
+    return framed(df, keys, position, reach + before, reach + after, add)
 
 
 def window_sum(df: DataFrame, keys: list[str], position: str, value: str, width: int, out: str = "window_sum") -> DataFrame:
@@ -204,11 +223,12 @@ def step_outliers(df: DataFrame, keys: list[str], position: str, value: str, mul
     joined = stepped.join(spread, same, "left").drop(*(f"__k{i}" for i in range(len(keys))))
 
     def mark(rows: DataFrame, frame: Callable[[int, int], WindowSpec], order: WindowSpec) -> DataFrame:
-        off = F.col("__step") - F.avg("__step").over(frame(-before, after))
+        rows = _mean_over(rows, frame, F.col("__step"), before, after, "__mean")
+        off = F.col("__step") - F.col("__mean")
         bound = F.col("__std") * multiplier
         wrong = {"upper": off > bound, "lower": off < -bound, "both": F.abs(off) > bound}[direction]
         rows = rows.withColumn("__wrong", F.coalesce(wrong, F.lit(False)))
-        return rows.withColumn(out, F.col("__wrong") | F.coalesce(F.lag("__wrong").over(order), F.lit(False))).drop("__wrong")
+        return rows.withColumn(out, F.col("__wrong") | F.coalesce(F.lag("__wrong").over(order), F.lit(False))).drop("__wrong", "__mean")
 
     return framed(joined, keys, position, before + 2, after + 1, mark).drop("__step", "__std")
 

@@ -106,7 +106,7 @@ def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     return done.select("event_type", F.unix_timestamp("window_start").alias("window_start"), "n", rounded("total", 4).alias("total"), rounded("least").alias("least"), rounded("largest").alias("largest"))
 
 
-STREAM_SQL = """SELECT event_type, (epoch(ts)::BIGINT // 3600) * 3600 AS window_start, count(*) AS n, round(sum(value), 4) AS total, round(min(value), 6) AS least, round(max(value), 6) AS largest
+STREAM_SQL = """SELECT event_type, floor(epoch(ts) / 3600)::BIGINT * 3600 AS window_start, count(*) AS n, round(sum(value), 4) AS total, round(min(value), 6) AS least, round(max(value), 6) AS largest
 FROM events GROUP BY ALL"""
 
 

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def tumbling_statistics(events: DataFrame, keys: list[str], time: str, value: str, width: str, delay: str) -> DataFrame:
@@ -51,5 +52,5 @@ def run_to_table(stream: DataFrame, path: str, ids: list[str], *, mode: str = "u
     query.awaitTermination()
     rest = [c for c in stream.columns if c not in ids]
     # a stream without any row writes nothing: the schema is given, and files are found by pattern
-    kept = spark.read.schema(stream.schema.add("__batch", "int")).option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(path)
+    kept = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("__batch", T.IntegerType())])).option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(path)
     return kept.groupBy(*ids).agg(F.max(F.struct("__batch", *rest)).alias("row")).select(*ids, *(F.col("row")[c].alias(c) for c in rest))
