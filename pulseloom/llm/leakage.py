@@ -1,7 +1,8 @@
 """Finding evaluation passages that leaked, wholly or partly, into a corpus.
 
-Every stretch of ``run_words`` words of a passage is represented by the rarest of its n-grams, counted over the whole
-corpus; so a text that shares any such stretch shares a seed, and frequent phrases seed nothing they needn't. Seeds
+Every stretch of ``run_words`` words of a passage is represented by the rarest of its n-grams that the corpus has,
+counted over the whole corpus; so a text that shares any such stretch shares a seed, edited copies share some, and
+frequent phrases seed nothing they needn't. Seeds
 are joined with the corpus' n-grams, and each (document, item) pair so found is scored by a Smith-Waterman alignment
 over words, which also yields the longest common run. The items are a stated query set: they are taken in blocks whose
 word lists are small enough for every task; the corpus is never gathered.
@@ -147,14 +148,15 @@ def _block(corpus: DataFrame, wanted: DataFrame, n: int, run_words: int) -> Data
     counts = np.zeros(len(grams), np.int64)  # at most as many as the block's n-grams
     for row in hits.select(F.explode(F.array_distinct("gram")).alias("gram")).groupBy("gram").count().toLocalIterator():
         counts[row["gram"]] = row["count"]
+    cost = np.where(counts > 0, counts, np.iinfo(np.int64).max)  # what no text has can seed nothing
     seeds: set[tuple[int, int, int]] = set()
     for k, own in enumerate(keys):
-        if not len(own):
-            continue
         place = np.searchsorted(grams, own)
-        for at in range(max(1, len(own) - (run_words - n))):
+        for at in range(max(1, len(own) - (run_words - n)) if len(own) else 0):
             stretch = place[at : at + run_words - n + 1]
-            seeds.add((int(stretch[np.argmin(counts[stretch])]), k, at + int(np.argmin(counts[stretch]))))
+            rarest = int(np.argmin(cost[stretch]))
+            if counts[stretch[rarest]]:
+                seeds.add((int(stretch[rarest]), k, at + rarest))
     seed_table = spark.createDataFrame(sorted(seeds), "gram int, k int, item_at int")
     places = hits.select("id", F.explode(F.arrays_zip("at", "gram")).alias("hit")).select("id", F.col("hit.at").alias("at"), F.col("hit.gram").alias("gram"))
     pairs = places.join(broadcast_if_small(seed_table), "gram").groupBy("id", "k").agg(F.collect_set(F.col("at") - F.col("item_at")).alias("shifts"))
