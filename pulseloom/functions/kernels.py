@@ -40,25 +40,19 @@ def butterworth(order: int, cutoff: float | tuple[float, float], fs: float, kind
         low, high = warp(cutoff[0]), warp(cutoff[1])
         half, centre = poles * (high - low) / 2, low * high
         poles = np.concatenate([half + np.sqrt(half**2 - centre), half - np.sqrt(half**2 - centre)])
-        zeros = np.zeros(order)
         reference = np.sqrt(centre)
     else:
         edge = warp(cutoff)
         poles = poles * edge if kind == "low" else edge / poles
-        zeros = np.zeros(0) if kind == "low" else np.zeros(order)
         reference = 0.0 if kind == "low" else np.inf
-    to_z = lambda s: (2 * fs + s) / (2 * fs - s)
-    zp = to_z(poles)
-    zz = np.concatenate([to_z(zeros), -np.ones(len(poles) - len(zeros))])
-    zz = np.sort_complex(zz)
-    zp = zp[np.argsort(np.abs(np.angle(zp)) + 1e-9 * np.angle(zp))]
-    if kind == "band":  # each section gets a zero at 1 and one at -1
-        zz = np.ravel(np.column_stack([zz[: len(zz) // 2], zz[len(zz) // 2 :]]))
-    sections = []
+    zp = (2 * fs + poles) / (2 * fs - poles)
+    upper, real = zp[zp.imag > 1e-12], np.sort(zp[np.abs(zp.imag) <= 1e-12].real)
+    pairs = [np.array([p, p.conj()]) for p in upper] + [real[k : k + 2].astype(complex) for k in range(0, len(real), 2)]
     point = np.exp(2j * np.arctan(reference / (2 * fs))) if np.isfinite(reference) else -1.0
-    for i in range(0, len(zp), 2):
-        b, a = np.real(np.poly(zz[i : i + 2])), np.real(np.poly(zp[i : i + 2]))
-        b, a = np.pad(b, (0, 3 - len(b))), np.pad(a, (0, 3 - len(a)))
+    sections = []
+    for pair in pairs:
+        ends = {"low": [-1.0, -1.0], "high": [1.0, 1.0], "band": [1.0, -1.0]}[kind][: len(pair)]
+        b, a = (np.pad(np.real(np.poly(r)), (0, 2 - len(pair))) for r in (ends, pair))
         powers = point ** -np.arange(3)
         gain = abs((a * powers).sum() / (b * powers).sum())
         sections.append(np.concatenate([b * gain, a[1:]]))

@@ -14,7 +14,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from pulseloom.functions.common import quoted
 from pulseloom.functions.kernels import tallest_first
-from pulseloom.operators.moving import _number, framed, smooth_and_level, window_sum
+from pulseloom.operators.moving import _number, _total, framed, regularity, smooth_and_level, window_sum
+from pulseloom.operators.runs import cluster_by_gap
 
 
 def local_maxima(df: DataFrame, keys: list[str], position: str, value: str) -> DataFrame:
@@ -132,6 +133,64 @@ def energy_regions(df: DataFrame, keys: list[str], position: str, value: str, *,
     return found.select(*map(quoted, keys), "region", "low", "high", (-F.col("__top.p")).alias(position), F.col("__top.v").alias(value))
 
 
+def slope_sum_onsets(df: DataFrame, keys: list[str], position: str, value: str, *, width: int, level: float = 0.6) -> DataFrame:
+    """Onsets of pulses: where the sum of the rises of the last ``width`` positions passes ``level`` times its mean upwards.
+
+    Returns keys, onset (the lowest sample of the ``width`` positions up to the crossing; equal ones: the earliest) and crossing.
+    """
+
+    def rises(rows: DataFrame, frame, order) -> DataFrame:
+        step = _number(value) - F.lag(_number(value)).over(order)
+        rows = rows.withColumn("__rise", F.greatest(F.coalesce(step, F.lit(0.0)), F.lit(0.0)))
+        rows = rows.withColumn("__sum", F.round(_total(F.col("__rise"), frame, 1 - width, 0), 9))
+        lowest = F.min(F.when(_number(value).isNotNull(), F.struct(_number(value).alias("v"), quoted(position).alias("p"))))
+        return rows.withColumns({"__before": F.lag("__sum").over(order), "__low": lowest.over(frame(-width, 0))})
+
+    summed = framed(df, keys, position, width + 1, 0, rises)
+    mean = summed.groupBy(*map(quoted, keys)).agg(F.round(F.avg("__sum") * level, 9).alias("__least"))
+    crossing = summed.join(mean, keys).where((F.col("__sum") > F.col("__least")) & (F.col("__before") <= F.col("__least")))
+    return crossing.select(*map(quoted, keys), F.col("__low.p").alias("onset"), quoted(position).alias("crossing"))
+
+
+def regular_spans(df: DataFrame, keys: list[str], position: str, value: str, *, short: int, long: int, low: float, high: float, patch: int, least: int, most: int) -> DataFrame:
+    """Spans of good signal: where its regularity lies within (low, high).
+
+    Gaps of at most ``patch`` positions are patched, spans under ``least`` positions dropped and longer ones cut into
+    spans of ``most``. Returns keys, low, high (both inclusive).
+    """
+    from pulseloom.operators.intervals import split_at_bins
+
+    good = regularity(df, keys, position, value, short, long).where((F.col("regularity") > low) & (F.col("regularity") < high))
+    spans = cluster_by_gap(good, keys, position, patch).where(F.col("last") - F.col("first") + 1 >= least)
+    cut = split_at_bins(spans.select(*map(quoted, keys), F.col("first").alias("from"), F.lit(0).cast("bigint").alias("low"), (F.col("last") - F.col("first") + 1).alias("high")), "low", "high", most)
+    return cut.select(*map(quoted, keys), (F.col("from") + F.col("low")).alias("low"), (F.col("from") + F.col("high") - 1).alias("high"))
+
+
+def filter_channels(df: DataFrame, ids: list[str], samples: str, rate: str, cutoff: float | tuple[float, float], *, kind: str = "band", order: int = 3) -> DataFrame:
+    """Zero-phase Butterworth filter of array channels: ids, rate and the filtered samples; missing samples are held.
+
+    Null and very short channels (under ten samples) are dropped; an upper cutoff is lowered to 0.45 of a slow channel's rate.
+    """
+    from pulseloom.functions import kernels
+
+    rows = df.where((F.size(samples) >= 10) & (quoted(rate) > 0)).select(*map(quoted, ids), quoted(rate).cast("double").alias(rate), quoted(samples).alias(samples))
+    schema = T.StructType([*rows.drop(samples).schema.fields, T.StructField(samples, T.ArrayType(T.DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list = [None] * batch.num_rows
+            rates = batch.column(rate).to_numpy()
+            for fs in np.unique(rates):
+                edge = tuple(min(c, 0.45 * fs) for c in cutoff) if isinstance(cutoff, tuple) else min(cutoff, 0.45 * fs)
+                sections = kernels.butterworth(order, edge, fs, kind)
+                for i in np.flatnonzero(rates == fs):
+                    x = np.asarray(batch.column(samples)[int(i)].values.to_numpy(zero_copy_only=False), float)[None]
+                    out[i] = kernels.zero_phase(kernels.held(x), sections)[0]
+            yield pa.record_batch([*(batch.column(c) for c in ids), batch.column(rate), pa.array(out, pa.list_(pa.float64()))], names=[*ids, rate, samples])
+
+    return rows.mapInArrow(run, schema)
+
+
 def steepest(df: DataFrame, keys: list[str], position: str, value: str) -> DataFrame:
     """Position and size of each entity's steepest rise and fall between neighbouring samples; equal steps: the earliest."""
 

@@ -75,6 +75,61 @@ def beat_shapes(beats: DataFrame, keys: list[str], value: str, *, levels: tuple[
     return done.withColumns({"rise_offset": -F.col("__rise.p"), "fall_offset": -F.col("__fall.p")}).drop("__rise", "__fall")
 
 
+def beat_landmarks(beats: DataFrame, keys: list[str], value: str, *, least: int = 4) -> DataFrame:
+    """Foot, notch and diastolic peak of each beat of long-form samples (keys, beat_no, offset, value).
+
+    The foot is the sample before the peak that lies furthest below the line from the begin to the peak, the notch the
+    one after the peak that lies furthest below the line from the peak to the end (null unless below it), ``fall_1`` and
+    ``fall_2`` the steepest falls between peak and notch and after the notch, and the diastolic peak the largest sample
+    from the notch to ``fall_2``. Equally good samples: the earliest. Beats of fewer than ``least`` samples are dropped.
+    """
+    by = [*map(quoted, keys), F.col("beat_no")]
+    whole, order = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("offset")
+    v, o = F.col("__v"), F.col("offset")
+    rows = beats.withColumn("__v", _number(value)).where("__v is not null")
+    point = lambda a: F.struct(a.alias("o"), v.alias("v"))
+    top = F.max(F.struct(v.alias("v"), (-o).alias("p"))).over(whole)
+    rows = rows.withColumns({"__first": F.min(point(o)).over(whole), "__last": F.max(point(o)).over(whole), "__top": top, "__n": F.count("*").over(whole), "__step": F.lead("__v").over(order) - v})
+    rows = rows.withColumn("__peak", -F.col("__top.p")).where(F.col("__n") >= least)
+    rise = F.try_divide(F.col("__top.v") - F.col("__first.v"), F.col("__peak") - F.col("__first.o"))
+    fall = F.try_divide(F.col("__last.v") - F.col("__top.v"), F.col("__last.o") - F.col("__peak"))
+    under = F.when(o < F.col("__peak"), F.col("__first.v") + rise * (o - F.col("__first.o")) - v).when(o > F.col("__peak"), F.col("__top.v") + fall * (o - F.col("__peak")) - v)
+    rows = rows.withColumn("__under", F.round(under, 9))
+    best = lambda keep: F.max(F.when(keep, F.struct(F.col("__under").alias("u"), (-o).alias("p"))))
+    rows = rows.withColumns({"__foot": best(o < F.col("__peak")).over(whole), "__notch": best((o > F.col("__peak")) & (F.col("__under") > 0)).over(whole)})
+    rows = rows.withColumn("__at", -F.col("__notch.p"))
+    steep = lambda keep: F.max(F.when(keep & F.col("__step").isNotNull(), F.struct((-F.col("__step")).alias("s"), (-o).alias("p")))).over(whole)
+    rows = rows.withColumns({"__f1": steep((o >= F.col("__peak")) & (o < F.col("__at"))), "__f2": steep(o >= F.col("__at"))})
+    rows = rows.withColumn("__second", -F.col("__f2.p"))
+    bump = F.max(F.when((o >= F.col("__at")) & (o <= F.col("__second")), F.struct(v.alias("v"), (-o).alias("p"))))
+    return rows.groupBy(*by).agg(
+        F.first("__peak").alias("peak_offset"),
+        F.first(-F.col("__foot.p")).alias("foot_offset"),
+        F.first("__at").alias("notch_offset"),
+        F.first(-F.col("__f1.p")).alias("fall_1_offset"),
+        F.first("__second").alias("fall_2_offset"),
+        (-bump["p"]).alias("diastolic_offset"),
+        bump["v"].alias("diastolic_value"),
+        F.first("__top.v").alias("peak_value"),
+        F.first("__first.v").alias("begin_value"),
+        F.max(F.when(o == F.col("__at"), v)).alias("notch_value"),
+    )
+
+
+def beat_timings(shapes: DataFrame, rate: str) -> DataFrame:
+    """Add times in ms to a table of shapes and landmarks: from half rise to each point, widths at each level, and relative amplitudes.
+
+    ``ms_half_to_<point>`` for peak, foot, notch and diastolic, ``ms_width_<p>`` between the crossings of a level,
+    ``pulse_ratio`` (peak - diastolic over peak) and ``notch_over_begin``. Unknown points give null.
+    """
+    ms = lambda x: x / quoted(rate) * 1000
+    out = {f"ms_half_to_{p}": ms(F.col(f"{p}_offset") - F.col("up_50")) for p in ("peak", "foot", "notch", "diastolic")}
+    out |= {f"ms_width_{p}": ms(F.abs(F.col(f"down_{p}") - F.col(f"up_{p}"))) for p in (20, 50, 80)}
+    out["pulse_ratio"] = F.try_divide(F.col("peak_value") - F.col("diastolic_value"), F.col("peak_value"))
+    out["notch_over_begin"] = F.col("notch_value") - F.col("begin_value")
+    return shapes.withColumns(out)
+
+
 def level_crossings(df: DataFrame, keys: list[str], position: str, value: str, level: float) -> DataFrame:
     """Interpolated positions at which a channel passes ``level``: keys, position, direction ("up", "down"); touching isn't passing."""
     w = Window.partitionBy(*map(quoted, keys)).orderBy(quoted(position))

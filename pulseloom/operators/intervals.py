@@ -139,6 +139,36 @@ def mark_for_moving(df: DataFrame, start: str, end: str, bin_low: str, bin_high:
     return df.withColumn("move", move)
 
 
+def merge_moving(df: DataFrame, keys: list[str], start: str, end: str, least: float, move: str = "move") -> DataFrame:
+    """Join moving pieces that share a border if they are together at least ``least`` long; the joined piece stays.
+
+    Returns keys, start, end and move; pieces that don't reach the length are kept as they are. Dropped pieces are removed.
+    """
+    w = Window.partitionBy(*map(quoted, keys)).orderBy(quoted(start))
+    rows = df.where(quoted(move) != "drop").withColumn("__moves", quoted(move) != "stay")
+    touches = quoted(start).eqNullSafe(F.lag(quoted(end)).over(w)) & F.col("__moves") & F.coalesce(F.lag("__moves").over(w), F.lit(False))
+    rows = rows.withColumn("__new", (~touches).cast("int")).withColumn("__chain", F.sum("__new").over(w))
+    chain = Window.partitionBy(*map(quoted, keys), "__chain")
+    long = F.col("__moves") & (F.sum(quoted(end) - quoted(start)).over(chain) >= least) & (F.count("*").over(chain) > 1)
+    rows = rows.withColumns({"__joined": long, "__low": F.min(quoted(start)).over(chain), "__high": F.max(quoted(end)).over(chain)})
+    rows = rows.where(~F.col("__joined") | (quoted(start) == F.col("__low")))
+    return rows.select(
+        *map(quoted, keys),
+        quoted(start),
+        F.when(F.col("__joined"), F.col("__high")).otherwise(quoted(end)).alias(end),
+        F.when(F.col("__joined"), F.lit("stay")).otherwise(quoted(move)).alias(move),
+    )
+
+
+def clip_intervals(df: DataFrame, pieces: DataFrame, keys: list[str], start: str, end: str, low: str, high: str, *, cell: float) -> DataFrame:
+    """The parts of closed intervals inside pieces [low, high] of their entity, counted from the piece's ``low``; other columns of ``pieces`` are kept."""
+    a = _cells(df.select(*map(quoted, keys), quoted(start).alias("__s"), quoted(end).alias("__e")).where("__s <= __e"), F.col("__s"), F.col("__e"), cell, "__cell")
+    b = _cells(pieces.where(quoted(low) <= quoted(high)), quoted(low), quoted(high), cell, "__cell")
+    first, last = F.greatest("__s", quoted(low)), F.least("__e", quoted(high))
+    both = b.join(a, [*keys, "__cell"]).where((first <= last) & (F.floor(first / cell) == F.col("__cell")))
+    return both.withColumns({start: first - quoted(low), end: last - quoted(low)}).drop("__s", "__e", "__cell")
+
+
 def assign_moved(df: DataFrame, keys: list[str], order: str, move: str = "move") -> DataFrame:
     """Number the final bins: staying pieces count up, left movers join the one before, right movers the one after.
 

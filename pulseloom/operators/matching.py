@@ -50,7 +50,7 @@ def add_unmatched(pairs: DataFrame, valleys: DataFrame, keys: list[str], peak_at
 def settle_shared(pairs: DataFrame, keys: list[str], peak_at: str, valley_at: str) -> DataFrame:
     """Let each valley serve one peak: of several the nearest keeps it, the others get a neighbouring free valley or null.
 
-    A peak that lost its valley takes the next valley in order if that one is unused and not beyond the next peak.
+    A peak that lost its valley takes the next valley in order if no peak uses that one.
     Expects the output of :func:`add_unmatched`.
     """
     by_valley = Window.partitionBy(*map(quoted, keys), quoted(valley_at)).orderBy(F.abs(quoted(peak_at) - quoted(valley_at)), quoted(peak_at))

@@ -81,6 +81,36 @@ def moving_std(df: DataFrame, keys: list[str], position: str, value: str, k: int
     return framed(df, keys, position, before, after, lambda rows, frame, _: rows.withColumn(out, F.stddev_samp(_number(value)).over(frame(-before, after))))
 
 
+def _std_over(rows: DataFrame, frame: Callable[[int, int], WindowSpec], source: Column, before: int, after: int, out: str) -> DataFrame:
+    """Sample deviation from running sums of values and squares; deviations under a millionth of the size of the values come out as 0."""
+    n = _total(source, frame, -before, after, count=True)
+    one, two = _total(source, frame, -before, after), _total(source * source, frame, -before, after)
+    variance = (two - one * one / n) / (n - 1)
+    return rows.withColumn(out, F.when(n > 1, F.when(variance > two / n * 1e-12, F.sqrt(variance)).otherwise(0.0)))
+
+
+def regularity(df: DataFrame, keys: list[str], position: str, value: str, short: int, long: int, out: str = "regularity") -> DataFrame:
+    """How steadily a channel varies: the deviation of its short moving deviation over its long one; null where that is 0.
+
+    The cost of a sample doesn't grow with the frames.
+    """
+    (b1, a1), (b2, a2) = _reach(short), _reach(long)
+
+    def add(rows: DataFrame, frame: Callable[[int, int], WindowSpec], _: WindowSpec) -> DataFrame:
+        rows = _std_over(rows, frame, _number(value), b1, a1, "__short")
+        rows = _std_over(rows, frame, F.col("__short"), b1, a1, "__twice")
+        rows = _std_over(rows, frame, _number(value), b2, a2, "__long")
+        return rows.withColumn(out, F.when(F.col("__long") > 0, F.col("__twice") / F.col("__long"))).drop("__short", "__twice", "__long")
+
+    return framed(df, keys, position, max(2 * b1, b2), max(2 * a1, a2), add)
+
+
+def rising_energy(df: DataFrame, keys: list[str], position: str, value: str, order: int = 3, width: int = 11, out: str = "energy") -> DataFrame:
+    """Square of the positive part of the smoothed slope, by least-squares polynomials; null where the frame is not complete."""
+    sloped = polynomial_smooth(df, keys, position, value, order, width, derivative=1, out="__slope")
+    return sloped.withColumn(out, F.pow(F.greatest(F.col("__slope"), F.lit(0.0)), 2) * F.when(F.col("__slope").isNotNull(), 1)).drop("__slope")
+
+
 def smooth(df: DataFrame, keys: list[str], position: str, value: str, width: int, passes: int = 3, *, tolerance: float = 0.5, out: str = "smooth") -> DataFrame:
     """Boxcar smoothing, once, twice (triangular) or three times (nearly Gaussian).
 

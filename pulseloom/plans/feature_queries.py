@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulseloom.functions.common import load
 from pulseloom.operators import features as B
 from pulseloom.operators import intervals as I
+from pulseloom.operators import templates as T
 from pulseloom.operators import windows as S
 from pulseloom.operators.moving import exact_median
 from pulseloom.plans.signal_queries import EXTREMA, extrema
@@ -74,6 +75,40 @@ def beat_slopes(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(*SEG, "beat_no", "rise_offset", "fall_offset", rounded(height).alias("relative_height"))
 
 
+@query(SHAPES + """, m1 AS (SELECT *, CASE WHEN o < pk THEN round(fv + (top - fv) / nullif(pk - fo, 0) * (o - fo) - v, 9) WHEN o > pk THEN round(top + (lv - top) / nullif(lo - pk, 0) * (o - pk) - v, 9) END AS under, nv - v AS step FROM b2 WHERE n >= 4),
+m2 AS (SELECT *, max(CASE WHEN o < pk AND under IS NOT NULL THEN row(under, -o) END) OVER x AS ft, max(CASE WHEN o > pk AND under > 0 THEN row(under, -o) END) OVER x AS nt FROM m1 WINDOW x AS (PARTITION BY rec_id, seg_id, beat_no)),
+m3 AS (SELECT *, max(CASE WHEN step IS NOT NULL AND o >= pk AND o < -nt[2] THEN row(-step, -o) END) OVER x AS f1, max(CASE WHEN step IS NOT NULL AND o >= -nt[2] THEN row(-step, -o) END) OVER x AS f2 FROM m2 WINDOW x AS (PARTITION BY rec_id, seg_id, beat_no))
+SELECT rec_id, seg_id, beat_no, any_value(pk) AS peak_offset, any_value(-ft[2]) AS foot_offset, any_value(-nt[2]) AS notch_offset, any_value(-f1[2]) AS fall_1_offset, any_value(-f2[2]) AS fall_2_offset,
+  -(max(CASE WHEN o >= -nt[2] AND o <= -f2[2] THEN row(v, -o) END))[2] AS diastolic_offset FROM m3 GROUP BY ALL""")
+def beat_landmarks(spark: SparkSession, d: str) -> DataFrame:
+    """Foot, notch, steepest falls and diastolic peak of each beat."""
+    rows = B.beat_landmarks(beat_samples(spark, d), SEG, "value")
+    return rows.select(*SEG, "beat_no", *(f"{p}_offset" for p in ("peak", "foot", "notch", "fall_1", "fall_2", "diastolic")))
+
+
+@query()
+def beat_timings(spark: SparkSession, d: str) -> DataFrame:
+    """Times between the points of each beat, widths and relative amplitudes."""
+    samples = beat_samples(spark, d)
+    shapes = B.beat_shapes(samples, SEG, "value").drop("peak_offset", "peak_value", "begin_value")
+    fs = samples.groupBy(*SEG).agg(F.max("fs").alias("fs"))
+    both = shapes.join(B.beat_landmarks(samples, SEG, "value"), [*SEG, "beat_no"]).join(fs, SEG)
+    names = [*(f"ms_half_to_{p}" for p in ("peak", "foot", "notch", "diastolic")), *(f"ms_width_{p}" for p in (20, 50, 80)), "pulse_ratio", "notch_over_begin"]
+    return B.beat_timings(both, "fs").select(*SEG, "beat_no", *(rounded(c, 4).alias(c) for c in names))
+
+
+@query()
+def block_quality(spark: SparkSession, d: str) -> DataFrame:
+    """Mean correlation of beats with their segment's template, in blocks of 5 s, and the quality of the block."""
+    samples = beat_samples(spark, d).select(*SEG, "beat_no", "offset", "idx", "fs", "value")
+    templates = T.template(samples, SEG, "offset", "value")
+    scores = T.correlation_to_template(samples, templates, SEG, "beat_no", "offset", "value")
+    begins = samples.groupBy(*SEG, "beat_no").agg(F.floor(F.min("idx") / F.max("fs") / 5).alias("block"))
+    blocks = scores.join(begins, [*SEG, "beat_no"]).groupBy(*SEG, "block").agg(F.count("*").alias("n_beats"), (F.avg("correlation") * 100).alias("quality"))
+    grade = T.quality_class(F.col("quality"), F.col("quality"), F.col("quality"), F.lit(0.0))
+    return blocks.select(*SEG, "block", "n_beats", rounded("quality", 4).alias("quality"), grade.alias("grade"))
+
+
 @query(f"""WITH {WAVES_SQL}, c AS (SELECT label, vec_id, pos, value AS v, lead(value) OVER w AS n, lead(pos) OVER w AS p FROM wv WINDOW w AS (PARTITION BY vec_id ORDER BY pos))
 SELECT label, vec_id, round(pos + (p - pos) * v / (v - n), 5) AS crossing, CASE WHEN n > 0 THEN 'up' ELSE 'down' END AS direction FROM c WHERE v <= 0 AND n > 0 OR v > 0 AND n <= 0""")
 def level_crossing(spark: SparkSession, d: str) -> DataFrame:
@@ -131,6 +166,18 @@ def sleep_onset_offset(spark: SparkSession, d: str) -> DataFrame:
     return B.sleep_onsets(rows, ["rec_id"], "epoch_no", "code").select("rec_id", "epoch_no", "since_onset", "to_last_sleep")
 
 
+@query(PHASES + """, b AS (SELECT DISTINCT rec_id, epoch_no // 10 AS block, a, z FROM o), r AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY abs(block * 10 - a), block) AS p, row_number() OVER (PARTITION BY rec_id ORDER BY abs(block * 10 - z), block) AS q FROM b)
+SELECT rec_id, block, a IS NOT NULL AND p = 1 AS nears_onset, z IS NOT NULL AND q = 1 AS nears_end FROM r""")
+def onset_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks of ten epochs, with the ones that begin nearest to the onset and the end of sleep marked."""
+    rows = epochs(spark, d).withColumn("code", B.recode_stages("stage"))
+    ends = rows.groupBy("rec_id").agg(F.min(F.when(F.col("code") != 0, F.col("epoch_no"))).alias("a"), F.max(F.when(F.col("code") != 0, F.col("epoch_no"))).alias("z"))
+    blocks = rows.select("rec_id", F.floor(F.col("epoch_no") / 10).alias("block")).distinct().join(ends, "rec_id")
+    place = lambda c: F.row_number().over(Window.partitionBy("rec_id").orderBy(F.abs(F.col("block") * 10 - F.col(c)), "block"))
+    marked = blocks.withColumns({"p": place("a"), "q": place("z")})
+    return marked.select("rec_id", "block", (F.col("a").isNotNull() & (F.col("p") == 1)).alias("nears_onset"), (F.col("z").isNotNull() & (F.col("q") == 1)).alias("nears_end"))
+
+
 @query(f"""WITH {BEATS_SQL}, t AS (SELECT *, (lead(idx_begin) OVER w - idx_begin) / ppg_rate * 1000 AS step, (idx_systolic - idx_begin) / ppg_rate * 1000 AS delay FROM beats WINDOW w AS (PARTITION BY rec_id, seg_id ORDER BY beat_no)),
 u AS (SELECT *, coalesce(step, lag(step) OVER (PARTITION BY rec_id, seg_id ORDER BY beat_no)) AS d FROM t)
 SELECT rec_id, seg_id, beat_no, round(d, 4) AS d, round(delay, 4) AS a, round(delay + d, 4) AS b FROM u""")

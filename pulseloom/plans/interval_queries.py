@@ -27,6 +27,7 @@ def query(sql: str | None = None):
     return add
 
 
+SEG_TIMES_SQL = "st AS (SELECT DISTINCT rec_id, seg_id, ecg_begin / ecg_rate AS t0, ecg_end / ecg_rate AS t1 FROM segment)"
 RUNS_SQL = f"""WITH {EPOCHS_SQL}, m AS (SELECT *, CASE WHEN lag(epoch_no) OVER w IS NULL OR stage IS DISTINCT FROM lag(stage) OVER w THEN 1 ELSE 0 END AS b
   FROM ep WINDOW w AS (PARTITION BY rec_id ORDER BY epoch_no)),
 n AS (SELECT *, sum(b) OVER (PARTITION BY rec_id ORDER BY epoch_no) AS run_no FROM m),
@@ -215,6 +216,38 @@ def anneal_assign(spark: SparkSession, d: str) -> DataFrame:
     return I.assign_moved(_moved(spark, d), ["rec_id"], "s").select("rec_id", "s", "e", "move", "final_bin")
 
 
+@query(f"""WITH {PIECES_SQL}, a AS (SELECT * FROM moved WHERE move <> 'drop'),
+b AS (SELECT *, CASE WHEN s = lag(e) OVER w AND move <> 'stay' AND coalesce(lag(move) OVER w, 'stay') <> 'stay' THEN 0 ELSE 1 END AS new FROM a WINDOW w AS (PARTITION BY rec_id ORDER BY s)),
+c AS (SELECT *, sum(new) OVER (PARTITION BY rec_id ORDER BY s) AS chain FROM b),
+d AS (SELECT *, sum(e - s) OVER x >= 450000 AND count(*) OVER x > 1 AND move <> 'stay' AS joined, min(s) OVER x AS low, max(e) OVER x AS high FROM c WINDOW x AS (PARTITION BY rec_id, chain))
+SELECT rec_id, s, CASE WHEN joined THEN high ELSE e END AS e, CASE WHEN joined THEN 'stay' ELSE move END AS move FROM d WHERE NOT joined OR s = low""")
+def merged_movers(spark: SparkSession, d: str) -> DataFrame:
+    """Short clean pieces that touch, joined where they are long enough together."""
+    return I.merge_moving(_moved(spark, d), ["rec_id"], "s", "e", 450_000)
+
+
+@query(f"""WITH {MARKINGS_SQL}, st AS (SELECT DISTINCT rec_id, seg_id, round(ecg_begin / ecg_rate * 1000)::BIGINT AS low, round(ecg_end / ecg_rate * 1000)::BIGINT AS high FROM segment)
+SELECT st.rec_id, seg_id, greatest(s, low) - low AS s, least(e, high) - low AS e FROM st JOIN nz ON st.rec_id = nz.rec_id AND s <= high AND low <= e""")
+def clip_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """Markings inside segments, counted from the segment's begin."""
+    ms = lambda c: F.round(F.col(c) / F.col("ecg_rate") * 1000).cast("bigint")
+    pieces = load(spark, d, "segment").select(*SEG, ms("ecg_begin").alias("low"), ms("ecg_end").alias("high")).distinct()
+    return I.clip_intervals(markings(spark, d), pieces, ["rec_id"], "s", "e", "low", "high", cell=60000).select(*SEG, "s", "e")
+
+
+@query(f"""WITH {EPOCHS_SQL}, {SEG_TIMES_SQL}, g AS (SELECT DISTINCT rec_id, seg_id, i - 1 AS k, round(x) AS stage FROM (SELECT *, sleep_stages[i] AS x FROM (SELECT *, unnest(range(1, len(sleep_stages) + 1)) AS i FROM segment)) WHERE NOT isnan(x)),
+f AS (SELECT st.rec_id, seg_id, min(epoch_no) AS e0 FROM st JOIN ep ON st.rec_id = ep.rec_id JOIN recording r ON r.rec_id = ep.rec_id WHERE (epoch_no + 1) * epoch_sec BETWEEN t0 AND t1 GROUP BY ALL)
+SELECT g.rec_id, g.seg_id, count(*) AS n, count(*) FILTER (g.stage = ep.stage) AS n_equal FROM g JOIN f ON g.rec_id = f.rec_id AND g.seg_id = f.seg_id JOIN ep ON ep.rec_id = g.rec_id AND ep.epoch_no = e0 + k GROUP BY ALL""")
+def stage_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """How many of a segment's stages equal those of the epochs from its first one on."""
+    held = epochs(spark, d)
+    timed = held.join(rates(spark, d), "rec_id").select("rec_id", "epoch_no", ((F.col("epoch_no") + 1) * F.col("epoch_sec")).alias("at"))
+    first = I.join_points(_segment_times(spark, d), timed, ["rec_id"], "at", "t0", "t1", cell=600.0).groupBy(*SEG).agg(F.min("epoch_no").alias("e0"))
+    own = load(spark, d, "segment").select(*SEG, F.posexplode("sleep_stages").alias("k", "x")).where(F.col("x").isNotNull() & ~F.isnan("x")).select(*SEG, "k", F.round("x").alias("own")).distinct()
+    both = own.join(first, SEG).withColumn("epoch_no", F.col("e0") + F.col("k")).join(held, ["rec_id", "epoch_no"])
+    return both.groupBy(*SEG).agg(F.count("*").alias("n"), F.count_if(F.col("own") == F.col("stage")).alias("n_equal"))
+
+
 @query(f"""WITH {MERGED_SQL}, u AS (SELECT *, unnest(range(s // 1800000, e // 1800000 + 1)) AS section FROM merged WHERE s < e),
 x AS (SELECT rec_id, section, least(e, (section + 1) * 1800000) - greatest(s, section * 1800000) AS ms FROM u WHERE section * 1800000 < e)
 SELECT rec_id, section, sum(ms)::BIGINT AS excluded_ms, (1800000 - sum(ms))::BIGINT AS good_ms, round(100 * (1800000 - sum(ms)) / 1800000, 6) AS percent_good FROM x GROUP BY ALL""")
@@ -225,7 +258,6 @@ def section_quality(spark: SparkSession, d: str) -> DataFrame:
     return by.withColumn("good_ms", 1_800_000 - F.col("excluded_ms")).withColumn("percent_good", rounded(F.col("good_ms") * 100 / 1_800_000))
 
 
-SEG_TIMES_SQL = "st AS (SELECT DISTINCT rec_id, seg_id, ecg_begin / ecg_rate AS t0, ecg_end / ecg_rate AS t1 FROM segment)"
 
 
 def _segment_times(spark: SparkSession, d: str) -> DataFrame:

@@ -269,6 +269,36 @@ def energy_regions(spark: SparkSession, d: str) -> DataFrame:
     return D.energy_regions(signal(spark, d, "ecg"), SEG, "idx", "value").select(*SEG, "region", "low", "high", "idx", rounded("value").alias("value"))
 
 
+@query(f"{SIG}, sl AS (SELECT rec_id, seg_id, idx, {polynomial_sql(V.polynomial_weights(3, 11, 1))} AS g FROM sig {W}) SELECT rec_id, seg_id, idx, round(pow(greatest(g, 0), 2), 5) AS energy FROM sl WHERE g IS NOT NULL")
+def rising_energy(spark: SparkSession, d: str) -> DataFrame:
+    """Square of the rising smoothed slope of the pulse wave."""
+    rows = V.rising_energy(signal(spark, d), SEG, "idx", "value").where("energy is not null")
+    return rows.select(*SEG, "idx", rounded("energy", 5).alias("energy"))
+
+
+ONSETS = f"""{SIG}, a AS (SELECT *, greatest(coalesce(value - lag(value) OVER w, 0), 0) AS rise FROM sig {W}), b AS (SELECT *, round({frame_sql('sum(rise)', -15, 0)}, 9) AS s,
+  {frame_sql('min(CASE WHEN value IS NOT NULL THEN row(value, idx) END)', -16, 0)} AS low FROM a), c AS (SELECT *, lag(s) OVER w AS before, round(avg(s) OVER (PARTITION BY rec_id, seg_id) * 0.6, 9) AS least FROM b {W})"""
+
+
+@query(ONSETS + " SELECT rec_id, seg_id, low[2] AS onset, idx AS crossing FROM c WHERE s > least AND before <= least")
+def slope_sum_onsets(spark: SparkSession, d: str) -> DataFrame:
+    """Pulse onsets by the slope sum."""
+    return D.slope_sum_onsets(signal(spark, d), SEG, "idx", "value", width=16)
+
+
+@query()
+def regular_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Spans of good pulse wave by the regularity of its variation."""
+    return D.regular_spans(signal(spark, d), SEG, "idx", "value", short=250, long=1250, low=0.001, high=0.2, patch=125, least=500, most=1000)
+
+
+@query()
+def band_passed(spark: SparkSession, d: str) -> DataFrame:
+    """ECG excerpts in the band from 5 to 15 Hz, one row a sample."""
+    rows = D.filter_channels(load(spark, d, "segment").select(*SEG, "ecg", "ecg_rate").where(F.size("ecg") > 1).dropDuplicates(SEG), SEG, "ecg", "ecg_rate", (5.0, 15.0))
+    return rows.select(*SEG, F.posexplode("ecg").alias("idx", "x")).select(*SEG, "idx", rounded("x").alias("filtered"))
+
+
 @query(f"""{SIG}, s AS (SELECT *, lead(value) OVER w - value AS d FROM sig {W}), r AS (SELECT *, row_number() OVER (PARTITION BY rec_id, seg_id ORDER BY d DESC, idx) AS up,
 row_number() OVER (PARTITION BY rec_id, seg_id ORDER BY d, idx) AS down FROM s WHERE d IS NOT NULL)
 SELECT rec_id, seg_id, max(CASE WHEN up = 1 THEN idx END) AS rise_at, round(max(d), 6) AS rise, max(CASE WHEN down = 1 THEN idx END) AS fall_at, round(min(d), 6) AS fall FROM r GROUP BY ALL""")
