@@ -23,6 +23,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pulseloom.functions.common import broadcast_if_small, cut, quoted
 
 WORD = re.compile(r"[^\W_]+")
+#: Pairs that are aligned together.
+TOGETHER = 128
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -48,19 +50,28 @@ def gram_keys(ids: np.ndarray, n: int) -> np.ndarray:
     return np.where(known, np.maximum(key, np.uint64(1)), np.uint64(0))
 
 
-def align(a: np.ndarray, b: np.ndarray, match: int = 2, mismatch: int = -1, gap: int = -1) -> tuple[int, int]:
-    """Best local alignment score of two word sequences, and the length of their longest common run."""
-    score, run = np.zeros(len(b) + 1, np.int64), np.zeros(len(b) + 1, np.int64)
-    slope = -gap * np.arange(len(b) + 1)
-    best = longest = 0
-    for word in a:
-        same = b == word
-        run[1:] = np.where(same, run[:-1] + 1, 0)
-        longest = max(longest, int(run.max()))
+def align(pairs: list[tuple[np.ndarray, np.ndarray]], match: int = 2, mismatch: int = -1, gap: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    """Best local alignment score of each pair of word sequences, and the length of its longest common run.
+
+    All pairs advance together, row by row, so pass pairs of like lengths.
+    """
+    n = len(pairs)
+    rows, columns = (max((len(p[k]) for p in pairs), default=0) for k in (0, 1))
+    a, b = np.full((n, rows), -2, np.int64), np.full((n, columns), -3, np.int64)
+    for k, (x, y) in enumerate(pairs):
+        a[k, : len(x)] = x
+        b[k, : len(y)] = np.where(y < 0, -3, y)
+    a[a == -1] = -2  # words without a number equal nothing
+    score, run = np.zeros((n, columns + 1), np.int32), np.zeros((n, columns + 1), np.int32)
+    slope = (-gap * np.arange(columns + 1)).astype(np.int32)
+    best, longest = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for i in range(rows):
+        same = b == a[:, i : i + 1]
+        run[:, 1:] = np.where(same, run[:, :-1] + 1, 0)
         row = np.zeros_like(score)
-        row[1:] = np.maximum(0, np.maximum(score[:-1] + np.where(same, match, mismatch), score[1:] + gap))
-        score = np.maximum.accumulate(row + slope) - slope  # gaps along b
-        best = max(best, int(score.max()))
+        row[:, 1:] = np.maximum(0, np.maximum(score[:, :-1] + np.where(same, match, mismatch), score[:, 1:] + gap))
+        score = np.maximum.accumulate(row + slope, axis=1) - slope  # gaps along b
+        best, longest = np.maximum(best, score.max(1)), np.maximum(longest, run.max(1))
     return best, longest
 
 
@@ -164,19 +175,25 @@ def _block(corpus: DataFrame, wanted: DataFrame, n: int, run_words: int) -> Data
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            which, runs, scores = batch.column("k").to_pylist(), [], []
-            for k, shifts, numbers in zip(which, batch.column("shifts").to_pylist(), batch.column("numbers"), strict=True):
+            which = batch.column("k").to_pylist()
+            owner: list[int] = []
+            pairs: list[tuple[np.ndarray, np.ndarray]] = []
+            for i, (k, shifts, numbers) in enumerate(zip(which, batch.column("shifts").to_pylist(), batch.column("numbers"), strict=True)):
                 passage, doc = passages[k][1], numbers.values.to_numpy()
                 order = np.sort(np.asarray(shifts))
-                best = longest = 0
                 for part in np.split(order, np.flatnonzero(np.diff(order) > len(passage)) + 1):  # places far apart
-                    low, high = max(0, int(part[0]) - 8), int(part[-1]) + len(passage) + 8
-                    s, r = align(passage, doc[low:high])
-                    best, longest = max(best, s), max(longest, r)
-                runs.append(longest)
-                scores.append(best / (2 * len(passage)))
+                    owner.append(i)
+                    pairs.append((passage, doc[max(0, int(part[0]) - 8) : int(part[-1]) + len(passage) + 8]))
+            best, longest = np.zeros(len(which), np.int64), np.zeros(len(which), np.int64)
+            order = np.argsort([len(a) * 100_000 + len(b) for a, b in pairs], kind="stable")
+            for start in range(0, len(order), TOGETHER):
+                some = order[start : start + TOGETHER]
+                s, r = align([pairs[i] for i in some])
+                np.maximum.at(best, np.asarray(owner)[some], s)
+                np.maximum.at(longest, np.asarray(owner)[some], r)
+            full = np.array([2 * len(passages[k][1]) for k in which])
             own = pa.array([passages[k][0] for k in which], item_type)
-            yield pa.record_batch([batch.column("id"), own, pa.array(runs, pa.int32()), pa.array(scores)], names=["id", "item", "run_words", "score"])
+            yield pa.record_batch([batch.column("id"), own, pa.array(longest, pa.int32()), pa.array(best / full)], names=["id", "item", "run_words", "score"])
 
     item_type = to_arrow_type(wanted.schema["item"].dataType)
     scored = joined.mapInArrow(score, schema)
