@@ -180,12 +180,15 @@ def filter_channels(df: DataFrame, ids: list[str], samples: str, rate: str, cuto
         for batch in batches:
             out: list = [None] * batch.num_rows
             rates = batch.column(rate).to_numpy()
-            for fs in np.unique(rates):
+            channels = [np.asarray(x.values.to_numpy(zero_copy_only=False), float) for x in batch.column(samples)]
+            alike: dict[tuple[float, int], list[int]] = {}
+            for i, x in enumerate(channels):
+                alike.setdefault((float(rates[i]), len(x)), []).append(i)
+            for (fs, _), own in alike.items():  # channels of one rate and length are filtered together
                 edge = tuple(min(c, 0.45 * fs) for c in cutoff) if isinstance(cutoff, tuple) else min(cutoff, 0.45 * fs)
-                sections = kernels.butterworth(order, edge, fs, kind)
-                for i in np.flatnonzero(rates == fs):
-                    x = np.asarray(batch.column(samples)[int(i)].values.to_numpy(zero_copy_only=False), float)[None]
-                    out[i] = kernels.zero_phase(kernels.held(x), sections)[0]
+                filtered = kernels.zero_phase(kernels.held(np.stack([channels[i] for i in own])), kernels.butterworth(order, edge, fs, kind))
+                for i, x in zip(own, filtered, strict=True):
+                    out[i] = x
             yield pa.record_batch([*(batch.column(c) for c in ids), batch.column(rate), pa.array(out, pa.list_(pa.float64()))], names=[*ids, rate, samples])
 
     return rows.mapInArrow(run, schema)

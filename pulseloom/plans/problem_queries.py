@@ -71,6 +71,35 @@ def p4_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flag_implausible(channels, ["rec_id", "seg_id", "channel"], "samples", "rate", "factor")
 
 
+def _run_test(n: int) -> str:
+    """A run of n readings from here on lies on one side of its neighbours by at least the excess."""
+    run = ", ".join(["x", *(f"lead(x, {k}) OVER w" for k in range(1, n))])
+    run = run if n == 1 else f"{{side}}({run})"
+    low, high = (run.replace("{side}", side) for side in ("least", "greatest"))
+    a, b = "lag(x) OVER w", f"lead(x, {n}) OVER w"
+    return f"coalesce({a} IS NOT NULL AND {b} IS NOT NULL AND ({low} - greatest({a}, {b}) >= f * h OR least({a}, {b}) - {high} >= f * h), false) AS s{n}"
+
+
+P4_FOUND = f"""
+WITH c AS (SELECT DISTINCT rec_id, seg_id, 'ecg' AS channel, ecg_rate AS fs, 1.5 AS f, ecg AS y FROM segment WHERE len(ecg) > 1
+  UNION ALL SELECT DISTINCT rec_id, seg_id, 'po', ppg_rate, 0.7, po FROM segment WHERE len(po) > 1
+  UNION ALL SELECT rec_id, -1, 'ppg', coalesce(ppg_rate, ecg_rate), 0.7, ppg FROM recording WHERE len(ppg) > 1),
+r AS (SELECT rec_id, seg_id, channel, fs, f::DOUBLE AS f, i - 1 AS idx, y[i] AS x FROM (SELECT *, unnest(range(1, len(y) + 1)) AS i FROM c)),
+t AS (SELECT * FROM r WHERE x IS NOT NULL AND NOT isnan(x)),
+bad AS (SELECT rec_id, seg_id, channel, idx FROM t WHERE abs(x) > 1000),
+j AS (SELECT *, CASE WHEN x = lag(x) OVER w AND idx = lag(idx) OVER w + 1 THEN 0 ELSE 1 END AS new FROM t WINDOW w AS (PARTITION BY rec_id, seg_id, channel ORDER BY idx)),
+k AS (SELECT *, sum(new) OVER (PARTITION BY rec_id, seg_id, channel ORDER BY idx) AS run FROM j),
+held AS (SELECT rec_id, seg_id, channel, idx FROM (SELECT *, count(*) OVER (PARTITION BY rec_id, seg_id, channel, run) AS n FROM k) WHERE n >= 2 AND n >= ceil(0.2 * fs - 1e-9)),
+ok AS (SELECT * FROM t WHERE abs(x) <= 1000),
+tall AS (SELECT rec_id, seg_id, channel, idx // round(1.6 * fs)::INT AS win, max(x) - min(x) AS height FROM ok GROUP BY ALL HAVING count(*) > 0.8 * any_value(fs)),
+usual AS (SELECT rec_id, seg_id, channel, median(height) AS h FROM tall GROUP BY ALL),
+s AS (SELECT rec_id, seg_id, channel, idx, {_run_test(1)}, {_run_test(2)}, {_run_test(3)} FROM ok JOIN usual USING (rec_id, seg_id, channel) WINDOW w AS (PARTITION BY rec_id, seg_id, channel ORDER BY idx)),
+spikes AS (SELECT rec_id, seg_id, channel, idx FROM (SELECT *, s1 OR s2 OR s3 OR coalesce(lag(s2) OVER w, false) OR coalesce(lag(s3) OVER w, false) OR coalesce(lag(s3, 2) OVER w, false) AS spike
+  FROM s WINDOW w AS (PARTITION BY rec_id, seg_id, channel ORDER BY idx)) WHERE spike)
+SELECT * FROM bad UNION SELECT * FROM held UNION SELECT * FROM spikes
+"""
+
+
 def _markings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markings of known types as (rec_id, marking_type, start_sample, end_sample)."""
     codes = load(spark, sf_dir, "marking_code").select(F.col("type_id").cast("double").alias("type_id"), "marking_type")
@@ -113,4 +142,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_FOUND, "p2_series": P2_SERIES, "p6_found": P6_FOUND}
+    return {"p2_found": P2_FOUND, "p2_series": P2_SERIES, "p4_found": P4_FOUND, "p6_found": P6_FOUND}
