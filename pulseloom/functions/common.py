@@ -45,12 +45,19 @@ def cut(df: DataFrame) -> DataFrame:
 def broadcast_if_small(df: DataFrame, max_bytes: int = 32 << 20) -> DataFrame:
     """A broadcast hint if the rows of ``df`` measure at most ``max_bytes``, else ``df`` as it is.
 
-    The size is measured by an aggregate over ``df`` (strings by their length, other columns by 8 bytes, plus 16 a
-    row), so the hint never depends on an estimate. Beyond the bound the join shuffles.
+    The size is measured by an aggregate over ``df`` (strings by their length, arrays and maps by 48 bytes an element,
+    structs by 64 bytes, other columns by 8, plus 16 a row), so the hint never depends on an estimate. Beyond the bound
+    the join shuffles.
     """
     width: Column = F.lit(16)
     for name, kind in df.dtypes:
-        width = width + (F.coalesce(F.octet_length(quoted(name)), F.lit(0)) if kind == "string" else F.lit(8))
+        if kind in ("string", "binary"):
+            part = F.coalesce(F.octet_length(quoted(name)), F.lit(0))
+        elif kind.startswith(("array", "map")):
+            part = F.greatest(F.coalesce(F.size(quoted(name)), F.lit(0)), F.lit(0)) * 48
+        else:
+            part = F.lit(64 if kind.startswith("struct") else 8)
+        width = width + part
     size = df.select(F.sum(width).alias("size")).first()["size"] or 0
     return F.broadcast(df) if size <= max_bytes else df
 
