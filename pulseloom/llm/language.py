@@ -55,7 +55,7 @@ _END = 10  # line feed: separates parts in the code point arrays
 
 def named_language(label: Column) -> Column:
     """The two-letter code that a label names: a code of two or three letters, a locale or an English name; else null."""
-    word = F.lower(F.regexp_extract(F.trim(label), r"^([A-Za-z]+)(?:[-_][A-Za-z0-9]+)*$", 1))
+    word = F.lower(F.regexp_extract(F.trim(label), r"^([A-Za-z]+)(?:[-_][A-Za-z0-9]+)*(?:\.[A-Za-z0-9-]+)?$", 1))
     names = F.create_map(*(F.lit(x) for pair in ({c: c for c in LANGUAGES} | OTHER_NAMES).items() for x in pair))
     return F.try_element_at(names, word)
 

@@ -77,7 +77,7 @@ def test_edge_cases(spark, corpus, model):
 def test_labels(spark):
     names = ["en", "EN", "en_US", "pt-BR", "ger", "deu", "Japanese", "und", "", " ", None, "n/a", "unknown", "en_US.UTF8", "xx", "fi"]
     got = [r[0] for r in spark.createDataFrame([(n,) for n in names], "l string").select(L.named_language(F.col("l"))).collect()]
-    assert got == ["en", "en", "en", "pt", "de", "de", "ja", None, None, None, None, None, None, None, None, None]
+    assert got == ["en", "en", "en", "pt", "de", "de", "ja", None, None, None, None, None, None, "en", None, None]
 
 
 def test_message_without_header_trailers_and_diff():
