@@ -190,6 +190,10 @@ def _flags(cut: DataFrame, names: list[str], physical_limit: float, held_sec: fl
         rate, factor = batch.column("rate").to_numpy(), batch.column("factor").to_numpy(zero_copy_only=False)
         low, number = batch.column("low").to_numpy(), batch.column("piece").to_numpy()
         size = np.diff(offsets)
+        places = None
+        if "at" in batch.schema.names:  # positions of the readings, from the piece's first one
+            places = batch.column("at").values.to_numpy()
+            size = np.where(size > 0, places[np.maximum(offsets[1:] - 1, 0)] + 1, 0)
         order = np.argsort(size, kind="stable")  # channels of like length share a matrix
         start = 0
         while start < len(order):
@@ -198,7 +202,8 @@ def _flags(cut: DataFrame, names: list[str], physical_limit: float, held_sec: fl
             start += len(rows)
             x = np.full((len(rows), int(size[rows].max())), np.nan)
             for k, r in enumerate(rows):
-                x[k, : size[r]] = flat[offsets[r] : offsets[r + 1]]
+                own = slice(offsets[r], offsets[r + 1])
+                x[k, slice(size[r]) if places is None else places[own]] = flat[own]
             found = flag_matrix(x, rate[rows], factor[rows], physical_limit=physical_limit, held_sec=held_sec, window_sec=window_sec, weight=weight, limit=limit)
             for at, position, kind in found:
                 idx = position + low[rows[at]]
@@ -243,8 +248,6 @@ def flag_implausible_readings(
     spread = reading.withColumn("piece", F.explode(pieces)).groupBy(*names, "piece", "at").agg(F.max("v").alias("v"))
     held = spread.groupBy(*names, "piece").agg(F.sort_array(F.collect_list(F.struct("at", "v"))).alias("r"))
     low = F.element_at("r", 1)["at"]
-    span = (F.element_at("r", -1)["at"] - low + 1).cast("int")
-    by_place = F.map_from_entries(F.transform("r", lambda r: F.struct((r["at"] - low).alias("k"), r["v"].alias("v"))))
-    cut = held.withColumn("low", low).withColumn("x", F.transform(F.sequence(F.lit(0).cast("bigint"), (span - 1).cast("bigint")), lambda i: F.try_element_at(by_place, i)))
-    cut = cut.withColumns({"rate": F.lit(float(rate)), "factor": F.lit(float(spike_factor))}).select(*names, "x", "rate", "factor", "piece", "low")
+    cut = held.withColumns({"low": low, "x": F.transform("r", lambda r: r["v"]), "at": F.transform("r", lambda r: (r["at"] - low).cast("int"))})
+    cut = cut.withColumns({"rate": F.lit(float(rate)), "factor": F.lit(float(spike_factor))}).select(*names, "x", "at", "rate", "factor", "piece", "low")
     return _flags(cut, names, physical_limit, held_sec, window_sec, weight, limit).withColumnsRenamed(dict(zip(names, keys, strict=True)))
