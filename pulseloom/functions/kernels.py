@@ -87,6 +87,19 @@ def zero_phase(x: np.ndarray, sections: list[np.ndarray]) -> np.ndarray:
     return y[:, edge : edge + x.shape[1]]
 
 
+def without_trend(x: np.ndarray, fs: float, weights: np.ndarray) -> np.ndarray:
+    """Rows minus their trend, about their own mean: a polynomial smooth by ``weights``, averaged over a second.
+
+    Both ends are continued by odd reflection.
+    """
+    second = max(1, int(round(fs)))
+    edge = min(len(weights) // 2 + second, x.shape[1] - 1)
+    longer = np.concatenate([2 * x[:, :1] - x[:, edge:0:-1], x, 2 * x[:, -1:] - x[:, -2 : -edge - 2 : -1]], axis=1)
+    kernel = np.convolve(weights[::-1], np.full(second, 1 / second))
+    trend = np.stack([np.convolve(row, kernel, "same") for row in longer])[:, edge : edge + x.shape[1]]
+    return x - trend + x.mean(axis=1, keepdims=True)
+
+
 def adaptive_beats(x: np.ndarray, fs: float, low_hz: float, high_hz: float, window_sec: float, refractory_sec: float, decay_sec: float) -> tuple[np.ndarray, np.ndarray]:
     """(row, position) of the beats of all rows; see ``operators.detect.detect_beats``."""
     length = np.where(np.isfinite(x), np.arange(1, x.shape[1] + 1), 0).max(axis=1)

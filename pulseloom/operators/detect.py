@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from pulseloom.functions import kernels
 from pulseloom.functions.common import quoted
-from pulseloom.functions.kernels import tallest_first
-from pulseloom.operators.moving import _number, _total, framed, regularity, smooth_and_level, window_sum
+from pulseloom.operators.moving import _number, _total, framed, polynomial_weights, regularity, smooth_and_level, window_sum
 from pulseloom.operators.runs import cluster_by_gap
 
 
@@ -47,7 +47,7 @@ def thin_peaks(peaks: DataFrame, keys: list[str], position: str, height: str, di
     arrow = to_arrow_schema(schema)
 
     def keep(table: pa.Table) -> pa.Table:
-        chosen = tallest_first(table[position].to_numpy(), table[height].to_numpy(), distance)
+        chosen = kernels.tallest_first(table[position].to_numpy(), table[height].to_numpy(), distance)
         return table.take(pa.array(chosen)).select(arrow.names).cast(arrow)
 
     single = F.count("*").over(Window.partitionBy(*map(quoted, keys), "__chain"))
@@ -171,8 +171,29 @@ def filter_channels(df: DataFrame, ids: list[str], samples: str, rate: str, cuto
 
     Null and very short channels (under ten samples) are dropped; an upper cutoff is lowered to 0.45 of a slow channel's rate.
     """
-    from pulseloom.functions import kernels
 
+    def apply(x: np.ndarray, fs: float) -> np.ndarray:
+        edge = tuple(min(c, 0.45 * fs) for c in cutoff) if isinstance(cutoff, tuple) else min(cutoff, 0.45 * fs)
+        return kernels.zero_phase(x, kernels.butterworth(order, edge, fs, kind))
+
+    return _map_channels(df, ids, samples, rate, apply)
+
+
+def detrend_channels(df: DataFrame, ids: list[str], samples: str, rate: str, *, order: int = 3, seconds: float = 4.0) -> DataFrame:
+    """Array channels without their slow trend: a least-squares polynomial over ``seconds``, averaged over one second.
+
+    Missing samples are held; null and very short channels (under ten samples) are dropped.
+    """
+
+    def apply(x: np.ndarray, fs: float) -> np.ndarray:
+        width = max(order + 2, int(seconds * fs)) // 2 * 2 + 1
+        return kernels.without_trend(x, fs, np.asarray(polynomial_weights(order, width)))
+
+    return _map_channels(df, ids, samples, rate, apply)
+
+
+def _map_channels(df: DataFrame, ids: list[str], samples: str, rate: str, apply: Callable[[np.ndarray, float], np.ndarray]) -> DataFrame:
+    """Replace array channels by ``apply(matrix, rate)``, channels of one rate and length together."""
     rows = df.where((F.size(samples) >= 10) & (quoted(rate) > 0)).select(*map(quoted, ids), quoted(rate).cast("double").alias(rate), quoted(samples).alias(samples))
     schema = T.StructType([*rows.drop(samples).schema.fields, T.StructField(samples, T.ArrayType(T.DoubleType()))])
 
@@ -184,10 +205,8 @@ def filter_channels(df: DataFrame, ids: list[str], samples: str, rate: str, cuto
             alike: dict[tuple[float, int], list[int]] = {}
             for i, x in enumerate(channels):
                 alike.setdefault((float(rates[i]), len(x)), []).append(i)
-            for (fs, _), own in alike.items():  # channels of one rate and length are filtered together
-                edge = tuple(min(c, 0.45 * fs) for c in cutoff) if isinstance(cutoff, tuple) else min(cutoff, 0.45 * fs)
-                filtered = kernels.zero_phase(kernels.held(np.stack([channels[i] for i in own])), kernels.butterworth(order, edge, fs, kind))
-                for i, x in zip(own, filtered, strict=True):
+            for (fs, _), own in alike.items():
+                for i, x in zip(own, apply(kernels.held(np.stack([channels[i] for i in own])), fs), strict=True):
                     out[i] = x
             yield pa.record_batch([*(batch.column(c) for c in ids), batch.column(rate), pa.array(out, pa.list_(pa.float64()))], names=[*ids, rate, samples])
 
@@ -273,8 +292,6 @@ def detect_beats(df: DataFrame, ids: list[str], samples: str, rate: str, *, low_
     found so far and decays between them. The channels of an Arrow batch advance together, one vector operation for
     each sample. Null arrays and channels under one second have no beats; missing samples are held.
     """
-    from pulseloom.functions import kernels
-
     rows = df.where((F.size(samples) > quoted(rate)) & (quoted(rate) > 0)).select(*map(quoted, ids), quoted(samples).alias("__x"), quoted(rate).cast("double").alias("__rate"))
     schema = T.StructType([*rows.select(*map(quoted, ids)).schema.fields, T.StructField("idx", T.LongType())])
     arrow = to_arrow_schema(schema)

@@ -276,6 +276,13 @@ def rising_energy(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(*SEG, "idx", rounded("energy", 5).alias("energy"))
 
 
+@query()
+def detrended(spark: SparkSession, d: str) -> DataFrame:
+    """Pulse wave excerpts without their slow trend, one row a sample."""
+    rows = D.detrend_channels(load(spark, d, "segment").select(*SEG, "po", "ppg_rate").where(F.size("po") > 1).dropDuplicates(SEG), SEG, "po", "ppg_rate")
+    return rows.select(*SEG, F.posexplode("po").alias("idx", "x")).select(*SEG, "idx", rounded("x").alias("value"))
+
+
 ONSETS = f"""{SIG}, a AS (SELECT *, greatest(coalesce(value - lag(value) OVER w, 0), 0) AS rise FROM sig {W}), b AS (SELECT *, round({frame_sql('sum(rise)', -15, 0)}, 9) AS s,
   {frame_sql('min(CASE WHEN value IS NOT NULL THEN row(value, idx) END)', -16, 0)} AS low FROM a), c AS (SELECT *, lag(s) OVER w AS before, round(avg(s) OVER (PARTITION BY rec_id, seg_id) * 0.6, 9) AS least FROM b {W})"""
 

@@ -47,6 +47,15 @@ def test_zero_phase_keeps_a_slow_wave_in_place():
     assert np.abs(out - slow)[50:-50].max() < 0.01
 
 
+def test_trend_is_removed_and_waves_are_kept():
+    t = np.arange(4000) / 100
+    slow, wave = 3 * t - 0.05 * t**2, np.sin(2 * np.pi * 2 * t)
+    out = K.without_trend((slow + wave)[None], 100.0, np.asarray(polynomial_weights(3, 401)))[0]
+    middle = slice(600, -600)
+    assert np.abs(out - out.mean() - wave)[middle].max() < 0.05
+    assert abs(out.mean() - (slow + wave).mean()) < 0.1
+
+
 def brute_warp(a, b):
     best = np.full((len(a) + 1, len(b) + 1), np.inf)
     best[0, 0] = 0
