@@ -88,8 +88,8 @@ def test_amplifier_export(spark, tmp_path):
 
 def test_settings_and_metadata(spark, tmp_path):
     assert text_formats.read_properties("a = 1 # x\n# b = 2\n c=d=e \nnothing\na = 3") == {"a": "3", "c": "d=e"}
-    (tmp_path / "sets.csv").write_text("name,ecg_rate,ppg_rate,note\nBittium,125\nMesa,256,128,x\n")
-    assert text_formats.dataset_settings(str(tmp_path / "sets.csv"), "bittium") == {"name": "Bittium", "ecg_rate": "125", "ppg_rate": "125", "note": None}
+    (tmp_path / "sets.csv").write_text("name,ecg_rate,ppg_rate,note\nBirch,125\nAlder,256,128,x\n")
+    assert text_formats.dataset_settings(str(tmp_path / "sets.csv"), "birch") == {"name": "Birch", "ecg_rate": "125", "ppg_rate": "125", "note": None}
     with pytest.raises(KeyError):
         text_formats.dataset_settings(str(tmp_path / "sets.csv"), "none")
     (tmp_path / "meta.csv").write_text("id,mesaid,flag,extra\n1,2.5,a,z\nx,3,b,z\n")
