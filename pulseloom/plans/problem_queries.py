@@ -105,12 +105,13 @@ def _markings(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes = load(spark, sf_dir, "marking_code").select(F.col("type_id").cast("double").alias("type_id"), "marking_type")
     extra = codes.sparkSession.createDataFrame([(None, "Conduction Delay")], "type_id double, marking_type string")
     known = codes.unionByName(extra)
-    spelled = known.select(F.lower("marking_type").alias("as_written"), F.col("marking_type").alias("name")).union(
+    plain = lambda c: F.lower(F.regexp_replace(c, r"\s+", ""))
+    spelled = known.select(plain("marking_type").alias("as_written"), F.col("marking_type").alias("name")).union(
         known.where("type_id is not null").select(F.col("type_id").cast("string"), "marking_type")
     )
     rates = load(spark, sf_dir, "recording").select("rec_id", "ecg_rate")
-    text = F.lower(F.trim("marking_type"))
-    written = F.coalesce(F.expr("try_cast(trim(marking_type) AS double)").cast("string"), text).alias("as_written")
+    text = plain("marking_type")
+    written = F.coalesce(text.try_cast("double").cast("string"), text).alias("as_written")
     noise = load(spark, sf_dir, "noise").select("rec_id", "start_sample", "end_sample", "start_sec", "end_sec", written)
     joined = noise.join(broadcast_if_small(rates), "rec_id").join(broadcast_if_small(spelled), "as_written")
     bound = lambda side: F.coalesce(f"{side}_sample", F.round(F.col(f"{side}_sec") * F.col("ecg_rate")).cast("bigint"))
@@ -126,7 +127,7 @@ P6_FOUND = """
 WITH names AS (SELECT type_id, marking_type AS name FROM marking_code UNION ALL SELECT NULL, 'Conduction Delay'),
 m AS (SELECT n.rec_id, c.name AS marking_type, coalesce(start_sample, round(start_sec * ecg_rate)::BIGINT) AS a,
     coalesce(end_sample, round(end_sec * ecg_rate)::BIGINT) AS b FROM noise n JOIN recording r USING (rec_id)
-    JOIN names c ON lower(trim(n.marking_type)) = lower(c.name) OR try_cast(trim(n.marking_type) AS DOUBLE) = c.type_id),
+    JOIN names c ON lower(replace(n.marking_type, ' ', '')) = lower(replace(c.name, ' ', '')) OR try_cast(trim(n.marking_type) AS DOUBLE) = c.type_id),
 i AS (SELECT rec_id, marking_type, least(a, b) AS s, greatest(a, b) AS e FROM m WHERE a IS NOT NULL AND b IS NOT NULL),
 o AS (SELECT *, max(e) OVER (PARTITION BY rec_id, marking_type ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM i),
 g AS (SELECT *, sum(CASE WHEN s <= upto + 1 THEN 0 ELSE 1 END) OVER (PARTITION BY rec_id, marking_type ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM o),

@@ -92,9 +92,9 @@ def test_settings_and_metadata(spark, tmp_path):
     assert text_formats.dataset_settings(str(tmp_path / "sets.csv"), "birch") == {"name": "Birch", "ecg_rate": "125", "ppg_rate": "125", "note": None}
     with pytest.raises(KeyError):
         text_formats.dataset_settings(str(tmp_path / "sets.csv"), "none")
-    (tmp_path / "meta.csv").write_text("id,mesaid,flag,extra\n1,2.5,a,z\nx,3,b,z\n")
-    got = text_formats.read_metadata(spark, str(tmp_path / "meta.csv"), {"id": "double", "mesaid": "double", "flag": "string"})
-    assert [tuple(r) for r in got.orderBy("mesaid").collect()] == [(1.0, 2.5, "a"), (None, 3.0, "b")]
+    (tmp_path / "meta.csv").write_text("id,site_id,flag,extra\n1,2.5,a,z\nx,3,b,z\n")
+    got = text_formats.read_metadata(spark, str(tmp_path / "meta.csv"), {"id": "double", "site_id": "double", "flag": "string"})
+    assert [tuple(r) for r in got.orderBy("site_id").collect()] == [(1.0, 2.5, "a"), (None, 3.0, "b")]
 
 
 def test_sinks(spark, tmp_path):
