@@ -54,7 +54,7 @@ LEVELS = ", ".join(
 )
 
 
-@query(SHAPES + f"""SELECT rec_id, seg_id, beat_no, n AS n_samples, round(any_value(fv), 6) AS begin_value, round(any_value(lv), 6) AS end_value, any_value(pk) AS peak_offset, round(any_value(top), 6) AS peak_value,
+@query(SHAPES + f"""SELECT rec_id, seg_id, beat_no::INT AS beat_no, n AS n_samples, round(any_value(fv), 6) AS begin_value, round(any_value(lv), 6) AS end_value, any_value(pk) AS peak_offset, round(any_value(top), 6) AS peak_value,
   round(sum((v - mn + nv - mn) / 2 * (no - o)), 4) AS area, round(sum((abs(off) + abs(noff)) / 2 * (no - o)), 4) AS area_over_line, round(max(CASE WHEN o = pk THEN off END), 4) AS peak_over_line, {LEVELS}
 FROM b3 WHERE n >= 4 GROUP BY rec_id, seg_id, beat_no, n""")
 def beat_shapes(spark: SparkSession, d: str) -> DataFrame:
@@ -78,7 +78,7 @@ def beat_slopes(spark: SparkSession, d: str) -> DataFrame:
 @query(SHAPES + """, m1 AS (SELECT *, CASE WHEN o < pk THEN round(fv + (top - fv) / nullif(pk - fo, 0) * (o - fo) - v, 9) WHEN o > pk THEN round(top + (lv - top) / nullif(lo - pk, 0) * (o - pk) - v, 9) END AS under, nv - v AS step FROM b2 WHERE n >= 4),
 m2 AS (SELECT *, max(CASE WHEN o < pk AND under IS NOT NULL THEN row(under, -o) END) OVER x AS ft, max(CASE WHEN o > pk AND under > 0 THEN row(under, -o) END) OVER x AS nt FROM m1 WINDOW x AS (PARTITION BY rec_id, seg_id, beat_no)),
 m3 AS (SELECT *, max(CASE WHEN step IS NOT NULL AND o >= pk AND o < -nt[2] THEN row(-step, -o) END) OVER x AS f1, max(CASE WHEN step IS NOT NULL AND o >= -nt[2] THEN row(-step, -o) END) OVER x AS f2 FROM m2 WINDOW x AS (PARTITION BY rec_id, seg_id, beat_no))
-SELECT rec_id, seg_id, beat_no, any_value(pk) AS peak_offset, any_value(-ft[2]) AS foot_offset, any_value(-nt[2]) AS notch_offset, any_value(-f1[2]) AS fall_1_offset, any_value(-f2[2]) AS fall_2_offset,
+SELECT rec_id, seg_id, beat_no::INT AS beat_no, any_value(pk) AS peak_offset, any_value(-ft[2]) AS foot_offset, any_value(-nt[2]) AS notch_offset, any_value(-f1[2]) AS fall_1_offset, any_value(-f2[2]) AS fall_2_offset,
   -(max(CASE WHEN o >= -nt[2] AND o <= -f2[2] THEN row(v, -o) END))[2] AS diastolic_offset FROM m3 GROUP BY ALL""")
 def beat_landmarks(spark: SparkSession, d: str) -> DataFrame:
     """Foot, notch, steepest falls and diastolic peak of each beat."""
@@ -167,7 +167,7 @@ def sleep_onset_offset(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(PHASES + """, b AS (SELECT DISTINCT rec_id, epoch_no // 10 AS block, a, z FROM o), r AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY abs(block * 10 - a), block) AS p, row_number() OVER (PARTITION BY rec_id ORDER BY abs(block * 10 - z), block) AS q FROM b)
-SELECT rec_id, block, a IS NOT NULL AND p = 1 AS nears_onset, z IS NOT NULL AND q = 1 AS nears_end FROM r""")
+SELECT rec_id, block::BIGINT AS block, a IS NOT NULL AND p = 1 AS nears_onset, z IS NOT NULL AND q = 1 AS nears_end FROM r""")
 def onset_blocks(spark: SparkSession, d: str) -> DataFrame:
     """Blocks of ten epochs, with the ones that begin nearest to the onset and the end of sleep marked."""
     rows = epochs(spark, d).withColumn("code", B.recode_stages("stage"))
@@ -229,7 +229,7 @@ def window_category_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {EPOCHS_SQL}, m AS (SELECT *, epoch_no // 40 AS window_no, CASE WHEN lag(epoch_no) OVER w IS NULL OR stage IS DISTINCT FROM lag(stage) OVER w THEN 1 ELSE 0 END AS b FROM ep WINDOW w AS (PARTITION BY rec_id, epoch_no // 40 ORDER BY epoch_no)),
 n AS (SELECT *, sum(b) OVER (PARTITION BY rec_id, window_no ORDER BY epoch_no) AS run FROM m), r AS (SELECT rec_id, window_no, run, any_value(stage) AS stage, count(*) AS n FROM n GROUP BY ALL)
-SELECT rec_id, window_no, string_agg(coalesce(stage::VARCHAR, '-'), ' ' ORDER BY run) AS states, string_agg(n::VARCHAR, ' ' ORDER BY run) AS lengths FROM r GROUP BY ALL""")
+SELECT rec_id, window_no::BIGINT AS window_no, string_agg(coalesce(stage::VARCHAR, '-'), ' ' ORDER BY run) AS states, string_agg(n::VARCHAR, ' ' ORDER BY run) AS lengths FROM r GROUP BY ALL""")
 def window_runs(spark: SparkSession, d: str) -> DataFrame:
     """Run-length code of the stages in windows of 40 epochs, as text."""
     rows = S.window_runs(epochs(spark, d), ["rec_id"], "epoch_no", "stage", 40)
@@ -245,7 +245,7 @@ def first_in_window(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("rec_id", "window_no", rounded("first_value").alias("first_value"))
 
 
-@query(f"WITH {EPOCHS_SQL} SELECT rec_id, epoch_no // 30 AS epoch, {', '.join(f'round(avg(coalesce((stage = {k})::INT, 0)), 6) AS share_{k}' for k in range(6))} FROM ep GROUP BY ALL")
+@query(f"WITH {EPOCHS_SQL} SELECT rec_id, (epoch_no // 30)::BIGINT AS epoch, {', '.join(f'round(avg(coalesce((stage = {k})::INT, 0)), 6) AS share_{k}' for k in range(6))} FROM ep GROUP BY ALL")
 def epoch_fractions(spark: SparkSession, d: str) -> DataFrame:
     """Shares of the stages in stretches of 30 epochs."""
     rows = S.epoch_fractions(epochs(spark, d), ["rec_id"], "epoch_no", "stage", list(range(6)), 30)
@@ -269,7 +269,7 @@ def mode_tiebreak(spark: SparkSession, d: str) -> DataFrame:
     return S.smallest_mode(beats(spark, d), SEG, "sleep_stages", "stage")
 
 
-@query(f"WITH {BEATS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY rec_id, seg_id ORDER BY area DESC NULLS LAST, beat_no) AS place FROM beats) SELECT rec_id, seg_id, beat_no, round(area, 6) AS area, place FROM r WHERE place <= 2")
+@query(f"WITH {BEATS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY rec_id, seg_id ORDER BY area DESC NULLS LAST, beat_no) AS place FROM beats) SELECT rec_id, seg_id, beat_no, round(area, 6) AS area, place::INT AS place FROM r WHERE place <= 2")
 def top2(spark: SparkSession, d: str) -> DataFrame:
     """The two beats of each segment with the largest area."""
     return S.top_rows(beats(spark, d), SEG, "area", "beat_no", 2).select(*SEG, "beat_no", rounded("area").alias("area"), "place")

@@ -333,7 +333,7 @@ def detected_beats(spark: SparkSession, d: str) -> DataFrame:
     return D.detect_beats(load(spark, d, "segment"), SEG, "ecg", "ecg_rate")
 
 
-@query(f"WITH {WAVES_SQL} SELECT label, pos, round(median(value), 6) AS template, count(*) AS n_waves FROM wv GROUP BY ALL")
+@query(f"WITH {WAVES_SQL} SELECT label, pos::INT AS pos, round(median(value), 6) AS template, count(*) AS n_waves FROM wv GROUP BY ALL")
 def template_median(spark: SparkSession, d: str) -> DataFrame:
     """Median wave of each group of embeddings."""
     rows = T.template(waves(spark, d), ["label"], "pos", "value")
@@ -342,7 +342,7 @@ def template_median(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {WAVES_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY value DESC, pos) AS place FROM wv),
 a AS (SELECT vec_id, label, pos AS anchor, value AS own FROM r WHERE place = 1), l AS (SELECT label, avg(own) AS level FROM a GROUP BY label)
-SELECT w.label, w.vec_id, w.pos - anchor AS aligned_offset, round(w.value - own + level, 6) AS aligned FROM wv w JOIN a USING (vec_id) JOIN l ON w.label = l.label""")
+SELECT w.label, w.vec_id, (w.pos - anchor)::INT AS aligned_offset, round(w.value - own + level, 6) AS aligned FROM wv w JOIN a USING (vec_id) JOIN l ON w.label = l.label""")
 def align_shift(spark: SparkSession, d: str) -> DataFrame:
     """Waves aligned at their tallest sample."""
     top = F.max(F.struct("value", (-F.col("pos")).alias("p"))).over(Window.partitionBy("vec_id"))
