@@ -143,7 +143,7 @@ WITH v AS (SELECT rec_id, CASE WHEN NOT isnan(sleep_stages) THEN sleep_stages EN
 g AS (SELECT 'recording' AS kind, rec_id, NULL::DOUBLE AS sleep_stages, count(*) AS n, list_sort(list(v)) AS l FROM v GROUP BY rec_id
   UNION ALL SELECT 'stage', NULL, sleep_stages, count(*), list_sort(list(v)) FROM v GROUP BY sleep_stages
   UNION ALL SELECT 'all', NULL, NULL, count(*), list_sort(list(v)) FROM v)
-SELECT kind, rec_id, sleep_stages, p::DOUBLE AS p, n, l[greatest(1, ceil(p::DOUBLE * n))::INT] AS value, 0 AS rank_error
+SELECT kind, rec_id, sleep_stages, p::DOUBLE AS p, n, l[greatest(1, ceil(p::DOUBLE * n))::INT] AS value, 0::BIGINT AS rank_error
 FROM g, (VALUES (0.05), (0.25), (0.5), (0.75), (0.95)) AS q(p) WHERE n > 0
 """
 
