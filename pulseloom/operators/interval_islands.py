@@ -9,11 +9,12 @@ that state and closes every island where it ends. A part holds its state only, n
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +25,21 @@ from pulseloom.functions.common import cut, quoted
 PERIOD, GAP = "period", "gap"
 
 
+def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[pa.RecordBatch]]]:
+    """The batches of each sorted part; a task may hold several parts, or one whose number isn't its own."""
+
+    def pieces() -> Iterator[tuple[int, pa.RecordBatch]]:
+        for batch in batches:
+            if batch.num_rows:
+                part = batch.column("part").to_numpy()
+                starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+                for low, high in zip(starts, [*starts[1:], len(part)], strict=True):
+                    yield int(part[low]), batch.slice(low, high - low)
+
+    for part, own in groupby(pieces(), key=itemgetter(0)):
+        yield part, map(itemgetter(1), own)
+
+
 def _entities(batch: pa.RecordBatch, names: list[str], last: tuple | None) -> np.ndarray:
     """True where a row's entity differs from that of the row before; nulls are equal."""
     n = batch.num_rows
@@ -57,11 +73,15 @@ def _ends_before(changed: np.ndarray, end: np.ndarray, carried: float) -> tuple[
 
 
 def _summaries(batches: Iterator[pa.RecordBatch], names: list[str], touch: float, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    for part, own in _by_part(batches):
+        row = [part, *_summary(own, names, touch)]
+        yield pa.record_batch([pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
+
+
+def _summary(batches: Iterator[pa.RecordBatch], names: list[str], touch: float) -> list:
     first = last = None
     several, start, end = False, None, -np.inf
     for batch in batches:
-        if not batch.num_rows:
-            continue
         changed = _entities(batch, names, last)
         low, high = batch.column("low").to_numpy(), batch.column("high").to_numpy()
         before, with_row = _ends_before(changed, high, end)
@@ -74,18 +94,17 @@ def _summaries(batches: Iterator[pa.RecordBatch], names: list[str], touch: float
         if opens.any():
             start = int(low[np.flatnonzero(opens)[-1]])
         end, last = with_row[-1], _key(batch, names, batch.num_rows - 1)
-    if first is not None:
-        row = [TaskContext.get().partitionId(), several, start, int(end), *first, *last]
-        yield pa.record_batch([pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
+    return [several, start, int(end), *first, *last]
 
 
 def _closed(batches: Iterator[pa.RecordBatch], names: list[str], touch: int, states: dict, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    entity, start, end, goes_on = states.get(TaskContext.get().partitionId(), (None, None, -np.inf, False))
-    seen = False
+    for part, own in _by_part(batches):
+        yield from _closed_part(own, names, touch, states[part], schema)
+
+
+def _closed_part(batches: Iterator[pa.RecordBatch], names: list[str], touch: int, state: tuple, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    entity, start, end, goes_on = state
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        seen = True
         changed = _entities(batch, names, entity)
         low, high = batch.column("low").to_numpy(), batch.column("high").to_numpy()
         before, with_row = _ends_before(changed, high, end)
@@ -105,7 +124,7 @@ def _closed(batches: Iterator[pa.RecordBatch], names: list[str], touch: int, sta
             yield from _rows(keys, gap, GAP, until + 1, low[at] - 1, schema)
             start = int(low[at[-1]])
         end, entity = with_row[-1], _key(batch, names, batch.num_rows - 1)
-    if seen and not goes_on:
+    if not goes_on:
         keys = [pa.array([x], schema.field(i).type) for i, x in enumerate(entity)]
         yield from _rows(keys, np.array([True]), PERIOD, np.array([start]), np.array([int(end)]), schema)
 
@@ -130,7 +149,7 @@ def merge_intervals(df: DataFrame, keys: list[str], start: str, end: str, *, tou
     low, high = F.least(quoted(start), quoted(end)).cast("bigint"), F.greatest(quoted(start), quoted(end)).cast("bigint")
     rows = df.where(quoted(start).isNotNull() & quoted(end).isNotNull()).select(*(quoted(k).alias(a) for k, a in zip(keys, names, strict=True)), low.alias("low"), high.alias("high"))
     longest = rows.groupBy(*names, "low").agg(F.max("high").alias("high"))  # repeated starts never pile up in one part
-    laid = cut(longest.repartitionByRange(*names, "low").sortWithinPartitions(*names, "low"))
+    laid = cut(longest.repartitionByRange(*names, "low").sortWithinPartitions(*names, "low").withColumn("part", F.spark_partition_id()))
 
     own = laid.select(*names).schema.fields
     twice = [T.StructField(f"{side}_{f.name}", f.dataType) for side in ("first", "last") for f in own]

@@ -60,6 +60,18 @@ def test_islands_over_many_parts_of_one_entity(spark):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
 
 
+def test_islands_survive_a_later_coalesce_and_union(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = [("hot", i * 7, i * 7 + (3 if i % 50 else 900)) for i in range(500)]
+        found = merge_intervals(spark.createDataFrame(rows, "k string, a long, b long"), ["k"], "a", "b")
+        assert sorted(map(tuple, found.coalesce(1).collect()), key=str) == brute_islands(rows)
+        other = spark.createDataFrame([("x", "period", 1, 2)], found.schema)
+        assert sorted(map(tuple, other.union(found).collect()), key=str) == sorted([("x", "period", 1, 2), *brute_islands(rows)], key=str)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
 def test_islands_edge_cases(spark):
     assert islands(spark, []) == []
     rows = [("a", 5, 3), ("a", None, 9), ("a", 6, None), ("a", 6, 6), ("a", 6, 6), (None, 1, 2), (None, 4, 4), ("b", 1, 100), ("b", 20, 30), ("b", 102, 103)]
