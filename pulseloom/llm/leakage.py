@@ -1,11 +1,12 @@
 """Finding evaluation passages that leaked, wholly or partly, into a corpus.
 
-Every stretch of ``run_words`` words of a passage is represented by the rarest of its n-grams that the corpus has,
-counted over the whole corpus; so a text that shares any such stretch shares a seed, edited copies share some, and
-frequent phrases seed nothing they needn't. Seeds
-are joined with the corpus' n-grams, and each (document, item) pair so found is scored by a Smith-Waterman alignment
-over words, which also yields the longest common run. The items are a stated query set: they are taken in blocks whose
-word lists are small enough for every task; the corpus is never gathered.
+Every n-gram of a passage is a seed, so a text that shares ``seed_words`` words in a row with a passage is found, however
+often others have them. Where only common runs of ``run_words`` words are asked for, every such stretch of a passage
+is represented by the rarest of its n-grams that the corpus has, counted over the whole corpus; a text that shares the
+stretch shares that seed, and frequent phrases seed nothing they needn't. Seeds are joined with the corpus' n-grams,
+and each (document, item) pair so found is scored by a Smith-Waterman alignment over words, which also yields the longest
+common run. The items are a stated query set: they are taken in blocks whose word lists are small enough for every task;
+the corpus is never gathered.
 """
 
 from __future__ import annotations
@@ -117,22 +118,24 @@ def find_leaks(
     *,
     seed_words: int = 5,
     run_words: int = 10,
+    edited: bool = True,
     block_items: int = 20_000,
 ) -> DataFrame:
-    """Rows (doc_id, item_id, run_words, score): every text that shares a stretch of ``run_words`` words with a passage.
+    """Rows (doc_id, item_id, run_words, score): every text that shares ``seed_words`` words in a row with a passage.
 
-    Texts that share a seed only are returned as well: ``run_words`` is then the longest common run and ``score`` the
-    share of the passage's best possible alignment score, from which edited copies are told (near 0: chance).
+    ``run_words`` is the longest common run and ``score`` the share of the passage's best possible alignment score, from
+    which edited copies are told (near 0: chance). With ``edited=False`` only the texts that share a stretch of
+    ``run_words`` words are sure to be among the rows; others that share a rare seed come along.
 
-    Defined cases: null or empty texts and passages match nothing; a passage shorter than ``run_words`` is represented
-    by its rarest n-gram; one shorter than ``seed_words`` cannot be found; equal passages are reported for each item;
-    repeated ids: one row for each pair of ids; empty tables give no rows.
+    Defined cases: null or empty texts and passages match nothing; one shorter than ``seed_words`` cannot be found;
+    with ``edited=False`` a passage shorter than ``run_words`` is represented by its rarest n-gram; equal passages are
+    reported for each item; repeated ids: one row for each pair of ids; empty tables give no rows.
     """
     corpus = docs.select(quoted(doc_id).alias("id"), quoted(text).alias("text"))
     wanted = items.where(quoted(passage).isNotNull()).select(quoted(item_id).alias("item"), quoted(passage).alias("passage"))
     blocks = max(1, -(-wanted.count() // block_items))
     parts = [
-        _block(corpus, wanted.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b) if blocks > 1 else wanted, seed_words, run_words)
+        _block(corpus, wanted.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b) if blocks > 1 else wanted, seed_words, run_words, edited)
         for b in range(blocks)
     ]
     found = parts[0]
@@ -141,7 +144,30 @@ def find_leaks(
     return found.withColumnsRenamed({"id": doc_id, "item": item_id})
 
 
-def _block(corpus: DataFrame, wanted: DataFrame, n: int, run_words: int) -> DataFrame:
+def _every_seed(grams: np.ndarray, keys: list[np.ndarray]) -> np.ndarray:
+    """Seeds (n-gram, passage, position): all n-grams of all passages."""
+    sizes = [len(own) for own in keys]
+    return np.column_stack([np.searchsorted(grams, np.concatenate(keys)), np.repeat(np.arange(len(keys)), sizes), np.concatenate([np.arange(n) for n in sizes])])
+
+
+def _rarest_seeds(hits: DataFrame, grams: np.ndarray, keys: list[np.ndarray], width: int) -> np.ndarray:
+    """Seeds (n-gram, passage, position): of each ``width`` n-grams in a row the rarest one that the corpus has."""
+    counts = np.zeros(len(grams), np.int64)  # at most as many as the block's n-grams
+    for row in hits.select(F.explode(F.array_distinct("gram")).alias("gram")).groupBy("gram").count().toLocalIterator():
+        counts[row["gram"]] = row["count"]
+    cost = np.where(counts > 0, counts, np.iinfo(np.int64).max)  # what no text has can seed nothing
+    seeds: set[tuple[int, int, int]] = set()
+    for k, own in enumerate(keys):
+        place = np.searchsorted(grams, own)
+        for at in range(max(1, len(own) - width + 1) if len(own) else 0):
+            stretch = place[at : at + width]
+            rarest = int(np.argmin(cost[stretch]))
+            if counts[stretch[rarest]]:
+                seeds.add((int(stretch[rarest]), k, at + rarest))
+    return np.array(sorted(seeds), np.int64).reshape(-1, 3)
+
+
+def _block(corpus: DataFrame, wanted: DataFrame, n: int, run_words: int, edited: bool) -> DataFrame:
     spark = corpus.sparkSession
     vocabulary: dict[str, int] = {}
     passages: list[tuple[object, np.ndarray]] = []
@@ -156,19 +182,8 @@ def _block(corpus: DataFrame, wanted: DataFrame, n: int, run_words: int) -> Data
         return spark.createDataFrame([], schema)
 
     hits = cut(_hits(corpus, vocabulary, grams, n, margin))
-    counts = np.zeros(len(grams), np.int64)  # at most as many as the block's n-grams
-    for row in hits.select(F.explode(F.array_distinct("gram")).alias("gram")).groupBy("gram").count().toLocalIterator():
-        counts[row["gram"]] = row["count"]
-    cost = np.where(counts > 0, counts, np.iinfo(np.int64).max)  # what no text has can seed nothing
-    seeds: set[tuple[int, int, int]] = set()
-    for k, own in enumerate(keys):
-        place = np.searchsorted(grams, own)
-        for at in range(max(1, len(own) - (run_words - n)) if len(own) else 0):
-            stretch = place[at : at + run_words - n + 1]
-            rarest = int(np.argmin(cost[stretch]))
-            if counts[stretch[rarest]]:
-                seeds.add((int(stretch[rarest]), k, at + rarest))
-    seed_table = spark.createDataFrame(sorted(seeds), "gram int, k int, item_at int")
+    seeds = _every_seed(grams, keys) if edited else _rarest_seeds(hits, grams, keys, run_words - n + 1)
+    seed_table = spark.createDataFrame(pa.table([pa.array(c, pa.int32()) for c in seeds.T], names=["gram", "k", "item_at"]))
     places = hits.select("id", F.explode(F.arrays_zip("at", "gram")).alias("hit")).select("id", F.col("hit.at").alias("at"), F.col("hit.gram").alias("gram"))
     pairs = places.join(broadcast_if_small(seed_table), "gram").groupBy("id", "k").agg(F.collect_set(F.col("at") - F.col("item_at")).alias("shifts"))
     joined = pairs.join(hits.select("id", "numbers"), "id")

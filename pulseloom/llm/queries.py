@@ -202,7 +202,7 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    leaks = p8_leaks(spark, sf_dir)
+    leaks = find_leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_item"), "doc_id", "text", "item_id", "passage", edited=False)
     return leaks.where("run_words >= 10").select("doc_id", "item_id")
 
 
@@ -217,7 +217,7 @@ SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)
 
 
 def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document that shares a seed with an item, with the longest common run and the alignment score."""
+    """Every document that shares five words in a row with an item, with the longest common run and the alignment score."""
     return find_leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_item"), "doc_id", "text", "item_id", "passage")
 
 

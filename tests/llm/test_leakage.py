@@ -54,6 +54,16 @@ def test_blocks_and_edited_copies(spark):
         assert all(0.6 < r["score"] < 1 for r in rows)
 
 
+def test_edited_copy_beside_a_verbatim_one(spark):
+    passage = " ".join(VOCAB[:24])
+    edited = " ".join(w if i % 7 != 6 else "other" for i, w in enumerate(VOCAB[:24]))  # runs of six words, all of them in the verbatim copy too
+    docs = spark.createDataFrame([(1, passage), (2, edited), (3, "w3 w4 w5 w6")], "d long, t string")
+    items = spark.createDataFrame([(7, passage)], "p long, x string")
+    rows = {r["d"]: r for r in find_leaks(docs, items, "d", "t", "p", "x").collect()}
+    assert set(rows) == {1, 2} and rows[1]["run_words"] == 24 and rows[2]["run_words"] == 6 and rows[2]["score"] > 0.7
+    assert {r["d"] for r in find_leaks(docs, items, "d", "t", "p", "x", edited=False).where("run_words >= 10").collect()} == {1}
+
+
 def test_empty_tables_and_clashing_columns(spark):
     docs = spark.createDataFrame([(1, " ".join(VOCAB), 5, 6)], "id long, text string, item int, numbers int")
     items = spark.createDataFrame([(1, " ".join(VOCAB), 3)], "k long, passage string, id int")
