@@ -139,24 +139,33 @@ def mark_for_moving(df: DataFrame, start: str, end: str, bin_low: str, bin_high:
     return df.withColumn("move", move)
 
 
-def merge_moving(df: DataFrame, keys: list[str], start: str, end: str, least: float, move: str = "move") -> DataFrame:
+def merge_moving(df: DataFrame, keys: list[str], start: str, end: str, least: float, move: str = "move", *, join_short: bool = False) -> DataFrame:
     """Join moving pieces that share a border if they are together at least ``least`` long; the joined piece stays.
 
-    Returns keys, start, end and move; pieces that don't reach the length are kept as they are. Dropped pieces are removed.
+    Returns keys, start, end and move; pieces that don't reach the length are kept as they are. With ``join_short`` they
+    are joined two by two instead: a pair under the length moves as one piece where its longer half, of equal ones the
+    first, was to move. Dropped pieces are removed.
     """
     w = Window.partitionBy(*map(quoted, keys)).orderBy(quoted(start))
+    length = quoted(end) - quoted(start)
     rows = df.where(quoted(move) != "drop").withColumn("__moves", quoted(move) != "stay")
     touches = quoted(start).eqNullSafe(F.lag(quoted(end)).over(w)) & F.col("__moves") & F.coalesce(F.lag("__moves").over(w), F.lit(False))
     rows = rows.withColumn("__new", (~touches).cast("int")).withColumn("__chain", F.sum("__new").over(w))
-    chain = Window.partitionBy(*map(quoted, keys), "__chain")
-    long = F.col("__moves") & (F.sum(quoted(end) - quoted(start)).over(chain) >= least) & (F.count("*").over(chain) > 1)
-    rows = rows.withColumns({"__joined": long, "__low": F.min(quoted(start)).over(chain), "__high": F.max(quoted(end)).over(chain)})
+    chained = [*map(quoted, keys), F.col("__chain")]
+    if join_short:
+        rows = rows.withColumn("__pair", F.floor((F.row_number().over(Window.partitionBy(*chained).orderBy(quoted(start))) - 1) / 2))
+        chained.append(F.col("__pair"))
+    chain = Window.partitionBy(*chained)
+    long = F.sum(length).over(chain) >= least
+    joined = F.col("__moves") & (F.count("*").over(chain) > 1) & (F.lit(True) if join_short else long)
+    moves = F.when(long, "stay").otherwise(F.min(F.struct(-length, quoted(start), quoted(move).alias("__move"))).over(chain)["__move"])
+    rows = rows.withColumns({"__joined": joined, "__moves_to": moves, "__low": F.min(quoted(start)).over(chain), "__high": F.max(quoted(end)).over(chain)})
     rows = rows.where(~F.col("__joined") | (quoted(start) == F.col("__low")))
     return rows.select(
         *map(quoted, keys),
         quoted(start),
         F.when(F.col("__joined"), F.col("__high")).otherwise(quoted(end)).alias(end),
-        F.when(F.col("__joined"), F.lit("stay")).otherwise(quoted(move)).alias(move),
+        F.when(F.col("__joined"), F.col("__moves_to")).otherwise(quoted(move)).alias(move),
     )
 
 

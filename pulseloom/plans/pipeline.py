@@ -27,7 +27,9 @@ def clean_segments(noise: DataFrame, lengths: DataFrame, *, target_ms: int = 900
     """Stage A: pieces (rec_id, final_bin, s, e) of about ``target_ms`` without noise, in milliseconds.
 
     ``noise`` has (rec_id, s, e) and ``lengths`` (rec_id, length_ms). Noise shorter than ``least_noise_ms`` is ignored;
-    pieces shorter than half a target move to their neighbour.
+    pieces shorter than half a target move to their neighbour. Two of them that share a bin border are joined first, and stay
+    as a bin of their own if they are half a target together. As in the original, short pieces in the outer halves of the first
+    and last bin, and movers without a staying piece on their side, belong to no bin.
     """
     long_noise = I.merge_overlaps(noise.where(F.col("e") - F.col("s") >= least_noise_ms), ["rec_id"], "s", "e")
     bounds = lengths.select("rec_id", F.lit(0).cast("bigint").alias("low"), F.col("length_ms").alias("high"))
@@ -36,7 +38,8 @@ def clean_segments(noise: DataFrame, lengths: DataFrame, *, target_ms: int = 900
     last = pieces.groupBy("rec_id").agg(F.max("bin_no").alias("last_bin"))
     placed = pieces.join(last, "rec_id").withColumns({"low": F.col("bin_no") * target_ms, "high": (F.col("bin_no") + 1) * target_ms})
     marked = I.mark_for_moving(placed, "s", "e", "low", "high", F.col("bin_no") == 0, F.col("bin_no") == F.col("last_bin"), target_ms / 2)
-    return I.assign_moved(marked, ["rec_id"], "s").where("final_bin is not null").select("rec_id", "final_bin", "s", "e")
+    merged = I.merge_moving(marked, ["rec_id"], "s", "e", target_ms / 2, join_short=True)
+    return I.assign_moved(merged, ["rec_id"], "s").where("final_bin is not null").select("rec_id", "final_bin", "s", "e")
 
 
 def pulse_points(samples: DataFrame, keys: list[str]) -> DataFrame:

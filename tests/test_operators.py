@@ -128,6 +128,28 @@ def test_interval_edges(spark):
     assert rows(layout) == [("a", 0, 0, 10), ("a", 1, 10, 23), ("b", 0, 0, 10), ("b", 1, 10, 20), ("b", 2, 20, 27), ("c", 0, 0, 4)]
 
 
+def test_short_pieces_at_a_border_are_joined(spark):
+    df = spark.createDataFrame(
+        [("a", 60, 100, "right"), ("a", 100, 140, "left"), ("b", 80, 100, "right"), ("b", 100, 130, "left"), ("b", 150, 200, "stay")]
+        + [("c", 90, 100, "right"), ("c", 100, 110, "left"), ("d", 80, 100, "right"), ("d", 101, 130, "left"), ("d", 0, 5, "drop")],
+        "k string, s long, e long, move string",
+    )
+    got = rows(I.merge_moving(df, ["k"], "s", "e", 60, join_short=True))
+    assert got == [("a", 60, 140, "stay"), ("b", 150, 200, "stay"), ("b", 80, 130, "left"), ("c", 90, 110, "right"), ("d", 101, 130, "left"), ("d", 80, 100, "right")]
+    assert ("c", 90, 100, "right") in rows(I.merge_moving(df, ["k"], "s", "e", 60))
+
+
+def test_pipeline_keeps_clean_time_around_a_border(spark):
+    from pulseloom.plans.pipeline import clean_segments
+
+    noise = spark.createDataFrame([("a", 0, 700_000), ("a", 1_100_000, 2_700_000)], "rec_id string, s long, e long")
+    lengths = spark.createDataFrame([("a", 2_700_000)], "rec_id string, length_ms long")
+    # 200 s on both sides of 900 s are 400 s, under 450 s: they move, and nothing stays; 250 s and 200 s are enough
+    assert clean_segments(noise, lengths).count() == 0
+    noise = spark.createDataFrame([("a", 0, 650_000), ("a", 1_100_000, 2_700_000)], "rec_id string, s long, e long")
+    assert rows(clean_segments(noise, lengths)) == [("a", 0, 650_000, 1_100_000)]
+
+
 def test_points_in_long_intervals(spark):
     spans = spark.createDataFrame([("a", 0, 10_000_000), ("a", 20_000_000, 20_000_000)], "k string, s long, e long")
     points = spark.createDataFrame([("a", 5), ("a", 5), ("a", 10_000_000), ("a", 10_000_001), ("a", 20_000_000), ("b", 5), ("a", None)], "k string, at long")
