@@ -232,3 +232,27 @@ def extreme_deviates(x: np.ndarray, most: int, alpha: float = 0.05) -> np.ndarra
         alive = np.delete(alive, k)
     mask[removed[:last]] = True
     return mask
+
+
+def smooth_row(y: np.ndarray, width: int, passes: int = 3) -> np.ndarray:
+    """Boxcar smoothing of one channel as in ``moving.smooth``; NaN where the samples there weigh less than half the width."""
+    if width < 2:
+        return y
+    weights = np.ones(width) if width % 2 else np.r_[0.5, np.ones(width - 1), 0.5]
+    half = len(weights) // 2
+    for _ in range(passes):
+        known = ~np.isnan(y)
+        total, weight = (np.convolve(x, weights)[half : half + len(y)] for x in (np.where(known, y, 0.0), known.astype(float)))
+        y = np.where(weight >= max(width / 2, 1), total / np.where(weight > 0, weight, 1), np.nan)
+    return y
+
+
+def second_valley(y: np.ndarray) -> int | None:
+    """Position of the least sample between the first two peaks of the channel smoothed over a tenth of its length, or None."""
+    smoothed = smooth_row(y, int(len(y) / 10 + 0.5))
+    starts = np.flatnonzero(np.r_[True, smoothed[1:] != smoothed[:-1]]) if len(y) else np.zeros(0, int)  # level peaks count where they begin
+    levels = smoothed[starts]
+    peaks = starts[1:-1][(levels[1:-1] > levels[:-2]) & (levels[1:-1] > levels[2:])]
+    if len(peaks) < 2 or np.isnan(y[peaks[0] : peaks[1] + 1]).all():
+        return None
+    return int(peaks[0] + np.nanargmin(y[peaks[0] : peaks[1] + 1]))

@@ -6,10 +6,15 @@ neighbouring cells are enough; a busy entity is spread over its cells.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulseloom.functions.common import quoted
+from pulseloom.functions.common import broadcast_if_small, cut, quoted
+from pulseloom.functions.kernels import second_valley
 
 
 def with_neighbours(df: DataFrame, keys: list[str], at: str) -> DataFrame:
@@ -47,21 +52,82 @@ def add_unmatched(pairs: DataFrame, valleys: DataFrame, keys: list[str], peak_at
     return pairs.unionByName(free.withColumn(peak_at, F.lit(None).cast(pairs.schema[peak_at].dataType)))
 
 
+def _settled(pairs: DataFrame, keys: list[str], peak_at: str, valley_at: str) -> DataFrame:
+    """Pairs in the order of their valleys, with what a peak that shares its valley with a nearer one is to do."""
+    shared = Window.partitionBy(*map(quoted, keys), quoted(valley_at))
+    by_distance = shared.orderBy(F.abs(quoted(peak_at) - quoted(valley_at)), quoted(peak_at))
+    paired = quoted(valley_at).isNotNull() & quoted(peak_at).isNotNull()
+    ranked = pairs.withColumns({"__place": F.when(paired, F.row_number().over(by_distance)), "__n": F.count(quoted(peak_at)).over(shared)})
+    order = Window.partitionBy(*map(quoted, keys)).orderBy(quoted(valley_at).asc_nulls_first(), F.col("__place").asc_nulls_last(), quoted(peak_at))
+    free_next = F.lead(quoted(peak_at)).over(order).isNull() & F.lead(quoted(valley_at)).over(order).isNotNull()
+    lost = (F.col("__place") == 2) & (F.col("__n") == 2)
+    marked = ranked.withColumns(
+        {
+            "__takes": F.coalesce(lost & free_next, F.lit(False)),
+            "__next": F.lead(quoted(valley_at)).over(order),
+            "__before": F.lag(quoted(valley_at), 2).over(order),
+            "__later": quoted(peak_at) > F.lag(quoted(peak_at)).over(order),
+        }
+    )
+    marked = marked.withColumn("__taken", F.coalesce(F.lag("__takes").over(order), F.lit(False)) & quoted(peak_at).isNull())
+    return marked.where(~F.col("__taken")).withColumn("__searches", F.coalesce(lost & ~F.col("__takes") & F.col("__next").isNotNull(), F.lit(False)))
+
+
 def settle_shared(pairs: DataFrame, keys: list[str], peak_at: str, valley_at: str) -> DataFrame:
     """Let each valley serve one peak: of several the nearest keeps it, the others get a neighbouring free valley or null.
 
-    A peak that lost its valley takes the next valley in order if no peak uses that one.
+    Of two peaks the one that lost its valley takes the next valley in order if no peak uses that one.
     Expects the output of :func:`add_unmatched`.
     """
-    by_valley = Window.partitionBy(*map(quoted, keys), quoted(valley_at)).orderBy(F.abs(quoted(peak_at) - quoted(valley_at)), quoted(peak_at))
-    ranked = pairs.withColumn("__place", F.when(quoted(valley_at).isNotNull() & quoted(peak_at).isNotNull(), F.row_number().over(by_valley)))
-    order = Window.partitionBy(*map(quoted, keys)).orderBy(F.coalesce(quoted(valley_at), quoted(peak_at)), F.col("__place").asc_nulls_last(), quoted(peak_at))
-    free_next = F.lead(quoted(peak_at)).over(order).isNull() & F.lead(quoted(valley_at)).over(order).isNotNull()
-    lost = F.col("__place") == 2
-    marked = ranked.withColumns({"__takes": lost & free_next, "__next": F.lead(quoted(valley_at)).over(order)})
-    marked = marked.withColumn("__taken", F.coalesce(F.lag("__takes").over(order), F.lit(False)) & quoted(peak_at).isNull())
     valley = F.when(F.col("__takes"), F.col("__next")).when(F.col("__place") > 1, None).otherwise(quoted(valley_at))
-    return marked.where(~F.col("__taken")).select(*map(quoted, keys), quoted(peak_at), valley.alias(valley_at))
+    return _settled(pairs, keys, peak_at, valley_at).select(*map(quoted, keys), quoted(peak_at), valley.alias(valley_at))
+
+
+def settle_all(pairs: DataFrame, samples: DataFrame, keys: list[str], peak_at: str, valley_at: str, sample_at: str, value: str, *, how: str = "how", cell: float = 4.0) -> DataFrame:
+    """:func:`settle_shared` that leaves no peak without a time, and says in ``how`` where it comes from.
+
+    "own": the peak's nearest valley; "next": the next free one; "searched": the least of the samples between the first two
+    smoothed peaks, towards the next valley for the later of two peaks, towards the one before for the earlier one;
+    "peak": the peak's own time, where more than two peaks share a valley, there is no further valley, or the samples
+    (``sample_at`` in the unit of the peaks) hold no two peaks. Valleys without a peak are "unpaired".
+    """
+    rows = _settled(pairs, keys, peak_at, valley_at).withColumn("__at", quoted(peak_at))
+    searching = rows.where("__searches")
+    low = F.when(F.col("__later"), quoted(valley_at)).otherwise(F.coalesce("__before", F.lit(0.0)))
+    high = F.when(F.col("__later"), F.col("__next")).otherwise(quoted(valley_at))
+    gaps = searching.select(*map(quoted, keys), low.alias("__low"), high.alias("__high"), "__later", "__at")
+    gaps = gaps.groupBy(*map(quoted, keys), "__low", "__high").agg(F.max(F.when(F.col("__later"), F.col("__at"))).alias("__first"), F.max(F.when(~F.col("__later"), F.col("__at"))).alias("__second"))
+    wave = samples.select(*map(quoted, keys), quoted(sample_at).alias("__sec"), quoted(value).cast("double").alias("__value"))
+    inside = _within(broadcast_if_small(cut(gaps)), wave, keys, F.col("__low"), F.col("__high"), "__sec", cell)
+    collected = inside.groupBy(*map(quoted, keys), "__low", "__high", "__first", "__second").agg(F.array_sort(F.collect_list(F.struct("__sec", "__value"))).alias("__wave"))
+    collected = collected.select(*map(quoted, keys), "__first", "__second", F.col("__wave.__sec").alias("__sec"), F.col("__wave.__value").alias("__value"))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            which: list[int] = []
+            found: list[tuple[float, float]] = []
+            columns = (batch.column(c).to_pylist() for c in ("__first", "__second", "__sec", "__value"))
+            for i, (first, second, sec, y) in enumerate(zip(*columns, strict=True)):
+                at, y, begin = np.array(sec), np.array(y, float), 0
+                if first is not None:
+                    k = second_valley(y)
+                    if k is not None:
+                        which.append(i)
+                        found.append((first, float(at[k])))
+                    begin = int(np.searchsorted(at, first)) if k is None else k  # what the later peak got bounds the earlier one's search
+                if second is not None and (k := second_valley(y[begin:])) is not None:
+                    which.append(i)
+                    found.append((second, float(at[begin + k])))
+            if which:
+                part = batch.select(keys).take(pa.array(which))
+                yield pa.record_batch([*part.columns, *(pa.array(c, pa.float64()) for c in zip(*found, strict=True))], names=[*keys, "__at", "__found"])
+
+    schema = collected.select(*map(quoted, keys), F.lit(0.0).alias("__at"), F.lit(0.0).alias("__found")).schema
+    settled = rows.join(broadcast_if_small(cut(collected.mapInArrow(search, schema))), [*keys, "__at"], "left")
+    own = quoted(valley_at).isNotNull() & (F.col("__place") == 1)
+    source = F.when(quoted(peak_at).isNull(), "unpaired").when(own, "own").when(F.col("__takes"), "next").when(F.col("__found").isNotNull(), "searched").otherwise("peak")
+    at = F.when(source.isin("unpaired", "own"), quoted(valley_at)).when(source == "next", F.col("__next")).when(source == "searched", F.col("__found")).otherwise(quoted(peak_at))
+    return settled.select(*map(quoted, keys), quoted(peak_at), at.alias(valley_at), source.alias(how))
 
 
 def next_within(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str, *, reach: float, delay: str = "delay") -> DataFrame:

@@ -11,7 +11,7 @@ from pulseloom.functions.common import broadcast_if_small, load
 from pulseloom.operators import intervals as I
 from pulseloom.operators import matching as M
 from pulseloom.operators import runs as R
-from pulseloom.plans.views import BEATS_SQL, EPOCHS_SQL, MARKINGS_SQL, MERGED_SQL, SEG, beats, epochs, events_of, events_sql, markings, rates, rounded
+from pulseloom.plans.views import BEATS_SQL, EPOCHS_SQL, MARKINGS_SQL, MERGED_SQL, SEG, beats, epochs, events_of, events_sql, markings, rates, rounded, signal
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -332,9 +332,10 @@ def unmatched_valleys(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def settled_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs in which no valley serves two R peaks."""
+    """Pairs in which no valley serves two R peaks and every R peak has a time, with where that comes from."""
     both = M.add_unmatched(_pairs(spark, d), _valley_times(spark, d), SEG, "r_sec", "ppg_sec")
-    return M.settle_shared(both, SEG, "r_sec", "ppg_sec").select(*SEG, rounded("r_sec").alias("r_sec"), rounded("ppg_sec").alias("ppg_sec"))
+    samples = signal(spark, d).select(*SEG, (F.col("idx") / F.col("fs")).alias("sec"), "value")
+    return M.settle_all(both, samples, SEG, "r_sec", "ppg_sec", "sec", "value").select(*SEG, rounded("r_sec").alias("r_sec"), rounded("ppg_sec").alias("ppg_sec"), "how")
 
 
 TRANSIT_SQL = f"""WITH {events_sql('r_peak', 'p')}, {events_sql('ppg_valley', 'v')},

@@ -61,7 +61,7 @@ def beats_and_pairs(segments: DataFrame, samples: DataFrame) -> DataFrame:
     peaks = D.detect_beats(segments, [*SEG, "ecg_rate"], "ecg", "ecg_rate").select(*SEG, (F.col("idx") / F.col("ecg_rate")).alias("r_sec")).distinct()
     valleys = pulse_points(samples, SEG).where("kind = 'valley'").select(*SEG, (F.col("idx") / F.col("fs")).alias("ppg_sec"))
     pairs = M.add_unmatched(M.match_between_neighbours(peaks, valleys, SEG, "r_sec", "ppg_sec"), valleys, SEG, "r_sec", "ppg_sec")
-    return M.settle_shared(pairs, SEG, "r_sec", "ppg_sec")
+    return M.settle_all(pairs, samples.withColumn("sec", F.col("idx") / F.col("fs")), SEG, "r_sec", "ppg_sec", "sec", "value")
 
 
 def beat_features(samples: DataFrame) -> DataFrame:
@@ -89,7 +89,7 @@ def pipeline_segments(spark: SparkSession, d: str) -> DataFrame:
 def pipeline_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Stage B over all segments with both excerpts."""
     own = load(spark, d, "segment").where((F.size("ecg") > 1) & (F.size("po") > 1)).select(*SEG, "ecg_rate", "ecg").dropDuplicates(SEG)
-    return beats_and_pairs(own, signal(spark, d)).select(*SEG, rounded("r_sec").alias("r_sec"), rounded("ppg_sec").alias("ppg_sec"))
+    return beats_and_pairs(own, signal(spark, d)).select(*SEG, rounded("r_sec").alias("r_sec"), rounded("ppg_sec").alias("ppg_sec"), "how")
 
 
 def pipeline_features(spark: SparkSession, d: str) -> DataFrame:

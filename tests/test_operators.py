@@ -117,6 +117,19 @@ def test_shared_valley_goes_to_the_nearer_peak(spark):
     assert set(rows(M.settle_shared(both, ["k"], "r", "p"))) == {("a", 1.5, 1.4), ("a", 1.0, 1.9), ("a", 3.0, 3.1)}
 
 
+def test_every_peak_gets_a_time(spark):
+    both = spark.createDataFrame(
+        [("a", 1.0, 1.2), ("a", 1.5, 1.2), ("a", 4.1, 4.0), ("a", None, 6.0)]  # the later peak searches 1.2 to 4.0
+        + [("b", 1.0, 2.0), ("b", 2.0, 2.0), ("b", 3.0, 2.0), ("b", 5.0, None)],
+        "k string, r double, p double",
+    )
+    wave = [("a", i / 100, -float(np.cos(2 * np.pi * (i / 100 - 1.2) / 1.4))) for i in range(700)]
+    got = rows(M.settle_all(both, spark.createDataFrame(wave, "k string, t double, v double"), ["k"], "r", "p", "t", "v"))
+    assert set(got) == {("a", 1.0, 1.2, "own"), ("a", 1.5, 2.6, "searched"), ("a", 4.1, 4.0, "own"), ("a", None, 6.0, "unpaired")} | {
+        ("b", 2.0, 2.0, "own"), ("b", 1.0, 1.0, "peak"), ("b", 3.0, 3.0, "peak"), ("b", 5.0, 5.0, "peak")
+    }
+
+
 def test_interval_edges(spark):
     df = spark.createDataFrame([("a", 0, 10), ("a", 10, 20), ("a", 5, 3), ("b", 7, 7)], "k string, s long, e long")
     assert rows(I.merge_overlaps(df, ["k"], "s", "e")) == [("a", 0, 20), ("b", 7, 7)]
