@@ -46,6 +46,14 @@ def match_between_neighbours(peaks: DataFrame, valleys: DataFrame, keys: list[st
     return own.select(*map(quoted, keys), quoted(peak_at)).join(chosen, [*keys, peak_at], "left")
 
 
+def plausible_peaks(peaks: DataFrame, valleys: DataFrame, keys: list[str]) -> DataFrame:
+    """Peaks of the entities that have at least half and at most one and a half times as many peaks as valleys."""
+    count = lambda df, name: df.groupBy(*map(quoted, keys)).agg(F.count("*").alias(name))
+    both = count(peaks, "__n_peaks").join(count(valleys, "__n_valleys"), keys, "left").fillna(0, ["__n_valleys"])
+    good = both.where((F.col("__n_peaks") >= F.col("__n_valleys") / 2) & (F.col("__n_peaks") <= F.col("__n_valleys") * 1.5))
+    return peaks.join(good.select(*map(quoted, keys)), keys, "left_semi")
+
+
 def add_unmatched(pairs: DataFrame, valleys: DataFrame, keys: list[str], peak_at: str, valley_at: str) -> DataFrame:
     """Append the valleys that no pair uses, with a null peak."""
     free = valleys.select(*map(quoted, keys), quoted(valley_at)).distinct().join(pairs.select(*map(quoted, keys), quoted(valley_at)), [*keys, valley_at], "left_anti")

@@ -1,6 +1,7 @@
-"""The three stages end to end: clean segments, beats and pairs, features and window statistics.
+"""The three stages, each on its own: clean segments, beats and pairs, beat features.
 
-Each stage takes and returns DataFrames. :func:`run_stage` keeps a stage's result as Parquet by recording and computes
+Each stage takes and returns DataFrames. Stages B and C read the segments' excerpts, not what the stage before returns;
+R peaks come from the one adaptive detector, without a vote, and window statistics are queries of their own. :func:`run_stage` keeps a stage's result as Parquet by recording and computes
 only recordings that are not there yet.
 """
 
@@ -11,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseloom.functions.common import load
+from pulseloom.functions.common import cut, load
 from pulseloom.operators import detect as D
 from pulseloom.operators import features as B
 from pulseloom.operators import intervals as I
@@ -57,9 +58,15 @@ def pulse_points(samples: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def beats_and_pairs(segments: DataFrame, samples: DataFrame) -> DataFrame:
-    """Stage B: R peaks of the ECG arrays in ``segments`` with the pulse valley each is paired with, in seconds."""
+    """Stage B: R peaks of the ECG arrays in ``segments`` with the pulse valley each is paired with, in seconds.
+
+    Segments whose peaks are fewer than half or more than one and a half times their valleys keep their valleys unpaired.
+    """
     peaks = D.detect_beats(segments, [*SEG, "ecg_rate"], "ecg", "ecg_rate").select(*SEG, (F.col("idx") / F.col("ecg_rate")).alias("r_sec")).distinct()
+    peaks = cut(peaks)
     valleys = pulse_points(samples, SEG).where("kind = 'valley'").select(*SEG, (F.col("idx") / F.col("fs")).alias("ppg_sec"))
+    valleys = cut(valleys)
+    peaks = M.plausible_peaks(peaks, valleys, SEG)
     pairs = M.add_unmatched(M.match_between_neighbours(peaks, valleys, SEG, "r_sec", "ppg_sec"), valleys, SEG, "r_sec", "ppg_sec")
     return M.settle_all(pairs, samples.withColumn("sec", F.col("idx") / F.col("fs")), SEG, "r_sec", "ppg_sec", "sec", "value")
 

@@ -130,6 +130,18 @@ def test_every_peak_gets_a_time(spark):
     }
 
 
+def test_implausible_segments_keep_their_valleys_unpaired(spark, monkeypatch):
+    from pulseloom.plans import pipeline
+
+    peaks = spark.createDataFrame([("a", n, float(i), 1.0) for n, m in ((1, 3), (2, 1), (3, 5), (4, 2)) for i in range(m)], "rec_id string, seg_id int, idx double, ecg_rate double")
+    valleys = spark.createDataFrame([("a", n, i + 0.1, 1.0, "valley") for n, m in ((1, 3), (2, 3), (3, 3)) for i in range(m)], "rec_id string, seg_id int, idx double, fs double, kind string")
+    monkeypatch.setattr(pipeline.D, "detect_beats", lambda *_: peaks)
+    monkeypatch.setattr(pipeline, "pulse_points", lambda *_: valleys)
+    samples = spark.createDataFrame([], "rec_id string, seg_id int, fs double, idx long, value double")
+    got = pipeline.beats_and_pairs(peaks, samples).collect()
+    assert {(r["seg_id"], r["r_sec"] is None) for r in got} == {(1, False), (2, True), (3, True)} and len(got) == 9
+
+
 def test_interval_edges(spark):
     df = spark.createDataFrame([("a", 0, 10), ("a", 10, 20), ("a", 5, 3), ("b", 7, 7)], "k string, s long, e long")
     assert rows(I.merge_overlaps(df, ["k"], "s", "e")) == [("a", 0, 20), ("b", 7, 7)]
