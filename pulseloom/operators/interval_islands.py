@@ -23,6 +23,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pulseloom.functions.common import cut, quoted
 
 PERIOD, GAP = "period", "gap"
+#: End of no interval; lower than any bound.
+NOTHING = -(2**62)
 
 
 def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[pa.RecordBatch]]]:
@@ -56,19 +58,19 @@ def _key(batch: pa.RecordBatch, names: list[str], row: int) -> tuple:
     return tuple(batch.column(name)[row].as_py() for name in names)
 
 
-def _ends_before(changed: np.ndarray, end: np.ndarray, carried: float) -> tuple[np.ndarray, np.ndarray]:
-    """For each row the largest end so far of its entity without the row, -inf at first; and with the row."""
+def _ends_before(changed: np.ndarray, end: np.ndarray, carried: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the largest end so far of its entity without the row, ``NOTHING`` at first; and with the row."""
     group = np.cumsum(changed)
     order = np.argsort(end, kind="stable")
     rank = np.empty(len(end), np.int64)
     rank[order] = np.arange(len(end))  # ranks are far smaller than ends, so group * n + rank is exact
     best = np.maximum.accumulate(group * len(end) + rank)
-    with_row = end[order][best - group * len(end)].astype(float)
+    with_row = end[order][best - group * len(end)]
     if not changed[0]:
         with_row = np.where(group == 0, np.maximum(with_row, carried), with_row)
-    before = np.empty(len(end))
-    before[0] = carried if not changed[0] else -np.inf
-    before[1:] = np.where(changed[1:], -np.inf, with_row[:-1])
+    before = np.empty(len(end), np.int64)
+    before[0] = carried if not changed[0] else NOTHING
+    before[1:] = np.where(changed[1:], NOTHING, with_row[:-1])
     return before, with_row
 
 
@@ -80,7 +82,7 @@ def _summaries(batches: Iterator[pa.RecordBatch], names: list[str], touch: float
 
 def _summary(batches: Iterator[pa.RecordBatch], names: list[str], touch: float) -> list:
     first = last = None
-    several, start, end = False, None, -np.inf
+    several, start, end = False, None, NOTHING
     for batch in batches:
         changed = _entities(batch, names, last)
         low, high = batch.column("low").to_numpy(), batch.column("high").to_numpy()
@@ -110,16 +112,17 @@ def _closed_part(batches: Iterator[pa.RecordBatch], names: list[str], touch: int
         before, with_row = _ends_before(changed, high, end)
         at = np.flatnonzero(changed | (low > before + touch))
         if len(at):
-            # the island that a row closes began at the opening row before, or in an earlier batch or part
+            # the island that a row closes began at the opening row before, or in an earlier batch or part; it ends at the
+            # largest end up to the row before, which rows of this batch may have set too
             begin = np.r_[start if start is not None else 0, low[at[:-1]]].astype(np.int64)
-            until = np.r_[end if np.isfinite(end) else 0, with_row[at[1:] - 1]].astype(np.int64)
+            until = np.r_[with_row[at[0] - 1] if at[0] else end, with_row[at[1:] - 1]].astype(np.int64)
             closes = np.ones(len(at), bool)
             closes[0] = entity is not None
             owner = np.maximum(at - 1, 0)
             keys = [batch.column(name).take(pa.array(owner)) for name in names]
             if closes[0] and at[0] == 0:
                 keys = [pa.concat_arrays([pa.array([entity[i]], k.type), k.slice(1)]) for i, k in enumerate(keys)]
-            gap = closes & ~changed[at]
+            gap = closes & ~changed[at] & (low[at] > until + 1)
             yield from _rows(keys, closes, PERIOD, begin, until, schema)
             yield from _rows(keys, gap, GAP, until + 1, low[at] - 1, schema)
             start = int(low[at[-1]])
@@ -138,9 +141,9 @@ def _rows(keys: list[pa.Array], use: np.ndarray, kind: str, low: np.ndarray, hig
 def merge_intervals(df: DataFrame, keys: list[str], start: str, end: str, *, touch: int = 1) -> DataFrame:
     """Rows (keys, kind, start, end): the periods that an entity's intervals cover, and the gaps between neighbours.
 
-    Bounds are whole numbers and inclusive. :param touch: an interval that begins at most that far behind the end so
+    Bounds are whole numbers above -2**62 and inclusive. :param touch: an interval that begins at most that far behind the end so
     far continues the period: 1 joins intervals that follow on the next number, 0 those that share one, -1 those that
-    share two.
+    share two. Of intervals with the same start the longest stands for all. A gap holds at least one number.
 
     Defined cases: exchanged bounds are put right; a missing bound: the row does not count; null keys are an entity of
     their own; nested and repeated intervals change nothing; an empty table gives no rows; other columns are ignored.
@@ -157,11 +160,12 @@ def merge_intervals(df: DataFrame, keys: list[str], start: str, end: str, *, tou
     arrow = to_arrow_schema(summary)
     parts = sorted(laid.mapInArrow(lambda batches: _summaries(batches, names, touch, arrow), summary).collect(), key=lambda r: r["part"])  # one row a part
 
-    states, state = {}, (None, None, -np.inf)
+    states, state = {}, (None, None, NOTHING)
     for i, row in enumerate(parts):
         first, last = tuple(row)[4 : 4 + len(names)], tuple(row)[4 + len(names) :]
         following = tuple(parts[i + 1])[4 : 4 + len(names)] if i + 1 < len(parts) else None
-        states[row["part"]] = (*state, following == last)
+        # an entity that ends with its part is closed there
+        states[row["part"]] = (*(state if state[0] == first else (None, None, NOTHING)), following == last)
         if not row["several"] and state[0] == first and row["start"] <= state[2] + touch:
             state = (last, state[1], max(state[2], row["end"]))
         else:

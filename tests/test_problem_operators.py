@@ -21,14 +21,16 @@ def brute_islands(rows, touch=1):
         if a is not None and b is not None:
             by.setdefault(key, []).append((min(a, b), max(a, b)))
     for key, spans in by.items():
-        periods = []
-        for a, b in sorted(spans):
+        periods, longest = [], {}
+        for a, b in spans:
+            longest[a] = max(b, longest.get(a, b))
+        for a, b in sorted(longest.items()):
             if periods and a <= periods[-1][1] + touch:
                 periods[-1][1] = max(periods[-1][1], b)
             else:
                 periods.append([a, b])
         out += [(key, "period", a, b) for a, b in periods]
-        out += [(key, "gap", p[1] + 1, q[0] - 1) for p, q in zip(periods, periods[1:])]
+        out += [(key, "gap", p[1] + 1, q[0] - 1) for p, q in zip(periods, periods[1:]) if q[0] > p[1] + 1]
     return sorted(out, key=str)
 
 
@@ -60,6 +62,27 @@ def test_islands_over_many_parts_of_one_entity(spark):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
 
 
+@pytest.mark.parametrize(("parts", "batch"), [(1, 1), (1, 7), (2, 2), (3, 1), (5, 7), (16, 1), (16, 2), (64, 7), (64, 10_000)])
+def test_islands_do_not_depend_on_parts_and_batches(spark, parts, batch):
+    names = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": str(parts), "spark.sql.execution.arrow.maxRecordsPerBatch": str(batch)}
+    before = {k: spark.conf.get(k) for k in names}
+    rng = random.Random(parts * 1000 + batch)
+    rows = []
+    for i in range(400):  # chains of intervals that lengthen the one before, so that islands grow across borders
+        low = i * 10 + rng.randrange(4)
+        rows.append((rng.choice(["hot"] * 4 + ["a", None]), low, low + rng.choice([0, 4, 8, 12, 25, 60, 300])))
+    big = 2**55
+    rows += [("big", big + a, big + b) for a, b in ((1, 2), (3, 3), (5, 9), (8, 12), (13, 14))]
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        for touch in (1, 0, -1):
+            assert islands(spark, rows, touch=touch) == brute_islands(rows, touch)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_islands_survive_a_later_coalesce_and_union(spark):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
