@@ -7,6 +7,10 @@ sum of these halves bounds the error of any percentile; it is carried with the s
 fixed rule and the tree has ``log(n / size) / log(fan)`` levels, so the bound is at most about
 ``levels / (2 * size)`` of n. Sketches are ordinary rows, one for each buffer, and those of different partitions,
 recordings or days are combined by collapsing them together.
+
+A task feeds each value into the buffers of all groupings asked for at once, so that of a coarse group, however large,
+it hands on a few buffers a level. Groups with many buffers are combined in rounds, each in as many parts as it has
+buffers for; the number of rounds grows with the logarithm of their number.
 """
 
 from __future__ import annotations
@@ -21,12 +25,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from pulseloom.functions.common import quoted
+from pulseloom.functions.common import broadcast_if_small, cut, quoted
 
 SIZE = 2048
 FAN = 16
-#: Single values that a task buffers over all its groups before it hands on what it has.
+#: Values that a task holds over all its groups, in full buffers or waiting, before it hands on what it has.
 TASK_VALUES = 4_000_000
+#: Buffers of one group that one task combines; a group with more is combined in parts first.
+PART_BUFFERS = 4096
 
 _NAN = float("nan")
 
@@ -64,6 +70,10 @@ class Buffers:
             self.full[level] = []
             self.add_buffer(level + 1, merged[self.fan // 2 :: self.fan])
 
+    @property
+    def held(self) -> int:
+        return self.n_waiting + self.size * sum(map(len, self.full.values()))
+
     def rows(self) -> Iterator[tuple[int, int, np.ndarray]]:
         """(level, error, values) of each buffer; level -1 holds single values. The error stands on one row."""
         error = self.error
@@ -103,6 +113,16 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, schema.field(i).type) for i, c in enumerate(columns[:-1])] + [arrays.cast(schema.field("values").type)], schema=schema)
 
 
+def _codes(batch: pa.RecordBatch, names: list[str]) -> tuple[np.ndarray, list[list]]:
+    """A number for each row's key, and the labels of each key column from which it is made."""
+    codes, parts = np.zeros(batch.num_rows, np.int64), []
+    for name in names:
+        coded = batch.column(name).dictionary_encode(null_encoding="encode")
+        parts.append(_label(coded.dictionary))
+        codes = codes * len(parts[-1]) + coded.indices.to_numpy(zero_copy_only=False)
+    return codes, parts
+
+
 def build_sketches(df: DataFrame, keys: list[str], value: str, *, size: int = SIZE, fan: int = FAN) -> DataFrame:
     """Sketches of ``value`` by ``keys`` as rows (keys, level, error, values); no shuffle.
 
@@ -110,10 +130,20 @@ def build_sketches(df: DataFrame, keys: list[str], value: str, *, size: int = SI
     Null and NaN values are not counted; infinite ones are; null keys are a group of their own,
     and so are NaN keys.
     """
+    return build_rollups(df, {"": keys}, value, size=size, fan=fan).drop("kind")
+
+
+def build_rollups(df: DataFrame, groupings: dict[str, list[str]], value: str, *, size: int = SIZE, fan: int = FAN) -> DataFrame:
+    """Sketches of ``value`` for several groupings in one pass: rows (kind, all key columns, level, error, values); no shuffle.
+
+    ``kind`` is the grouping's name; key columns that it doesn't use are null. Values and keys as in :func:`build_sketches`.
+    """
+    keys = list(dict.fromkeys(k for own in groupings.values() for k in own))
     named = [f"k{i}" for i in range(len(keys))]
+    used = [(kind, [keys.index(k) for k in own]) for kind, own in groupings.items()]
     number = quoted(value).cast("double")
-    rows = df.where(number.isNotNull() & ~F.isnan(number)).select(*(quoted(k).alias(a) for k, a in zip(keys, named, strict=True)), number.alias("v"))
-    schema = _schema(rows, named)
+    rows = df.where(number.isNotNull() & ~F.isnan(number)).select(F.lit("").alias("kind"), *(quoted(k).alias(a) for k, a in zip(keys, named, strict=True)), number.alias("v"))
+    schema = _schema(rows, ["kind", *named])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,28 +152,22 @@ def build_sketches(df: DataFrame, keys: list[str], value: str, *, size: int = SI
         for batch in batches:
             if not batch.num_rows:
                 continue
-            values = batch.column("v").to_numpy(zero_copy_only=False)
-            if named:
-                codes = np.zeros(len(values), np.int64)
-                parts = []
-                for name in named:
-                    coded = batch.column(name).dictionary_encode(null_encoding="encode")
-                    parts.append(_label(coded.dictionary))
-                    codes = codes * len(parts[-1]) + coded.indices.to_numpy(zero_copy_only=False)
+            every = batch.column("v").to_numpy(zero_copy_only=False)
+            for kind, which in used:
+                codes, parts = _codes(batch, [named[i] for i in which])
                 order = np.argsort(codes, kind="stable")
-                codes, values = codes[order], values[order]
+                codes, values = codes[order], every[order]
                 starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
-            else:
-                codes, parts, starts = np.zeros(len(values), np.int64), [], np.array([0])
-            for a, b in zip(starts, [*starts[1:], len(values)], strict=True):
-                key, code = [], int(codes[a])
-                for labels in reversed(parts):
-                    code, i = divmod(code, len(labels))
-                    key.append(labels[i])
-                got = groups.setdefault(tuple(reversed(key)), Buffers(size, fan))
-                held -= got.n_waiting
-                got.add_values(values[a:b])
-                held += got.n_waiting
+                for a, b in zip(starts, [*starts[1:], len(values)], strict=True):
+                    key: list = [None] * len(named)
+                    code = int(codes[a])
+                    for i, labels in zip(reversed(which), reversed(parts), strict=True):
+                        code, at = divmod(code, len(labels))
+                        key[i] = labels[at]
+                    got = groups.setdefault((kind, *key), Buffers(size, fan))
+                    held -= got.held
+                    got.add_values(values[a:b])
+                    held += got.held
             if held > TASK_VALUES:
                 yield from _out(groups, arrow)
                 groups, held = {}, 0
@@ -152,60 +176,89 @@ def build_sketches(df: DataFrame, keys: list[str], value: str, *, size: int = SI
     return rows.mapInArrow(run, schema).withColumnsRenamed(dict(zip(named, keys, strict=True)))
 
 
-def merge_sketches(sketches: DataFrame, keys: list[str], *, size: int = SIZE, fan: int = FAN, spread: int = 32) -> DataFrame:
-    """Combine all sketches that agree in ``keys``, which may be fewer than they were built with.
+def _groups(batches: Iterator[pa.RecordBatch], named: list[str], size: int, fan: int) -> Iterator[tuple[tuple, Buffers]]:
+    """Each key with its buffers combined, from rows sorted by key; only one group is held."""
+    key, buffers = None, None
+    for batch in batches:
+        own = list(zip(*(_label(batch.column(a)) for a in named), strict=True)) if named else [()] * batch.num_rows
+        levels, errors = batch.column("level").to_pylist(), batch.column("error").to_pylist()
+        lists = batch.column("values")
+        offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+        for i, k in enumerate(own):
+            if buffers is None or k != key:
+                if buffers is not None:
+                    yield key, buffers
+                key, buffers = k, Buffers(size, fan)
+            values = flat[offsets[i] : offsets[i + 1]].copy()
+            buffers.error += errors[i]
+            if levels[i] < 0:
+                buffers.add_values(values)
+            else:
+                buffers.add_buffer(levels[i], values)
+    if buffers is not None:
+        yield key, buffers
 
-    A group's buffers are first combined in ``spread`` parts, then these. A task takes its buffers one by one and holds
-    no more than one sketch, ``fan`` buffers for each level.
-    """
-    named = [f"k{i}" for i in range(len(keys))]
-    rows = sketches.select(*(quoted(k).alias(a) for k, a in zip(keys, named, strict=True)), "level", "error", "values")
-    schema = _schema(rows, named)
+
+def _combine(laid: DataFrame, named: list[str], size: int, fan: int) -> DataFrame:
+    """One sketch for each key that a task has."""
+    schema = _schema(laid, named)
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, buffers, done, held = None, None, {}, 0
-        for batch in batches:
-            labels = [_label(batch.column(a)) for a in named]
-            own = list(zip(*labels, strict=True)) if named else [()] * batch.num_rows
-            levels, errors = batch.column("level").to_pylist(), batch.column("error").to_pylist()
-            lists = batch.column("values")
-            offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
-            for i, k in enumerate(own):
-                if buffers is None or k != key:
-                    if held > 2_000_000:
-                        yield from _out(done, arrow)
-                        done, held = {}, 0
-                    key, buffers = k, Buffers(size, fan)
-                    done[k] = buffers
-                values = flat[offsets[i] : offsets[i + 1]].copy()
-                held += len(values)
-                buffers.error += errors[i]
-                if levels[i] < 0:
-                    buffers.add_values(values)
-                else:
-                    buffers.add_buffer(levels[i], values)
+        done, held = {}, 0
+        for key, buffers in _groups(batches, named, size, fan):
+            done[key] = buffers
+            held += buffers.held
+            if held > TASK_VALUES:
+                yield from _out(done, arrow)
+                done, held = {}, 0
         yield from _out(done, arrow)
 
-    part = F.pmod(F.xxhash64("values"), F.lit(spread)).alias("part")
-    first = rows.select("*", part).repartition(*named, "part").sortWithinPartitions(*named, "level", F.xxhash64("values")).drop("part")
-    combined = first.mapInArrow(run, schema)
-    second = combined.repartition(*named) if named else combined.repartition(1)
-    merged = second.sortWithinPartitions(*named, "level", F.xxhash64("values")).mapInArrow(run, schema)
-    return merged.withColumnsRenamed(dict(zip(named, keys, strict=True)))
+    return laid.mapInArrow(run, schema)
 
 
-def percentiles(sketches: DataFrame, keys: list[str], ps: list[float], *, fan: int = FAN) -> DataFrame:
-    """Rows (keys, p, n, value, rank_error) from sketches, merged or not.
+def _laid(sketches: DataFrame, keys: list[str], size: int, fan: int, part_buffers: int) -> tuple[DataFrame, list[str]]:
+    """The buffers laid out and sorted by key, every group small enough for one task."""
+    if part_buffers < 64 * fan:  # a combined part has at most (fan - 1) * levels + 1 buffers, so every round makes fewer
+        raise ValueError("part_buffers must be at least 64 * fan")
+    named = [f"k{i}" for i in range(len(keys))]
+    rows = sketches.select(*(quoted(k).alias(a) for k, a in zip(keys, named, strict=True)), "level", "error", "values")
+    order = [*named, "level", F.xxhash64("values")]
+    while True:
+        rows = cut(rows)
+        large = rows.groupBy(*named).agg(F.count("*").alias("n")).where(F.col("n") > part_buffers)
+        large = broadcast_if_small(large.select(*(F.col(a).alias(f"g{a}") for a in named), F.ceil(F.col("n") / part_buffers).alias("parts")))
+        if large.isEmpty():
+            break
+        same = F.lit(True)
+        for a in named:
+            same = same & F.col(a).eqNullSafe(F.col(f"g{a}"))
+        part = F.pmod(F.xxhash64("values", "level"), F.coalesce("parts", F.lit(1)))
+        rows = rows.join(large, same, "left").withColumn("part", part).select(*named, "part", "level", "error", "values")
+        rows = _combine(rows.repartition(*named, "part").sortWithinPartitions("part", *order), [*named, "part"], size, fan).drop("part")
+    return (rows.repartition(*named) if named else rows.repartition(1)).sortWithinPartitions(*order), named
+
+
+def merge_sketches(sketches: DataFrame, keys: list[str], *, size: int = SIZE, fan: int = FAN, part_buffers: int = PART_BUFFERS) -> DataFrame:
+    """Combine all sketches that agree in ``keys``, which may be fewer than they were built with.
+
+    A group of more than ``part_buffers`` buffers is first combined in parts of about that many, in rounds until it has
+    fewer. A task takes its buffers one by one and holds no more than ``fan`` buffers for each level of the group at hand.
+    The sketches are written once, and counted, before they are combined.
+    """
+    laid, named = _laid(sketches, keys, size, fan, part_buffers)
+    return _combine(laid, named, size, fan).withColumnsRenamed(dict(zip(named, keys, strict=True)))
+
+
+def percentiles(sketches: DataFrame, keys: list[str], ps: list[float], *, size: int = SIZE, fan: int = FAN, part_buffers: int = PART_BUFFERS) -> DataFrame:
+    """Rows (keys, p, n, value, rank_error) from sketches, merged or not; they are combined as by :func:`merge_sketches`.
 
     The value's rank in its group differs from ``p * n`` by at most ``rank_error`` plus one position; 0 means that all
-    values were held. A group without values gives no row. A task walks through its groups' buffers one group at a
-    time, so merge first where a group has buffers of many tasks.
+    values were held. A group without values gives no row.
     """
-    named = [f"k{i}" for i in range(len(keys))]
-    rows = sketches.select(*(quoted(k).alias(a) for k, a in zip(keys, named, strict=True)), "level", "error", "values")
+    laid, named = _laid(sketches, keys, size, fan, part_buffers)
     schema = T.StructType(
-        [T.StructField(a, rows.schema[a].dataType) for a in named]
+        [T.StructField(a, laid.schema[a].dataType) for a in named]
         + [T.StructField("p", T.DoubleType()), T.StructField("n", T.LongType()), T.StructField("value", T.DoubleType()), T.StructField("rank_error", T.LongType())]
     )
     arrow = to_arrow_schema(schema)
@@ -222,23 +275,13 @@ def percentiles(sketches: DataFrame, keys: list[str], ps: list[float], *, fan: i
         return [(*key, p, n, float(values[order[i]]), error) for p, i in zip(ps, at, strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, got = None, []
-        for batch in batches:
-            own = list(zip(*(_label(batch.column(a)) for a in named), strict=True)) if named else [()] * batch.num_rows
-            levels, errors, lists = batch.column("level").to_pylist(), batch.column("error").to_pylist(), batch.column("values")
-            offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
-            answers: list[tuple] = []
-            for i, k in enumerate(own):
-                if got and k != key:
-                    answers += ask(key, got)
-                    got = []
-                key = k
-                got.append((levels[i], errors[i], flat[offsets[i] : offsets[i + 1]].copy()))
-            if answers:
+        answers: list[tuple] = []
+        for key, buffers in _groups(batches, named, size, fan):
+            answers += ask(key, list(buffers.rows()))
+            if len(answers) > 50_000:
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*answers, strict=True), arrow, strict=True)], schema=arrow)
-        if got:
-            answers = ask(key, got)
+                answers = []
+        if answers:
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*answers, strict=True), arrow, strict=True)], schema=arrow)
 
-    laid = rows.repartition(*named).sortWithinPartitions(*named) if named else rows.repartition(1)
     return laid.mapInArrow(run, schema).withColumnsRenamed(dict(zip(named, keys, strict=True)))

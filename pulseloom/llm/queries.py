@@ -116,18 +116,13 @@ def _intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.where(is_number(F.col("sec_valley_2_valley")) & (F.col("sec_valley_2_valley") >= 0))
 
 
-def _interval_percentiles(values: DataFrame) -> DataFrame:
-    """By recording, by stage and over all: three roll-ups of one set of sketches by recording and stage."""
-    finest = sketch.build_sketches(values, ["rec_id", "sleep_stages"], "sec_valley_2_valley")
-    none_text, none_stage = F.lit(None).cast("string"), F.lit(None).cast("double")
-    kinds = F.array(
-        F.struct(F.lit("recording").alias("kind"), F.col("rec_id"), none_stage.alias("sleep_stages")),
-        F.struct(F.lit("stage").alias("kind"), none_text.alias("rec_id"), F.col("sleep_stages")),
-        F.struct(F.lit("all").alias("kind"), none_text.alias("rec_id"), none_stage.alias("sleep_stages")),
-    )
-    rolled = finest.select(F.explode(kinds).alias("g"), "level", "error", "values").select("g.*", "level", "error", "values")
-    keys = ["kind", "rec_id", "sleep_stages"]
-    return sketch.percentiles(sketch.merge_sketches(rolled, keys), keys, PERCENTILES)
+GROUPINGS = {"recording": ["rec_id"], "stage": ["sleep_stages"], "all": []}
+
+
+def _interval_percentiles(values: DataFrame, size: int = sketch.SIZE, fan: int = sketch.FAN) -> DataFrame:
+    """By recording, by stage and over all, sketched in one pass."""
+    rolled = sketch.build_rollups(values, GROUPINGS, "sec_valley_2_valley", size=size, fan=fan)
+    return sketch.percentiles(rolled, ["kind", "rec_id", "sleep_stages"], PERCENTILES, size=size, fan=fan)
 
 
 def p5_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,10 +143,14 @@ FROM g, (VALUES (0.05), (0.25), (0.5), (0.75), (0.95)) AS q(p) WHERE n > 0
 """
 
 
-def p5_bound_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each percentile of :func:`p5_percentiles`: its group's exact size, and whether its exact rank keeps the bound."""
+def _bound_check(spark: SparkSession, sf_dir: str, size: int, fan: int) -> DataFrame:
+    """For each percentile of the interval: its group's exact size, and whether its exact rank keeps the stated bound.
+
+    The bound itself must be no larger than the theory's ``(levels + 2) / (2 * size)`` of n, and above 0 where buffers
+    must have been collapsed.
+    """
     values = _intervals(spark, sf_dir)
-    asked = _interval_percentiles(values)
+    asked = _interval_percentiles(values, size, fan)
     by_group = asked.groupBy("kind", "rec_id", "sleep_stages").agg(F.collect_list(F.struct("p", "n", "value", "rank_error")).alias("asked"))
     kinds = F.array(
         F.struct(F.lit("recording").alias("kind"), F.col("rec_id"), F.lit(None).cast("double").alias("sleep_stages")),
@@ -165,11 +164,22 @@ def p5_bound_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = each.groupBy("kind", "rec_id", "sleep_stages", F.col("a.p").alias("p"), F.col("a.rank_error").alias("e"), F.col("a.n").alias("said")).agg(
         F.sum("count").alias("n"), F.sum(F.when(F.col("v") < F.col("a.value"), F.col("count")).otherwise(0)).alias("below"), F.sum(F.when(F.col("v") <= F.col("a.value"), F.col("count")).otherwise(0)).alias("upto")
     )
-    wanted = F.col("p") * F.col("n")
-    kept = (F.col("below") - 1 <= wanted + F.col("e")) & (F.col("upto") + 1 >= wanted - F.col("e")) & (F.col("said") == F.col("n")) & (F.col("e") <= 0.005 * F.col("n"))
+    wanted, levels = F.col("p") * F.col("n"), F.greatest(F.ceil(F.log(F.col("n") / size) / F.log(F.lit(float(fan)))), F.lit(0))
+    sharp = (F.col("e") <= F.col("n") * (levels + 2) / (2 * size)) & ((F.col("e") > 0) | (F.col("n") < (fan + 1) * size))
+    kept = (F.col("below") - 1 <= wanted + F.col("e")) & (F.col("upto") + 1 >= wanted - F.col("e")) & (F.col("said") == F.col("n")) & sharp
     return ranks.select("kind", "rec_id", "sleep_stages", "p", "n", kept.alias("within_bound"))
 
 
+def p5_bound_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stated bounds of :func:`p5_percentiles` against exact ranks."""
+    return _bound_check(spark, sf_dir, sketch.SIZE, sketch.FAN)
+
+
+def p5_bound_small(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with buffers of 64 values and fan 4, which are collapsed over several levels in small groups too."""
+    return _bound_check(spark, sf_dir, 64, 4)
+
+
 P5_BOUND_CHECK = """
 WITH v AS (SELECT rec_id, CASE WHEN NOT isnan(sleep_stages) THEN sleep_stages END AS sleep_stages FROM (SELECT *, row_number() OVER
       (PARTITION BY rec_id, seg_id, beat_no ORDER BY loaded_at DESC) AS place FROM beat_feature)
@@ -233,8 +243,8 @@ def p9_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p3_found, p3_runs, p5_percentiles, p5_bound_check, p7_containers, p7_fill, p8_found, p8_leaks, p9_found, p9_languages)}
+    return {f.__name__: f for f in (p1_found, p3_found, p3_runs, p5_percentiles, p5_bound_check, p5_bound_small, p7_containers, p7_fill, p8_found, p8_leaks, p9_found, p9_languages)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p3_found": P3_FOUND, "p3_runs": P3_RUNS, "p5_percentiles": P5_PERCENTILES, "p5_bound_check": P5_BOUND_CHECK, "p8_found": P8_FOUND}
+    return {"p1_found": P1_FOUND, "p3_found": P3_FOUND, "p3_runs": P3_RUNS, "p5_percentiles": P5_PERCENTILES, "p5_bound_check": P5_BOUND_CHECK, "p5_bound_small": P5_BOUND_CHECK, "p8_found": P8_FOUND}

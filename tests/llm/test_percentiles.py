@@ -2,7 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pulseloom.llm.percentiles import Buffers, build_sketches, merge_sketches, percentiles
+from pulseloom.llm import percentiles as module
+from pulseloom.llm.percentiles import Buffers, build_rollups, build_sketches, merge_sketches, percentiles
 
 PS = [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]
 
@@ -26,7 +27,7 @@ def test_error_keeps_its_bound(spark, size, fan):
     rng.shuffle(values)
     df = spark.createDataFrame([(float(v),) for v in values], "v double").repartition(7)
     merged = merge_sketches(build_sketches(df, [], "v", size=size, fan=fan), [], size=size, fan=fan)
-    rows = percentiles(merged, [], PS, fan=fan).collect()
+    rows = percentiles(merged, [], PS, size=size, fan=fan).collect()
     assert len(rows) == len(PS) and rows[0]["rank_error"] > 0
     check(rows, values, size, fan)
     assert merged.select(F.sum(F.size("values"))).first()[0] < 25 * size * fan
@@ -38,7 +39,7 @@ def test_partial_results_combine(spark):
     df = spark.createDataFrame(rows, "day string, g string, v double")
     by_day = [merge_sketches(build_sketches(df.where(F.col("day") == d), ["day", "g"], "v", size=32, fan=4), ["day", "g"], size=32, fan=4) for d in ("d0", "d1", "d2")]
     whole = by_day[0].union(by_day[1]).union(by_day[2])
-    got = percentiles(merge_sketches(whole, ["g"], size=32, fan=4), ["g"], PS, fan=4).collect()
+    got = percentiles(merge_sketches(whole, ["g"], size=32, fan=4), ["g"], PS, size=32, fan=4).collect()
     for g in "ab":
         check([r for r in got if r["g"] == g], np.array([v for _, k, v in rows if k == g]), 32, 4)
 
@@ -68,3 +69,32 @@ def test_buffers_are_deterministic_and_keep_counts():
     weigh = lambda b: sum(len(v) * 4 ** max(level, 0) for level, _, v in b.rows())
     assert weigh(one) == weigh(two) == len(x)
     assert [v.tolist() for _, _, v in one.rows()] == [v.tolist() for _, _, v in two.rows()]
+
+
+def test_rollups_in_one_pass_hand_on_few_buffers_and_combine_in_rounds(spark):
+    rng = np.random.default_rng(6)
+    rows = [(f"r{i % 40}" if i % 3 else "hot", float(i % 4) if i % 7 else None, float(v)) for i, v in enumerate(rng.gamma(2, 1, 24_000))]
+    df = spark.createDataFrame(rows, "r string, s double, v double").repartition(64)
+    made = build_rollups(df, {"r": ["r"], "s": ["s"], "all": []}, "v", size=8, fan=4)
+    assert 256 < made.where("kind = 'all'").count() <= 64 * (3 * 6 + 1)  # tasks x (fan - 1) x levels, not values
+    got = percentiles(made, ["kind", "r", "s"], PS, size=8, fan=4, part_buffers=256).collect()
+    groups = {("all", None, None): [v for _, _, v in rows]}
+    for r, s, v in rows:
+        groups.setdefault(("r", r, None), []).append(v)
+        groups.setdefault(("s", None, s), []).append(v)
+    assert {(x["kind"], x["r"], x["s"]) for x in got} == set(groups)
+    for key, values in groups.items():
+        check([x for x in got if (x["kind"], x["r"], x["s"]) == key], np.array(values), 8, 4)
+
+
+def test_parts_that_would_not_get_fewer_are_refused(spark):
+    with pytest.raises(ValueError):
+        merge_sketches(build_sketches(spark.createDataFrame([(1.0,)], "v double"), [], "v", fan=16), [], fan=16, part_buffers=100)
+
+
+def test_a_task_hands_on_before_it_holds_too_much(spark, monkeypatch):
+    monkeypatch.setattr(module, "TASK_VALUES", 200)
+    rows = [(f"g{i % 30}", float(i)) for i in range(3_000)]
+    df = spark.createDataFrame(rows, "g string, v double").coalesce(1)
+    got = percentiles(build_sketches(df, ["g"], "v", size=16, fan=4), ["g"], [0.5], size=16, fan=4).collect()
+    assert {r["g"]: r["n"] for r in got} == {f"g{i}": 100 for i in range(30)}
