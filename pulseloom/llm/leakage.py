@@ -1,12 +1,16 @@
 """Finding evaluation passages that leaked, wholly or partly, into a corpus.
 
-Every n-gram of a passage is a seed, so a text that shares ``seed_words`` words in a row with a passage is found, however
-often others have them. Where only common runs of ``run_words`` words are asked for, every such stretch of a passage
-is represented by the rarest of its n-grams that the corpus has, counted over the whole corpus; a text that shares the
-stretch shares that seed, and frequent phrases seed nothing they needn't. Seeds are joined with the corpus' n-grams,
-and each (document, item) pair so found is scored by a Smith-Waterman alignment over words, which also yields the longest
-common run. The items are a stated query set: they are taken in blocks whose word lists are small enough for every task;
-the corpus is never gathered.
+Words and n-grams are known by their hashes, so that no list of words is needed. The n-grams of the passages are a table;
+a Bloom filter over them, of bounded size, goes to every task, and one pass over the corpus keeps the few positions of
+each text that may have one of them. Joined with the table these give the (text, passage) candidates:
+
+* for common runs of ``run_words`` words alone, every such stretch of a passage is represented by the rarest of its
+  n-grams, counted over the whole corpus: a text that shares the stretch shares that seed;
+* for edited copies, every n-gram of ``seed_words`` words is a seed, and so is every n-gram of ``rare_words`` words, weighed
+  by its rarity: a text is a candidate if the shares of all texts that have the rare n-grams it has close together multiply
+  to at most one text, so that less than one text would have them by chance.
+
+Each candidate is scored by a Smith-Waterman alignment over words, which also yields the longest common run.
 """
 
 from __future__ import annotations
@@ -17,16 +21,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from pulseloom.functions.common import broadcast_if_small, cut, quoted
 
 WORD = re.compile(r"[^\W_]+")
 #: Pairs that are aligned together.
 TOGETHER = 128
+#: Bits of the filter at most (32 MB); with more n-grams than it has room for, more positions reach the join, which is exact.
+MOST_BITS = 2**28
+#: Words whose hashes a task remembers.
+KNOWN_WORDS = 1_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_BLOCK = 1 << 16
+_PROBES = 4
 
 
 def words_of(text: str) -> list[str]:
@@ -36,33 +46,86 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def gram_keys(ids: np.ndarray, n: int) -> np.ndarray:
-    """A 64-bit key for each n-gram of word numbers; 0 where one of its words has none (-1)."""
-    if len(ids) < n:
+class WordHashes(dict):
+    """The 63-bit hash of each word asked for."""
+
+    def __missing__(self, word: str) -> int:
+        value = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) >> 1
+        return value
+
+    def of(self, words: list[str]) -> np.ndarray:
+        if len(self) > KNOWN_WORDS:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+
+def gram_keys(words: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit key for each n-gram of word hashes."""
+    if len(words) < n:
         return np.zeros(0, np.uint64)
-    length = len(ids) - n + 1
-    key, known = np.full(length, 1, np.uint64), np.ones(length, bool)
+    length = len(words) - n + 1
+    own = words.astype(np.uint64)
+    key = np.full(length, n, np.uint64)
     with np.errstate(over="ignore"):
         for k in range(n):
-            part = ids[k : k + length]
-            known &= part >= 0
-            key = (key ^ (part.astype(np.uint64) + np.uint64(1))) * _MIX
+            key = (key ^ own[k : k + length]) * _MIX
             key ^= key >> np.uint64(29)
-    return np.where(known, np.maximum(key, np.uint64(1)), np.uint64(0))
+    return key
+
+
+def _slots(keys: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    """The filter's bits for each key, one probe after the other."""
+    with np.errstate(over="ignore"):
+        step = (keys >> np.uint64(32)) | np.uint64(1)
+        for k in range(_PROBES):
+            yield ((keys + np.uint64(k) * step) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def _filter_of(grams: DataFrame, n_grams: int) -> np.ndarray:
+    """A Bloom filter over the column ``gram`` as packed bits, about 32 bits an n-gram and at most ``MOST_BITS``."""
+    bits = min(MOST_BITS, max(_BLOCK, 1 << int(np.ceil(np.log2(max(n_grams, 1) * 32)))))
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slots = np.concatenate([np.zeros(0, np.int64), *_slots(batch.column("gram").to_numpy().view(np.uint64), bits)])
+            yield pa.record_batch([pa.array(np.unique(slots))], names=["slot"])
+
+    def pack(table: pa.Table) -> pa.Table:
+        slots = table["slot"].to_numpy()
+        own = np.zeros(_BLOCK, bool)
+        own[slots % _BLOCK] = True
+        return pa.table({"block": [int(slots[0]) // _BLOCK], "bits": [np.packbits(own, bitorder="little").tobytes()]})
+
+    slots = grams.select("gram").mapInArrow(probe, "slot long").distinct()
+    blocks = slots.groupBy(F.floor(F.col("slot") / _BLOCK)).applyInArrow(pack, "block long, bits binary")
+    packed = np.zeros(bits // 8, np.uint8)
+    for row in blocks.toLocalIterator():  # at most MOST_BITS / 65,536 blocks of 8 KB
+        packed[row["block"] * _BLOCK // 8 : (row["block"] + 1) * _BLOCK // 8] = np.frombuffer(row["bits"], np.uint8)
+    return packed
+
+
+def _maybe(keys: np.ndarray, packed: np.ndarray) -> np.ndarray:
+    """Positions of the keys that the filter may hold."""
+    at = np.arange(len(keys))
+    for k in range(_PROBES):
+        slots = next(s for j, s in enumerate(_slots(keys[at], len(packed) * 8)) if j == k)
+        at = at[(packed[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1]
+        if not len(at):
+            break
+    return at
 
 
 def align(pairs: list[tuple[np.ndarray, np.ndarray]], match: int = 2, mismatch: int = -1, gap: int = -1) -> tuple[np.ndarray, np.ndarray]:
     """Best local alignment score of each pair of word sequences, and the length of its longest common run.
 
-    All pairs advance together, row by row, so pass pairs of like lengths.
+    Words are numbers from 0. All pairs advance together, row by row, so pass pairs of like lengths.
     """
     n = len(pairs)
     rows, columns = (max((len(p[k]) for p in pairs), default=0) for k in (0, 1))
     a, b = np.full((n, rows), -2, np.int64), np.full((n, columns), -3, np.int64)
     for k, (x, y) in enumerate(pairs):
         a[k, : len(x)] = x
-        b[k, : len(y)] = np.where(y < 0, -3, y)
-    a[a == -1] = -2  # words without a number equal nothing
+        b[k, : len(y)] = y
     score, run = np.zeros((n, columns + 1), np.int32), np.zeros((n, columns + 1), np.int32)
     slope = (-gap * np.arange(columns + 1)).astype(np.int32)
     best, longest = np.zeros(n, np.int64), np.zeros(n, np.int64)
@@ -76,35 +139,65 @@ def align(pairs: list[tuple[np.ndarray, np.ndarray]], match: int = 2, mismatch:
     return best, longest
 
 
-def _hits(docs: DataFrame, vocabulary: dict[str, int], grams: np.ndarray, n: int, margin: int) -> DataFrame:
-    """For each text that has one of ``grams``: their positions, and the word numbers around them."""
+def _passages(items: DataFrame, item_id: str, passage: str) -> DataFrame:
+    """Each passage (k, item, words) with the hashes of its words."""
+    wanted = items.where(quoted(passage).isNotNull()).select(quoted(item_id).alias("item"), quoted(passage).alias("passage"))
+    schema = wanted.select("item", F.array().cast("array<bigint>").alias("words")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            words = [hashes.of(words_of(text)) for text in batch.column("passage").to_pylist()]
+            yield pa.record_batch([batch.column("item"), pa.array(words, pa.list_(pa.int64()))], names=["item", "words"])
+
+    return cut(wanted.mapInArrow(run, schema).select(F.monotonically_increasing_id().alias("k"), "item", "words"))
+
+
+def _grams_of(passages: DataFrame, lengths: list[int]) -> DataFrame:
+    """All n-grams of the passages: (gram, n, k, item_at, last_at)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, words in zip(batch.column("k").to_pylist(), batch.column("words"), strict=True):
+                for n in lengths:
+                    keys = gram_keys(words.values.to_numpy(), n)
+                    size = len(keys)
+                    columns = [keys.view(np.int64), np.full(size, n, np.int32), np.full(size, k), np.arange(size, dtype=np.int32), np.full(size, size - 1, np.int32)]
+                    yield pa.record_batch([pa.array(c) for c in columns], names=["gram", "n", "k", "item_at", "last_at"])
+
+    return passages.select("k", "words").mapInArrow(run, "gram long, n int, k long, item_at int, last_at int")
+
+
+def _hits(docs: DataFrame, packed: np.ndarray, lengths: list[int], margin: int) -> DataFrame:
+    """For each text that may have n-grams of the filter: their positions and keys, and the words around them."""
+    shared = docs.sparkSession.sparkContext.broadcast(packed)  # at most MOST_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = vocabulary.get
+        hashes, own = WordHashes(), shared.value
         for batch in batches:
             ids, rows = batch.column("id"), []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 if not text:
                     continue
-                numbers = np.array([get(w, -1) for w in words_of(text)], np.int32)
-                keys = gram_keys(numbers, n)
-                at = np.flatnonzero(keys)
+                words = hashes.of(words_of(text))
+                places, keys = [], []
+                for n in lengths:
+                    every = gram_keys(words, n)
+                    at = _maybe(every, own)
+                    places.append(at)
+                    keys.append(every[at])
+                at = np.concatenate(places)
                 if len(at):
-                    keys = keys[at]
-                    place = np.minimum(np.searchsorted(grams, keys), len(grams) - 1)
-                    found = grams[place] == keys
-                    if found.any():
-                        at, place = at[found], place[found]
-                        low = max(0, int(at[0]) - margin)
-                        rows.append((i, at - low, place, numbers[low : int(at[-1]) + n + margin]))
+                    low = max(0, int(at.min()) - margin)
+                    rows.append((i, at - low, np.concatenate(keys).view(np.int64), words[low : int(at.max()) + max(lengths) + margin]))
             if rows:
                 columns = list(zip(*rows, strict=True))
                 yield pa.record_batch(
-                    [ids.take(pa.array(columns[0])), *(pa.array(c, pa.list_(pa.int32())) for c in columns[1:])],
-                    names=["id", "at", "gram", "numbers"],
+                    [ids.take(pa.array(columns[0])), pa.array(columns[1], pa.list_(pa.int32())), *(pa.array(c, pa.list_(pa.int64())) for c in columns[2:])],
+                    names=["id", "at", "gram", "words"],
                 )
 
-    schema = docs.select("id", *(F.array().cast("array<int>").alias(c) for c in ("at", "gram", "numbers"))).schema
+    schema = docs.select("id", F.array().cast("array<int>").alias("at"), *(F.array().cast("array<bigint>").alias(c) for c in ("gram", "words"))).schema
     return docs.mapInArrow(run, schema)
 
 
@@ -119,97 +212,87 @@ def find_leaks(
     seed_words: int = 5,
     run_words: int = 10,
     edited: bool = True,
-    block_items: int = 20_000,
+    rare_words: int = 3,
+    least_score: float = 0.3,
 ) -> DataFrame:
-    """Rows (doc_id, item_id, run_words, score): every text that shares ``seed_words`` words in a row with a passage.
+    """Rows (doc_id, item_id, run_words, score): texts that share ``seed_words`` words in a row with a passage, and edited copies.
 
-    ``run_words`` is the longest common run and ``score`` the share of the passage's best possible alignment score, from
-    which edited copies are told (near 0: chance). With ``edited=False`` only the texts that share a stretch of
-    ``run_words`` words are sure to be among the rows; others that share a rare seed come along.
+    ``run_words`` is the longest common run and ``score`` the share of the passage's best possible alignment score. Edited
+    copies without such a run are candidates by their rare n-grams of ``rare_words`` words and come out if they score at
+    least ``least_score``. With ``edited=False`` only the texts that share a stretch of ``run_words`` words are sure to be
+    among the rows; others that share a rare seed come along.
 
-    Defined cases: null or empty texts and passages match nothing; one shorter than ``seed_words`` cannot be found;
-    with ``edited=False`` a passage shorter than ``run_words`` is represented by its rarest n-gram; equal passages are
-    reported for each item; repeated ids: one row for each pair of ids; empty tables give no rows.
+    Defined cases: null or empty texts and passages match nothing; one shorter than ``seed_words`` is found by rare n-grams
+    alone, one shorter than ``rare_words`` not at all; with ``edited=False`` a passage shorter than ``run_words`` is
+    represented by its rarest n-gram; equal passages are reported for each item; repeated ids: one row for each pair of
+    ids; null ids are ids; empty tables give no rows.
     """
     corpus = docs.select(quoted(doc_id).alias("id"), quoted(text).alias("text"))
-    wanted = items.where(quoted(passage).isNotNull()).select(quoted(item_id).alias("item"), quoted(passage).alias("passage"))
-    blocks = max(1, -(-wanted.count() // block_items))
-    parts = [
-        _block(corpus, wanted.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b) if blocks > 1 else wanted, seed_words, run_words, edited)
-        for b in range(blocks)
-    ]
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    return found.withColumnsRenamed({"id": doc_id, "item": item_id})
-
-
-def _every_seed(grams: np.ndarray, keys: list[np.ndarray]) -> np.ndarray:
-    """Seeds (n-gram, passage, position): all n-grams of all passages."""
-    sizes = [len(own) for own in keys]
-    return np.column_stack([np.searchsorted(grams, np.concatenate(keys)), np.repeat(np.arange(len(keys)), sizes), np.concatenate([np.arange(n) for n in sizes])])
-
-
-def _rarest_seeds(hits: DataFrame, grams: np.ndarray, keys: list[np.ndarray], width: int) -> np.ndarray:
-    """Seeds (n-gram, passage, position): of each ``width`` n-grams in a row the rarest one that the corpus has."""
-    counts = np.zeros(len(grams), np.int64)  # at most as many as the block's n-grams
-    for row in hits.select(F.explode(F.array_distinct("gram")).alias("gram")).groupBy("gram").count().toLocalIterator():
-        counts[row["gram"]] = row["count"]
-    cost = np.where(counts > 0, counts, np.iinfo(np.int64).max)  # what no text has can seed nothing
-    seeds: set[tuple[int, int, int]] = set()
-    for k, own in enumerate(keys):
-        place = np.searchsorted(grams, own)
-        for at in range(max(1, len(own) - width + 1) if len(own) else 0):
-            stretch = place[at : at + width]
-            rarest = int(np.argmin(cost[stretch]))
-            if counts[stretch[rarest]]:
-                seeds.add((int(stretch[rarest]), k, at + rarest))
-    return np.array(sorted(seeds), np.int64).reshape(-1, 3)
-
-
-def _block(corpus: DataFrame, wanted: DataFrame, n: int, run_words: int, edited: bool) -> DataFrame:
-    spark = corpus.sparkSession
-    vocabulary: dict[str, int] = {}
-    passages: list[tuple[object, np.ndarray]] = []
-    for row in wanted.toLocalIterator():  # a block of the stated query set, bounded by block_items
-        numbers = [vocabulary.setdefault(w, len(vocabulary)) for w in words_of(row["passage"])]
-        passages.append((row["item"], np.array(numbers, np.int32)))
-    keys = [gram_keys(numbers, n) for _, numbers in passages]
-    grams = np.unique(np.concatenate([np.zeros(0, np.uint64), *keys]))
-    margin = max([16, *(len(numbers) for _, numbers in passages)])
-    schema = f"id {corpus.schema['id'].dataType.simpleString()}, item {wanted.schema['item'].dataType.simpleString()}, run_words int, score double"
-    if not len(grams):
-        return spark.createDataFrame([], schema)
-
-    hits = cut(_hits(corpus, vocabulary, grams, n, margin))
-    seeds = _every_seed(grams, keys) if edited else _rarest_seeds(hits, grams, keys, run_words - n + 1)
-    seed_table = spark.createDataFrame(pa.table([pa.array(c, pa.int32()) for c in seeds.T], names=["gram", "k", "item_at"]))
-    places = hits.select("id", F.explode(F.arrays_zip("at", "gram")).alias("hit")).select("id", F.col("hit.at").alias("at"), F.col("hit.gram").alias("gram"))
-    pairs = places.join(broadcast_if_small(seed_table), "gram").groupBy("id", "k").agg(F.collect_set(F.col("at") - F.col("item_at")).alias("shifts"))
-    joined = pairs.join(hits.select("id", "numbers"), "id")
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            which = batch.column("k").to_pylist()
-            owner: list[int] = []
-            pairs: list[tuple[np.ndarray, np.ndarray]] = []
-            for i, (k, shifts, numbers) in enumerate(zip(which, batch.column("shifts").to_pylist(), batch.column("numbers"), strict=True)):
-                passage, doc = passages[k][1], numbers.values.to_numpy()
-                order = np.sort(np.asarray(shifts))
-                for part in np.split(order, np.flatnonzero(np.diff(order) > len(passage)) + 1):  # places far apart
-                    owner.append(i)
-                    pairs.append((passage, doc[max(0, int(part[0]) - 8) : int(part[-1]) + len(passage) + 8]))
-            best, longest = np.zeros(len(which), np.int64), np.zeros(len(which), np.int64)
-            order = np.argsort([len(a) * 100_000 + len(b) for a, b in pairs], kind="stable")
-            for start in range(0, len(order), TOGETHER):
-                some = order[start : start + TOGETHER]
-                s, r = align([pairs[i] for i in some])
-                np.maximum.at(best, np.asarray(owner)[some], s)
-                np.maximum.at(longest, np.asarray(owner)[some], r)
-            full = np.array([2 * len(passages[k][1]) for k in which])
-            own = pa.array([passages[k][0] for k in which], item_type)
-            yield pa.record_batch([batch.column("id"), own, pa.array(longest, pa.int32()), pa.array(best / full)], names=["id", "item", "run_words", "score"])
-
-    item_type = to_arrow_type(wanted.schema["item"].dataType)
-    scored = joined.mapInArrow(score, schema)
-    return scored.where(F.col("run_words") >= n).groupBy("id", "item").agg(F.max("run_words").alias("run_words"), F.max("score").alias("score"))
+    passages = _passages(items, item_id, passage)
+    lengths = [seed_words, rare_words] if edited else [seed_words]
+    grams = cut(_grams_of(passages, lengths))
+    facts = passages.agg(F.max(F.size("words")).alias("longest")).first()
+    margin = max(16, facts["longest"] or 0)
+    packed = _filter_of(grams, grams.count())
+    hits = cut(_hits(corpus, packed, lengths, margin).select(F.monotonically_increasing_id().alias("row"), "*"))
+
+    places = hits.select("row", F.explode(F.arrays_zip("at", "gram")).alias("hit")).select("row", F.col("hit.at").alias("at"), F.col("hit.gram").alias("gram"))
+    counts = hits.select(F.explode(F.array_distinct("gram")).alias("gram")).groupBy("gram").agg(F.count("*").alias("n_texts"))
+    known = grams.join(counts, "gram")  # what no text has can seed nothing
+    if edited:
+        n_texts = max(corpus.count(), 1)
+        seeds = known.withColumns({"sure": F.col("n") == seed_words, "weight": F.log2(n_texts / F.col("n_texts"))})
+        pairs = _evidence(places.join(broadcast_if_small(cut(seeds.select("gram", "k", "item_at", "last_at", "sure", "weight"))), "gram"), float(np.log2(n_texts)))
+    else:
+        stretch = Window.partitionBy("k").orderBy("item_at").rangeBetween(0, run_words - seed_words)
+        rarest = known.withColumn("best", F.min(F.struct("n_texts", "item_at", "gram")).over(stretch))
+        rarest = rarest.select("k", F.col("best.gram").alias("gram"), F.col("best.item_at").alias("item_at")).distinct()
+        pairs = places.join(broadcast_if_small(cut(rarest)), "gram").groupBy("row", "k").agg(F.collect_set(F.col("at") - F.col("item_at")).alias("shifts"))
+
+    own = passages.select("k", "item", F.col("words").alias("wanted"))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # aligning is work for many tasks, however few bytes the pairs have
+    joined = pairs.repartition(tasks, "row").join(hits.select("row", "id", "words").repartition(tasks, "row"), "row").join(broadcast_if_small(own), "k")
+    schema = joined.select("id", "item", F.lit(0).alias("run_words"), F.lit(0.0).alias("score")).schema
+    scored = joined.select("id", "item", "shifts", "words", "wanted").mapInArrow(_score, schema)
+    least = F.col("run_words") >= seed_words
+    kept = scored.where(least | (F.col("score") >= least_score) if edited else least)
+    return kept.groupBy("id", "item").agg(F.max("run_words").alias("run_words"), F.max("score").alias("score")).withColumnsRenamed({"id": doc_id, "item": item_id})
+
+
+def _evidence(found: DataFrame, enough: float) -> DataFrame:
+    """Candidates (row, k, shifts): a sure seed, or distinct rare ones whose weights add up to ``enough`` around one alignment.
+
+    Shifts are taken in bands of twice the passage's length that overlap by half, so that what belongs together is in one.
+    """
+    width = F.col("last_at") + 16
+    shift = F.col("at") - F.col("item_at")
+    bands = F.explode(F.array(F.floor(shift / width), F.floor(shift / width) + 1))
+    ends = lambda low, high: (F.min(low).alias("low"), F.max(high).alias("high"))
+    each = found.select("row", "k", "gram", "sure", "weight", shift.alias("shift"), bands.alias("band"))
+    once = each.groupBy("row", "k", "band", "gram").agg(F.max("sure").alias("sure"), F.max("weight").alias("weight"), *ends("shift", "shift"))
+    by_band = once.groupBy("row", "k", "band").agg(F.max("sure").alias("sure"), F.sum(F.when(F.col("sure"), 0.0).otherwise(F.col("weight"))).alias("weight"), *ends("low", "high"))
+    likely = by_band.where(F.col("sure") | (F.col("weight") >= enough - 1e-9))
+    return likely.groupBy("row", "k").agg(F.array_distinct(F.flatten(F.collect_list(F.array("low", "high")))).alias("shifts"))
+
+
+def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Align each candidate's passage with the text around its shifts."""
+    for batch in batches:
+        owner: list[int] = []
+        pairs: list[tuple[np.ndarray, np.ndarray]] = []
+        full = np.zeros(batch.num_rows)
+        for i, (shifts, doc, wanted) in enumerate(zip(batch.column("shifts"), batch.column("words"), batch.column("wanted"), strict=True)):
+            passage, text = wanted.values.to_numpy(), doc.values.to_numpy()
+            full[i] = 2 * len(passage)
+            order = np.sort(shifts.values.to_numpy())
+            for part in np.split(order, np.flatnonzero(np.diff(order) > len(passage) + 16) + 1):  # places far apart
+                owner.append(i)
+                pairs.append((passage, text[max(0, int(part[0]) - 8) : max(0, int(part[-1]) + len(passage) + 8)]))
+        best, longest = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+        order = np.argsort([len(a) * 100_000 + len(b) for a, b in pairs], kind="stable")
+        for start in range(0, len(order), TOGETHER):
+            some = order[start : start + TOGETHER]
+            s, r = align([pairs[i] for i in some])
+            np.maximum.at(best, np.asarray(owner)[some], s)
+            np.maximum.at(longest, np.asarray(owner)[some], r)
+        yield pa.record_batch([batch.column("id"), batch.column("item"), pa.array(longest, pa.int32()), pa.array(best / full)], names=["id", "item", "run_words", "score"])
