@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from pulseloom.functions.common import quoted
+from pulseloom.functions.common import broadcast_if_small, quoted
 
 STRETCH = 65_536
 
@@ -25,10 +25,9 @@ def framed(
     """Apply ``add(rows, frame, order)`` to stretches that overlap by ``before`` and ``after`` positions, and drop the overlap.
 
     ``frame(a, b)`` is the window from a to b positions away and ``order`` the unframed one; both may look at most
-    ``before`` positions back and ``after`` ahead.
+    ``before`` positions back and ``after`` ahead. A stretch is at least as long as the frame.
     """
-    if max(before, after) > stretch:
-        raise ValueError("the frame is longer than a stretch")
+    stretch = max(stretch, before, after)
     at = quoted(position).cast("bigint")
     own = F.floor(at / stretch)
     copies = F.array_distinct(F.array(F.floor((at - after) / stretch), own, F.floor((at + before) / stretch)))
@@ -228,10 +227,25 @@ def fill_with_trailing_median(df: DataFrame, keys: list[str], position: str, val
     return framed(df, keys, position, width, 0, add)
 
 
-def fill_forward(df: DataFrame, keys: list[str], position: str, value: str, *, missing_below: float | None = None, reach: int = 60_000, out: str = "filled") -> DataFrame:
-    """Missing samples, and those below ``missing_below``, take the last good one at most ``reach`` positions back."""
+def fill_forward(df: DataFrame, keys: list[str], position: str, value: str, *, missing_below: float | None = None, stretch: int = STRETCH, out: str = "filled") -> DataFrame:
+    """Missing samples, and those below ``missing_below``, take the last good one, however far back it is.
+
+    The last good sample of each stretch of positions, one row a stretch, is carried over the stretches of its channel.
+    Rows without a position are dropped.
+    """
     good = F.when(_number(value) >= missing_below, _number(value)) if missing_below is not None else _number(value)
-    return framed(df, keys, position, reach, 0, lambda rows, frame, _: rows.withColumn(out, F.last(good, ignorenulls=True).over(frame(-reach, 0))))
+    at = quoted(position).cast("bigint")
+    names = [*(f"__k{i}" for i in range(len(keys))), "__stretch"]
+    rows = df.where(at.isNotNull()).withColumn("__part", F.floor(at / stretch))
+    ends = rows.groupBy(*(quoted(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.col("__part").alias("__stretch")).agg(F.max_by(good, F.when(good.isNotNull(), at)).alias("__last"))
+    earlier = Window.partitionBy(*names[:-1]).orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*names, F.last("__last", ignorenulls=True).over(earlier).alias("__before")).where("__before is not null")
+    same = F.col("__part") == F.col("__stretch")
+    for i, k in enumerate(keys):
+        same = same & quoted(k).eqNullSafe(F.col(f"__k{i}"))
+    joined = rows.join(broadcast_if_small(ends), same, "left").drop(*names)
+    inside = Window.partitionBy(*map(quoted, keys), "__part").orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    return joined.withColumn(out, F.coalesce(F.last(good, ignorenulls=True).over(inside), F.col("__before"))).drop("__part", "__before")
 
 
 def step_outliers(df: DataFrame, keys: list[str], position: str, value: str, multiplier: float, width: int, direction: str = "both", out: str = "outlier") -> DataFrame:

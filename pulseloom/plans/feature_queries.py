@@ -7,14 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pulseloom.functions.common import load
+from pulseloom.functions.common import cut, load
+from pulseloom.operators import channels as C
 from pulseloom.operators import features as B
 from pulseloom.operators import intervals as I
 from pulseloom.operators import templates as T
 from pulseloom.operators import windows as S
 from pulseloom.operators.moving import exact_median
 from pulseloom.plans.signal_queries import EXTREMA, extrema
-from pulseloom.plans.views import BEATS_SQL, EPOCHS_SQL, MERGED_SQL, SEG, WAVES_SQL, beats, epochs, markings, rounded, signal, signal_sql, waves
+from pulseloom.plans.views import BEATS_SQL, EPOCHS_SQL, MERGED_SQL, SEG, WAVES_SQL, beats, channel_arrays, epochs, markings, rounded, signal, signal_sql, waves
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -43,10 +44,17 @@ b3 AS (SELECT *, lead(off) OVER (PARTITION BY rec_id, seg_id, beat_no ORDER BY o
 
 
 def beat_samples(spark: SparkSession, d: str) -> DataFrame:
-    valleys = extrema(spark, d).where("kind = 'valley'").select(*SEG, "idx")
+    valleys = extrema(channel_arrays(spark, d)).where("kind = 'valley'").select(*SEG, "idx")
     return B.samples_by_beat(signal(spark, d), valleys, SEG, "idx", "idx")
 
 
+def beat_measures(spark: SparkSession, d: str) -> DataFrame:
+    """All measures of the beats between the valleys of the pulse wave excerpts."""
+    own = channel_arrays(spark, d)
+    bounds = cut(C.beat_bounds(extrema(own).where("kind = 'valley'"), SEG))
+    return C.beat_measures(own, bounds, SEG, "x", carry=("fs",))
+
+
 LEVELS = ", ".join(
     f"round(max(CASE WHEN no <= pk AND v < fv + (top - fv) * {p / 100} AND nv >= fv + (top - fv) * {p / 100} THEN o + (fv + (top - fv) * {p / 100} - v) / slope END) + 3e-7, 4) AS up_{p}, "
     f"round(min(CASE WHEN o >= pk AND v >= fv + (top - fv) * {p / 100} AND nv < fv + (top - fv) * {p / 100} THEN o + (fv + (top - fv) * {p / 100} - v) / slope END) + 3e-7, 4) AS down_{p}"
@@ -59,7 +67,7 @@ LEVELS = ", ".join(
 FROM b3 WHERE n >= 4 GROUP BY rec_id, seg_id, beat_no, n""")
 def beat_shapes(spark: SparkSession, d: str) -> DataFrame:
     """Points, areas and level crossings of each beat of the pulse wave excerpts."""
-    rows = B.beat_shapes(beat_samples(spark, d), SEG, "value")
+    rows = beat_measures(spark, d)
     near = {c: 6 for c in ("begin_value", "end_value", "peak_value")} | {c: 4 for c in ("area", "area_over_line", "peak_over_line")}
     crossings = [f"{side}_{p}" for side in ("up", "down") for p in (20, 50, 80)]
     return rows.select(
@@ -70,7 +78,7 @@ def beat_shapes(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def beat_slopes(spark: SparkSession, d: str) -> DataFrame:
     """Where each beat rises and falls most steeply, and its relative height."""
-    rows = B.beat_shapes(beat_samples(spark, d), SEG, "value")
+    rows = beat_measures(spark, d)
     height = F.try_divide(F.col("peak_value") - F.col("end_value"), F.col("peak_value"))
     return rows.select(*SEG, "beat_no", "rise_offset", "fall_offset", rounded(height).alias("relative_height"))
 
@@ -82,19 +90,15 @@ SELECT rec_id, seg_id, beat_no::INT AS beat_no, any_value(pk) AS peak_offset, an
   -(max(CASE WHEN o >= -nt[2] AND o <= -f2[2] THEN row(v, -o) END))[2] AS diastolic_offset FROM m3 GROUP BY ALL""")
 def beat_landmarks(spark: SparkSession, d: str) -> DataFrame:
     """Foot, notch, steepest falls and diastolic peak of each beat."""
-    rows = B.beat_landmarks(beat_samples(spark, d), SEG, "value")
+    rows = beat_measures(spark, d)
     return rows.select(*SEG, "beat_no", *(f"{p}_offset" for p in ("peak", "foot", "notch", "fall_1", "fall_2", "diastolic")))
 
 
 @query()
 def beat_timings(spark: SparkSession, d: str) -> DataFrame:
     """Times between the points of each beat, widths and relative amplitudes."""
-    samples = beat_samples(spark, d)
-    shapes = B.beat_shapes(samples, SEG, "value").drop("peak_offset", "peak_value", "begin_value")
-    fs = samples.groupBy(*SEG).agg(F.max("fs").alias("fs"))
-    both = shapes.join(B.beat_landmarks(samples, SEG, "value"), [*SEG, "beat_no"]).join(fs, SEG)
     names = [*(f"ms_half_to_{p}" for p in ("peak", "foot", "notch", "diastolic")), *(f"ms_width_{p}" for p in (20, 50, 80)), "pulse_ratio", "notch_over_begin"]
-    return B.beat_timings(both, "fs").select(*SEG, "beat_no", *(rounded(c, 4).alias(c) for c in names))
+    return B.beat_timings(beat_measures(spark, d), "fs").select(*SEG, "beat_no", *(rounded(c, 4).alias(c) for c in names))
 
 
 @query()

@@ -13,16 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulseloom.functions.common import cut, load
+from pulseloom.operators import channels as C
 from pulseloom.operators import detect as D
-from pulseloom.operators import features as B
 from pulseloom.operators import intervals as I
 from pulseloom.operators import matching as M
-from pulseloom.plans.views import SEG, markings, rounded, signal
+from pulseloom.plans.views import SEG, channel_arrays, markings, rounded
 from pulseloom.sources.sinks import existing, not_done
 
-#: Different sampling rates that are handled as plans of their own, at most.
-MOST_RATES = 64
-
 
 def clean_segments(noise: DataFrame, lengths: DataFrame, *, target_ms: int = 900_000, least_noise_ms: int = 5_000) -> DataFrame:
     """Stage A: pieces (rec_id, final_bin, s, e) of about ``target_ms`` without noise, in milliseconds.
@@ -43,38 +40,33 @@ def clean_segments(noise: DataFrame, lengths: DataFrame, *, target_ms: int = 900
     return I.assign_moved(merged, ["rec_id"], "s").where("final_bin is not null").select("rec_id", "final_bin", "s", "e")
 
 
-def pulse_points(samples: DataFrame, keys: list[str]) -> DataFrame:
-    """Valleys and peaks of pulse waves (keys, fs, idx, value) with frames of a quarter and one second at each rate."""
-    known = [r["fs"] for r in samples.select("fs").distinct().limit(MOST_RATES + 1).collect()]  # a handful of device rates
-    if len(known) > MOST_RATES:
-        raise ValueError(f"more than {MOST_RATES} sampling rates")
-    found = None
-    for fs in sorted(known):
-        own = samples.where(F.col("fs") == fs)
-        one = D.pulse_valleys_and_peaks(own, keys, "idx", "value", smooth_width=max(2, round(fs / 4)), mean_width=max(2, round(fs)))
-        one = one.withColumn("fs", F.lit(fs))
-        found = one if found is None else found.unionByName(one)
-    return found
+def pulse_points(channels: DataFrame, keys: list[str]) -> DataFrame:
+    """Valleys and peaks (keys, kind, idx, value) of pulse waves (keys, fs, x), with frames of a quarter and one second at each rate."""
+    wide = lambda c: F.greatest(F.bround(c).cast("int"), F.lit(2))
+    own = channels.withColumns({"soft": wide(F.col("fs") / 4), "wide": wide(F.col("fs"))})
+    return C.pulse_valleys_and_peaks(own, keys, "x", smooth_width="soft", mean_width="wide")
 
 
-def beats_and_pairs(segments: DataFrame, samples: DataFrame) -> DataFrame:
+def beats_and_pairs(segments: DataFrame, channels: DataFrame) -> DataFrame:
     """Stage B: R peaks of the ECG arrays in ``segments`` with the pulse valley each is paired with, in seconds.
 
-    Segments whose peaks are fewer than half or more than one and a half times their valleys keep their valleys unpaired.
+    ``channels`` are the pulse waves (rec_id, seg_id, fs, x). Segments whose peaks are fewer than half or more than one and
+    a half times their valleys keep their valleys unpaired.
     """
     peaks = D.detect_beats(segments, [*SEG, "ecg_rate"], "ecg", "ecg_rate").select(*SEG, (F.col("idx") / F.col("ecg_rate")).alias("r_sec")).distinct()
     peaks = cut(peaks)
-    valleys = pulse_points(samples, SEG).where("kind = 'valley'").select(*SEG, (F.col("idx") / F.col("fs")).alias("ppg_sec"))
+    valleys = pulse_points(channels, SEG).where("kind = 'valley'").join(channels.select(*SEG, "fs"), SEG).select(*SEG, (F.col("idx") / F.col("fs")).alias("ppg_sec"))
     valleys = cut(valleys)
     peaks = M.plausible_peaks(peaks, valleys, SEG)
     pairs = M.add_unmatched(M.match_between_neighbours(peaks, valleys, SEG, "r_sec", "ppg_sec"), valleys, SEG, "r_sec", "ppg_sec")
-    return M.settle_all(pairs, samples.withColumn("sec", F.col("idx") / F.col("fs")), SEG, "r_sec", "ppg_sec", "sec", "value")
+    samples = channels.select(*SEG, "fs", F.posexplode("x").alias("idx", "value")).withColumn("sec", F.col("idx") / F.col("fs"))
+    return M.settle_all(pairs, samples, SEG, "r_sec", "ppg_sec", "sec", "value")
 
 
-def beat_features(samples: DataFrame) -> DataFrame:
-    """Stage C: shapes of all beats between the valleys of pulse waves."""
-    valleys = pulse_points(samples, SEG).where("kind = 'valley'").select(*SEG, "idx")
-    return B.beat_shapes(B.samples_by_beat(samples, valleys, SEG, "idx", "idx"), SEG, "value")
+def beat_features(channels: DataFrame) -> DataFrame:
+    """Stage C: measures of all beats between the valleys of pulse waves (rec_id, seg_id, fs, x)."""
+    bounds = C.beat_bounds(pulse_points(channels, SEG).where("kind = 'valley'"), SEG)
+    return C.beat_measures(channels, cut(bounds), SEG, "x", carry=("fs",))
 
 
 def run_stage(spark: SparkSession, path: str, work: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -96,12 +88,12 @@ def pipeline_segments(spark: SparkSession, d: str) -> DataFrame:
 def pipeline_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Stage B over all segments with both excerpts."""
     own = load(spark, d, "segment").where((F.size("ecg") > 1) & (F.size("po") > 1)).select(*SEG, "ecg_rate", "ecg").dropDuplicates(SEG)
-    return beats_and_pairs(own, signal(spark, d)).select(*SEG, rounded("r_sec").alias("r_sec"), rounded("ppg_sec").alias("ppg_sec"), "how")
+    return beats_and_pairs(own, channel_arrays(spark, d)).select(*SEG, rounded("r_sec").alias("r_sec"), rounded("ppg_sec").alias("ppg_sec"), "how")
 
 
 def pipeline_features(spark: SparkSession, d: str) -> DataFrame:
     """Stage C over all pulse wave excerpts."""
-    rows = beat_features(signal(spark, d))
+    rows = beat_features(channel_arrays(spark, d))
     return rows.select(*SEG, "beat_no", "n_samples", "peak_offset", *(rounded(c).alias(c) for c in ("peak_value", "area", "up_50", "down_50")))
 
 

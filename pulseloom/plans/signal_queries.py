@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulseloom.functions.common import load
+from pulseloom.operators import channels as C
 from pulseloom.operators import detect as D
 from pulseloom.operators import moving as V
 from pulseloom.operators import noise as N
 from pulseloom.operators import templates as T
-from pulseloom.plans.views import BEATS_SQL, SEG, WAVES_SQL, beats, events_of, events_sql, rounded, signal, signal_sql, waves
+from pulseloom.plans.views import BEATS_SQL, SEG, WAVES_SQL, beats, channel_arrays, events_of, events_sql, rounded, signal, signal_sql, waves
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -42,17 +43,17 @@ def frame_sql(expression: str, low: int, high: int) -> str:
 
 @query(f"{SIG} SELECT rec_id, seg_id, idx, round({frame_sql('avg(value)', -10, 10)}, 6) AS moving_mean FROM sig")
 def moving_mean_odd(spark: SparkSession, d: str) -> DataFrame:
-    return _kept(V.moving_mean(signal(spark, d), SEG, "idx", "value", 21), "moving_mean")
+    return _kept(C.moving_mean(channel_arrays(spark, d), SEG, "x", 21), "moving_mean")
 
 
 @query(f"{SIG} SELECT rec_id, seg_id, idx, round({frame_sql('avg(value)', -32, 31)}, 6) AS moving_mean FROM sig")
 def moving_mean_even(spark: SparkSession, d: str) -> DataFrame:
-    return _kept(V.moving_mean(signal(spark, d), SEG, "idx", "value", 64), "moving_mean")
+    return _kept(C.moving_mean(channel_arrays(spark, d), SEG, "x", 64), "moving_mean")
 
 
 @query(f"{SIG} SELECT rec_id, seg_id, idx, round({frame_sql('stddev_samp(value)', -16, 15)}, 6) AS moving_std FROM sig")
 def moving_std(spark: SparkSession, d: str) -> DataFrame:
-    return _kept(V.moving_std(signal(spark, d), SEG, "idx", "value", 32), "moving_std")
+    return _kept(C.moving_std(channel_arrays(spark, d), SEG, "x", 32), "moving_std")
 
 
 def smooth_sql(width: int, passes: int) -> str:
@@ -73,7 +74,7 @@ def smooth_sql(width: int, passes: int) -> str:
 for _name, _width, _passes in (("boxcar_1", 7, 1), ("boxcar_2", 8, 2), ("boxcar_3", 31, 3)):
 
     def _boxcar(spark: SparkSession, d: str, width: int = _width, passes: int = _passes) -> DataFrame:
-        rows = V.smooth(signal(spark, d), SEG, "idx", "value", width, passes)
+        rows = C.smooth(channel_arrays(spark, d), SEG, "x", width, passes)
         return _kept(rows.withColumn("smooth", F.col("smooth") + 3e-9), "smooth")  # off the ties of held values
 
     QUERIES[_name] = _boxcar
@@ -93,7 +94,7 @@ def prefix_window_sum(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""{SIG}, s AS (SELECT *, lead(value) OVER w - value AS d FROM sig {W}) SELECT rec_id, seg_id, idx, round({frame_sql('avg(d)', 0, 6)}, 6) AS rolling_slope FROM s""")
 def rolling_slope(spark: SparkSession, d: str) -> DataFrame:
-    return _kept(V.rolling_slope(signal(spark, d), SEG, "idx", "value", 7), "rolling_slope")
+    return _kept(C.rolling_slope(channel_arrays(spark, d), SEG, "x", 7), "rolling_slope")
 
 
 @query(f"{SIG} SELECT rec_id, seg_id, idx, round(value, 6) AS lag0, round(lag(value) OVER w, 6) AS lag1, round(lag(value, 2) OVER w, 6) AS lag2, round(lag(value, 3) OVER w, 6) AS lag3 FROM sig {W}")
@@ -124,24 +125,23 @@ def polynomial_slope(spark: SparkSession, d: str) -> DataFrame:
 m AS (SELECT *, f[(floor(len(f) * 0.375) + 1)::INT:greatest(ceil(len(f) * 0.625), floor(len(f) * 0.375) + 1)::INT] AS mid FROM l)
 SELECT rec_id, seg_id, idx, round(value - list_sum(mid) / len(mid), 6) AS residual FROM m""")
 def middle_mean_residual(spark: SparkSession, d: str) -> DataFrame:
-    return _kept(V.middle_mean_residual(signal(spark, d), SEG, "idx", "value", 20), "residual")
+    return _kept(C.middle_mean_residual(channel_arrays(spark, d), SEG, "x", 20), "residual")
 
 
 @query(f"{SIG} SELECT rec_id, seg_id, idx, round(coalesce(value, {frame_sql('median(value)', -19, 0)}), 6) AS filled FROM sig")
 def trailing_median_fill(spark: SparkSession, d: str) -> DataFrame:
-    return _kept(V.fill_with_trailing_median(signal(spark, d), SEG, "idx", "value", 20), "filled")
+    return _kept(C.fill_with_trailing_median(channel_arrays(spark, d), SEG, "x", 20), "filled")
 
 
 @query(f"{SIG} SELECT rec_id, seg_id, idx, round(last_value(CASE WHEN value >= -0.5 THEN value END IGNORE NULLS) OVER (PARTITION BY rec_id, seg_id ORDER BY idx ROWS UNBOUNDED PRECEDING), 6) AS filled FROM sig")
 def forward_fill(spark: SparkSession, d: str) -> DataFrame:
-    return _kept(V.fill_forward(signal(spark, d), SEG, "idx", "value", missing_below=-0.5), "filled")
+    return _kept(C.fill_forward(channel_arrays(spark, d), SEG, "x", missing_below=-0.5), "filled")
 
 
 for _direction, _test in (("both", "abs(off) > b"), ("upper", "off > b"), ("lower", "off < -b")):
 
     def _steps(spark: SparkSession, d: str, direction: str = _direction) -> DataFrame:
-        rows = V.step_outliers(signal(spark, d), SEG, "idx", "value", 2.5, 100, direction)
-        return rows.where("outlier").select(*SEG, "idx")
+        return C.step_outliers(channel_arrays(spark, d), SEG, "x", 2.5, 100, direction)
 
     QUERIES[f"std_outlier_{_direction}"] = _steps
     SQL[f"std_outlier_{_direction}"] = f"""{SIG}, s AS (SELECT *, lead(value) OVER w - value AS d FROM sig {W}),
@@ -247,14 +247,16 @@ bg AS (SELECT *, CASE WHEN up = lag(up) OVER w THEN 0 ELSE 1 END AS b FROM mk {W
 tp AS (SELECT *, row_number() OVER (PARTITION BY rec_id, seg_id, run_no ORDER BY CASE WHEN up THEN value ELSE -value END DESC, idx) AS place FROM rn)"""
 
 
-def extrema(spark: SparkSession, d: str) -> DataFrame:
-    return D.pulse_valleys_and_peaks(signal(spark, d), SEG, "idx", "value", smooth_width=31, mean_width=125)
+def extrema(channels: DataFrame) -> DataFrame:
+    """Valleys and peaks of pulse wave arrays ``x``, with frames of 31 and 125 samples."""
+    own = channels.withColumns({"soft": F.lit(31), "wide": F.lit(125)})
+    return C.pulse_valleys_and_peaks(own, SEG, "x", smooth_width="soft", mean_width="wide")
 
 
 @query(EXTREMA + " SELECT rec_id, seg_id, run_no, CASE WHEN up THEN 'peak' ELSE 'valley' END AS kind, idx, round(value, 6) AS value FROM tp WHERE place = 1")
 def mask_run_extrema(spark: SparkSession, d: str) -> DataFrame:
     """Valleys and peaks of the pulse wave."""
-    return extrema(spark, d).select(*SEG, "run_no", "kind", "idx", rounded("value").alias("value"))
+    return extrema(channel_arrays(spark, d)).select(*SEG, "run_no", "kind", "idx", rounded("value").alias("value"))
 
 
 @query(f"""WITH {signal_sql('ecg')}, a AS (SELECT *, coalesce(pow(lead(value) OVER w - value, 2), 0) AS e FROM sig {W}),

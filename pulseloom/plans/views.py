@@ -22,12 +22,23 @@ def rates(spark: SparkSession, d: str) -> DataFrame:
     return broadcast_if_small(own)
 
 
+def channel_arrays(spark: SparkSession, d: str, channel: str = "po") -> DataFrame:
+    """One array of each segment's channel (rec_id, seg_id, fs, x); impossible samples are null, absent channels left out.
+
+    Repeated rows are told by the Parquet file and row they stand in, so that no samples are moved to drop them.
+    """
+    rate = {"po": "ppg_rate", "ecg": "ecg_rate"}[channel]
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    rows = load(spark, d, "segment").select(*SEG, F.col(rate).alias("fs"), F.col(channel).alias("x"), place.alias("place")).where(F.size("x") > 1)
+    first = rows.groupBy(*SEG).agg(F.min("place").alias("place")).select("place")
+    one = rows.join(broadcast_if_small(first), "place", "left_semi")
+    return one.select(*SEG, "fs", F.transform("x", lambda v: F.when(is_number(v) & (F.abs(v) <= 1000), v)).alias("x"))
+
+
 def signal(spark: SparkSession, d: str, channel: str = "po") -> DataFrame:
     """Samples (rec_id, seg_id, fs, idx, value) of a segment channel; absent channels and impossible samples are left out or null."""
-    rate = {"po": "ppg_rate", "ecg": "ecg_rate"}[channel]
-    one = load(spark, d, "segment").select(*SEG, F.col(rate).alias("fs"), channel).where(F.size(channel) > 1).dropDuplicates(SEG)
-    long = one.select(*SEG, "fs", F.posexplode(channel).alias("idx", "x"))
-    return long.select(*SEG, "fs", F.col("idx").cast("bigint").alias("idx"), F.when(is_number(F.col("x")) & (F.abs("x") <= 1000), F.col("x")).alias("value"))
+    long = channel_arrays(spark, d, channel).select(*SEG, "fs", F.posexplode("x").alias("idx", "value"))
+    return long.select(*SEG, "fs", F.col("idx").cast("bigint").alias("idx"), "value")
 
 
 def signal_sql(channel: str = "po") -> str:

@@ -57,8 +57,8 @@ def test_frames_have_no_seams(spark):
         lambda s: V.framed(df, ["k"], "i", 4, 7, lambda r, f, o: r.withColumn("out", F.count("v").over(f(-4, 7))), stretch=s),
     ):
         assert rows(build(13)) == rows(build(100_000))
-    with pytest.raises(ValueError):
-        V.framed(df, ["k"], "i", 50, 0, lambda r, f, o: r, stretch=10)
+    wide = lambda s: V.framed(df, ["k"], "i", 50, 60, lambda r, f, o: r.withColumn("out", F.count("v").over(f(-50, 60))), stretch=s)
+    assert rows(wide(10)) == rows(wide(100_000))  # a frame longer than the stretch
 
 
 def test_frames_reach_over_positions_not_rows(spark):
@@ -134,11 +134,11 @@ def test_implausible_segments_keep_their_valleys_unpaired(spark, monkeypatch):
     from pulseloom.plans import pipeline
 
     peaks = spark.createDataFrame([("a", n, float(i), 1.0) for n, m in ((1, 3), (2, 1), (3, 5), (4, 2)) for i in range(m)], "rec_id string, seg_id int, idx double, ecg_rate double")
-    valleys = spark.createDataFrame([("a", n, i + 0.1, 1.0, "valley") for n, m in ((1, 3), (2, 3), (3, 3)) for i in range(m)], "rec_id string, seg_id int, idx double, fs double, kind string")
+    valleys = spark.createDataFrame([("a", n, i + 0.1, "valley") for n, m in ((1, 3), (2, 3), (3, 3)) for i in range(m)], "rec_id string, seg_id int, idx double, kind string")
     monkeypatch.setattr(pipeline.D, "detect_beats", lambda *_: peaks)
     monkeypatch.setattr(pipeline, "pulse_points", lambda *_: valleys)
-    samples = spark.createDataFrame([], "rec_id string, seg_id int, fs double, idx long, value double")
-    got = pipeline.beats_and_pairs(peaks, samples).collect()
+    channels = spark.createDataFrame([("a", n, 1.0, None) for n in (1, 2, 3)], "rec_id string, seg_id int, fs double, x array<double>")
+    got = pipeline.beats_and_pairs(peaks, channels).collect()
     assert {(r["seg_id"], r["r_sec"] is None) for r in got} == {(1, False), (2, True), (3, True)} and len(got) == 9
 
 
