@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulseloom.functions.common import cut, load
+from pulseloom.operators import beats as E
 from pulseloom.operators import channels as C
-from pulseloom.operators import detect as D
 from pulseloom.operators import intervals as I
 from pulseloom.operators import matching as M
 from pulseloom.plans.views import SEG, channel_arrays, markings, rounded
@@ -48,12 +48,12 @@ def pulse_points(channels: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def beats_and_pairs(segments: DataFrame, channels: DataFrame) -> DataFrame:
-    """Stage B: R peaks of the ECG arrays in ``segments`` with the pulse valley each is paired with, in seconds.
+    """Stage B: R peaks of the ECG arrays in ``segments``, by the vote of the detectors, with the pulse valley each is paired with, in seconds.
 
     ``channels`` are the pulse waves (rec_id, seg_id, fs, x). Segments whose peaks are fewer than half or more than one and
     a half times their valleys keep their valleys unpaired.
     """
-    peaks = D.detect_beats(segments, [*SEG, "ecg_rate"], "ecg", "ecg_rate").select(*SEG, (F.col("idx") / F.col("ecg_rate")).alias("r_sec")).distinct()
+    peaks = E.voted_beats(segments, [*SEG, "ecg_rate"], "ecg", "ecg_rate").select(*SEG, (F.col("idx") / F.col("ecg_rate")).alias("r_sec")).distinct()
     peaks = cut(peaks)
     valleys = pulse_points(channels, SEG).where("kind = 'valley'").join(channels.select(*SEG, "fs"), SEG).select(*SEG, (F.col("idx") / F.col("fs")).alias("ppg_sec"))
     valleys = cut(valleys)
@@ -87,8 +87,9 @@ def pipeline_segments(spark: SparkSession, d: str) -> DataFrame:
 
 def pipeline_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Stage B over all segments with both excerpts."""
-    own = load(spark, d, "segment").where((F.size("ecg") > 1) & (F.size("po") > 1)).select(*SEG, "ecg_rate", "ecg").dropDuplicates(SEG)
-    return beats_and_pairs(own, channel_arrays(spark, d)).select(*SEG, rounded("r_sec").alias("r_sec"), rounded("ppg_sec").alias("ppg_sec"), "how")
+    own, pulses = channel_arrays(spark, d, "ecg").select(*SEG, F.col("fs").alias("ecg_rate"), F.col("x").alias("ecg")), channel_arrays(spark, d)
+    own = own.join(pulses.select(*SEG), SEG, "left_semi")
+    return beats_and_pairs(own, pulses).select(*SEG, rounded("r_sec").alias("r_sec"), rounded("ppg_sec").alias("ppg_sec"), "how")
 
 
 def pipeline_features(spark: SparkSession, d: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulseloom.functions.common import load
+from pulseloom.operators import beats as E
 from pulseloom.operators import channels as C
 from pulseloom.operators import detect as D
 from pulseloom.operators import moving as V
@@ -335,6 +336,13 @@ def detected_beats(spark: SparkSession, d: str) -> DataFrame:
     return D.detect_beats(load(spark, d, "segment"), SEG, "ecg", "ecg_rate")
 
 
+@query()
+def voted_beats(spark: SparkSession, d: str) -> DataFrame:
+    """Beats of all ECG excerpts on which the detectors agree by weight."""
+    rows = E.voted_beats(channel_arrays(spark, d, "ecg"), SEG, "x", "fs")
+    return rows.select(*SEG, "idx", rounded("height").alias("height"), rounded("votes").alias("votes"))
+
+
 @query(f"WITH {WAVES_SQL} SELECT label, pos::INT AS pos, round(median(value), 6) AS template, count(*) AS n_waves FROM wv GROUP BY ALL")
 def template_median(spark: SparkSession, d: str) -> DataFrame:
     """Median wave of each group of embeddings."""

@@ -135,7 +135,7 @@ def test_implausible_segments_keep_their_valleys_unpaired(spark, monkeypatch):
 
     peaks = spark.createDataFrame([("a", n, float(i), 1.0) for n, m in ((1, 3), (2, 1), (3, 5), (4, 2)) for i in range(m)], "rec_id string, seg_id int, idx double, ecg_rate double")
     valleys = spark.createDataFrame([("a", n, i + 0.1, "valley") for n, m in ((1, 3), (2, 3), (3, 3)) for i in range(m)], "rec_id string, seg_id int, idx double, kind string")
-    monkeypatch.setattr(pipeline.D, "detect_beats", lambda *_: peaks)
+    monkeypatch.setattr(pipeline.E, "voted_beats", lambda *_: peaks)
     monkeypatch.setattr(pipeline, "pulse_points", lambda *_: valleys)
     channels = spark.createDataFrame([("a", n, 1.0, None) for n in (1, 2, 3)], "rec_id string, seg_id int, fs double, x array<double>")
     got = pipeline.beats_and_pairs(peaks, channels).collect()
