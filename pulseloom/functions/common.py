@@ -32,16 +32,23 @@ def quoted(name: str) -> Column:
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint.
 
-    The folder is the one the session names in spark.checkpoint.dir; only where none is set, as in tests, a
-    temporary one is used.
+    The folder is the one the session names in spark.checkpoint.dir; only where none is set and the master is local, as
+    in tests, a temporary one is used.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pulseloom-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or temporary_folder(spark, "pulseloom-"))
     return df.checkpoint(eager=True)
 
 
+def temporary_folder(spark: SparkSession, prefix: str) -> str:
+    """A folder on this machine; on a cluster, where tasks can't share it, an error."""
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix=prefix)
+
+
 def broadcast_if_small(df: DataFrame, max_bytes: int = 32 << 20) -> DataFrame:
     """A broadcast hint if the rows of ``df`` measure at most ``max_bytes``, else ``df`` as it is.
 
@@ -62,6 +69,20 @@ def broadcast_if_small(df: DataFrame, max_bytes: int = 32 << 20) -> DataFrame:
     return F.broadcast(df) if size <= max_bytes else df
 
 
+def join_summary(df: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` with the other columns of ``summary``, which has at most one row a key; equal null keys meet.
+
+    Rows of ``df`` don't move while the summary is small enough to be broadcast, however many of them one key has. The
+    summary is written once, so that measuring it doesn't compute it again.
+    """
+    names = [fresh(f"key{i}", df.columns, summary.columns) for i in range(len(keys))]
+    side = broadcast_if_small(cut(summary).withColumnsRenamed(dict(zip(keys, names, strict=True))))
+    same = F.lit(True)
+    for key, name in zip(keys, names, strict=True):
+        same = same & quoted(key).eqNullSafe(F.col(name))
+    return df.join(side, same, "left").drop(*names)
+
+
 def is_number(column: Column) -> Column:
     """True where a floating-point column is neither null nor NaN."""
     return column.isNotNull() & ~F.isnan(column)

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from pulseloom.functions import kernels
-from pulseloom.functions.common import quoted
+from pulseloom.functions.common import join_summary, quoted
 from pulseloom.operators.moving import _number, _total, framed, polynomial_weights, regularity, smooth_and_level, window_sum
 from pulseloom.operators.runs import cluster_by_gap
 
@@ -32,7 +32,7 @@ def tall_samples(df: DataFrame, keys: list[str], value: Column, deviations: floa
     """Rows whose ``value`` exceeds the entity's mean by ``deviations`` sample standard deviations; adds it as ``out``."""
     scored = df.withColumn(out, value)
     stats = scored.groupBy(*map(quoted, keys)).agg((F.avg(out) + F.stddev_samp(out) * deviations).alias("__least"))
-    return scored.join(stats, keys).where(F.col(out) > F.col("__least")).drop("__least")
+    return join_summary(scored, stats, keys).where(F.col(out) > F.col("__least")).drop("__least")
 
 
 def thin_peaks(peaks: DataFrame, keys: list[str], position: str, height: str, distance: int) -> DataFrame:
@@ -124,7 +124,7 @@ def energy_regions(df: DataFrame, keys: list[str], position: str, value: str, *,
 
     summed = window_sum(framed(df, keys, position, 0, 1, energy), keys, position, "__energy", integrate, out="__sum")
     peak = summed.groupBy(*map(quoted, keys)).agg((F.max("__sum") * threshold).alias("__least"))
-    masked = summed.join(peak, keys).withColumn("__on", F.coalesce(F.col("__sum") > F.col("__least"), F.lit(False)))
+    masked = join_summary(summed, peak, keys).withColumn("__on", F.coalesce(F.col("__sum") > F.col("__least"), F.lit(False)))
     w = Window.partitionBy(*map(quoted, keys)).orderBy(quoted(position))
     begins = (F.col("__on") & ~F.coalesce(F.lag("__on").over(w), F.lit(False))).cast("int")
     numbered = masked.withColumn("__begins", begins).withColumn("region", F.sum("__begins").over(w)).where("__on")
@@ -148,7 +148,7 @@ def slope_sum_onsets(df: DataFrame, keys: list[str], position: str, value: str,
 
     summed = framed(df, keys, position, width + 1, 0, rises)
     mean = summed.groupBy(*map(quoted, keys)).agg(F.round(F.avg("__sum") * level, 9).alias("__least"))
-    crossing = summed.join(mean, keys).where((F.col("__sum") > F.col("__least")) & (F.col("__before") <= F.col("__least")))
+    crossing = join_summary(summed, mean, keys).where((F.col("__sum") > F.col("__least")) & (F.col("__before") <= F.col("__least")))
     return crossing.select(*map(quoted, keys), F.col("__low.p").alias("onset"), quoted(position).alias("crossing"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulseloom.functions.common import quoted
+from pulseloom.functions.common import join_summary, quoted
 from pulseloom.operators.moving import _number
 
 
@@ -153,20 +153,27 @@ def segment_offsets(segments: DataFrame, keys: list[str], order: str, length: st
 
 
 def edge_flags(df: DataFrame, keys: list[str], part: str, order: str, out: str = "is_edge") -> DataFrame:
-    """Mark the first and last row of each part of an entity, but not the entity's very first and last row."""
-    inner = Window.partitionBy(*map(quoted, keys), quoted(part))
-    outer = Window.partitionBy(*map(quoted, keys))
+    """Mark the first and last row of each part of an entity, but not the entity's very first and last row.
+
+    Bounds are aggregated, by part and then by entity, and joined to the rows; a row without an order has a null mark.
+    """
+    bounds = df.groupBy(*map(quoted, keys), quoted(part)).agg(F.min(quoted(order)).alias("__low"), F.max(quoted(order)).alias("__high"))
+    ends = bounds.groupBy(*map(quoted, keys)).agg(F.min("__low").alias("__first"), F.max("__high").alias("__last"))
+    rows = join_summary(df, join_summary(bounds, ends, keys), list(dict.fromkeys([*keys, part])))
     place = quoted(order)
-    at_part = (place == F.min(place).over(inner)) | (place == F.max(place).over(inner))
-    at_end = (place == F.min(place).over(outer)) | (place == F.max(place).over(outer))
-    return df.withColumn(out, at_part & ~at_end)
+    edge = ((place == F.col("__low")) | (place == F.col("__high"))) & ~((place == F.col("__first")) | (place == F.col("__last")))
+    return rows.withColumn(out, edge).drop("__low", "__high", "__first", "__last")
+
+
+def _with_sleep(df: DataFrame, keys: list[str], at: str, stage: str, wake: float) -> DataFrame:
+    """Add the first and last sleeping row's place of each entity, ``__onset`` and ``__offset``; null without sleep."""
+    asleep = F.when(quoted(stage) != wake, quoted(at))
+    return join_summary(df, df.groupBy(*map(quoted, keys)).agg(F.min(asleep).alias("__onset"), F.max(asleep).alias("__offset")), keys)
 
 
 def sleep_phases(df: DataFrame, keys: list[str], order: str, stage: str, out: str = "phase", *, wake: float = 0, rem: float = -1) -> DataFrame:
     """0 wake before sleep, 1 non-REM, 2 REM, 3 wake during sleep, 4 wake after sleep; entities without sleep are 0."""
-    whole = Window.partitionBy(*map(quoted, keys))
-    asleep = F.when(quoted(stage) != wake, quoted(order))
-    onset, offset = F.min(asleep).over(whole), F.max(asleep).over(whole)
+    onset, offset = F.col("__onset"), F.col("__offset")
     phase = (
         F.when(quoted(stage).isNull(), None)
         .when((quoted(stage) == wake) & (onset.isNull() | (quoted(order) < onset)), 0)
@@ -175,14 +182,13 @@ def sleep_phases(df: DataFrame, keys: list[str], order: str, stage: str, out: st
         .when(quoted(stage) == rem, 2)
         .otherwise(1)
     )
-    return df.withColumn(out, phase)
+    return _with_sleep(df, keys, order, stage, wake).withColumn(out, phase).drop("__onset", "__offset")
 
 
 def sleep_onsets(df: DataFrame, keys: list[str], at: str, stage: str, *, wake: float = 0) -> DataFrame:
     """Add ``since_onset`` and ``to_last_sleep``: time from the entity's first sleeping row, and to its last one."""
-    whole = Window.partitionBy(*map(quoted, keys))
-    asleep = F.when(quoted(stage) != wake, quoted(at))
-    return df.withColumns({"since_onset": quoted(at) - F.min(asleep).over(whole), "to_last_sleep": F.max(asleep).over(whole) - quoted(at)})
+    rows = _with_sleep(df, keys, at, stage, wake)
+    return rows.withColumns({"since_onset": quoted(at) - F.col("__onset"), "to_last_sleep": F.col("__offset") - quoted(at)}).drop("__onset", "__offset")
 
 
 def recode_stages(stage: str):

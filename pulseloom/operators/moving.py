@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from pulseloom.functions.common import broadcast_if_small, quoted
+from pulseloom.functions.common import broadcast_if_small, join_summary, quoted
 
 STRETCH = 65_536
 
@@ -278,18 +278,42 @@ def step_outliers(df: DataFrame, keys: list[str], position: str, value: str, mul
 
 
 def exact_median(df: DataFrame, keys: list[str], value: Column, out: str) -> DataFrame:
-    """Exact medians by key; equal values are counted before they are moved, so a group's state is its distinct values."""
-    counted = df.where(value.isNotNull()).groupBy(*map(quoted, keys), value.alias("__v")).agg(F.count("*").alias("__n"))
-    return counted.groupBy(*map(quoted, keys)).agg(F.percentile("__v", 0.5, F.col("__n")).alias(out))
+    """Exact medians by key, in two passes, so that no task holds a key's values.
+
+    Equal values are counted before they are moved. The counts of ranges of values (64 to each doubling) tell in which
+    ranges of a key the middle ranks lie; only the values of these are ordered. Null and NaN values don't count; keys
+    without values have no row.
+    """
+    size = F.abs("__v")
+    grade = F.floor(F.log2(size) * 64).cast("bigint") + 100_000
+    spread = F.when(F.col("__v") == 0, F.lit(0).cast("bigint")).when(size == float("inf"), F.lit(1_000_000).cast("bigint")).otherwise(grade)
+    names = [f"__m{i}" for i in range(len(keys))]
+    own = df.select(*(quoted(k).alias(a) for k, a in zip(keys, names, strict=True)), value.cast("double").alias("__v"))
+    counted = own.where(F.col("__v").isNotNull() & ~F.isnan("__v")).groupBy(*names, "__v").agg(F.count("*").alias("__n"))
+    counted = counted.withColumn("__range", F.when(F.col("__v") < 0, -spread).otherwise(spread))
+    ranges = counted.groupBy(*names, "__range").agg(F.sum("__n").alias("__in"))
+    by = Window.partitionBy(*names)
+    ranges = ranges.withColumns({"__upto": F.sum("__in").over(by.orderBy("__range")), "__all": F.sum("__in").over(by)})
+    before = F.col("__upto") - F.col("__in")
+    low, high = F.floor((F.col("__all") + 1) / 2), F.floor(F.col("__all") / 2) + 1
+    middle = ranges.where((F.col("__upto") >= low) & (before < high)).select(*names, "__range", before.alias("__before"), low.alias("__low"), high.alias("__high"))
+    held = join_summary(counted, middle, [*names, "__range"]).where("__low is not null")
+    inside = Window.partitionBy(*names, "__range").orderBy("__v")
+    held = held.withColumn("__rank", F.col("__before") + F.sum("__n").over(inside))
+    at = lambda rank: F.max(F.when((F.col("__rank") >= F.col(rank)) & (F.col("__rank") - F.col("__n") < F.col(rank)), F.col("__v")))
+    found = held.groupBy(*names).agg(((at("__low") + at("__high")) / 2).alias(out))
+    return found.withColumnsRenamed(dict(zip(names, keys, strict=True)))
 
 
 def mad_outliers(df: DataFrame, keys: list[str], value: str, limit: float = 3.0, out: str = "outlier") -> DataFrame:
-    """Mark values further than ``limit`` scaled median absolute deviations from the entity's median; null values are not marked."""
-    middle = exact_median(df, keys, _number(value), "__median")
-    with_median = df.join(middle, keys, "left")
+    """Mark values further than ``limit`` scaled median absolute deviations from the entity's median; null values are not marked.
+
+    The medians, one row a key, are joined to the rows by a broadcast while they are small.
+    """
+    with_median = join_summary(df, exact_median(df, keys, _number(value), "__median"), keys)
     spread = exact_median(with_median, keys, F.abs(_number(value) - F.col("__median")), "__mad")
     far = F.abs(_number(value) - F.col("__median")) > F.col("__mad") * 1.4826 * limit
-    return with_median.join(spread, keys, "left").withColumn(out, F.coalesce(far, F.lit(False))).drop("__median", "__mad")
+    return join_summary(with_median, spread, keys).withColumn(out, F.coalesce(far, F.lit(False))).drop("__median", "__mad")
 
 
 def ampogram(df: DataFrame, keys: list[str], position: str, value: str, width: int, *, edges: str = "disjoint", out: str = "height") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from pulseloom.functions import kernels
 from pulseloom.functions.common import quoted
-from pulseloom.operators.intervals import merge_overlaps
+from pulseloom.operators.interval_islands import PERIOD, merge_intervals
 from pulseloom.operators.moving import ampogram, moving_std
 from pulseloom.operators.runs import cluster_by_gap
 
@@ -45,4 +45,5 @@ def automatic_noise(signal: DataFrame, keys: list[str], position: str, value: st
     still = moving_std(signal, keys, position, value, flat).where("moving_std = 0")
     stretches = cluster_by_gap(still, keys, position, join).select(*map(quoted, keys), F.col("first").alias("low"), F.col("last").alias("high"))
     wide = spikes.unionByName(stretches).withColumns({"low": F.greatest(F.col("low") - widen, F.lit(0)), "high": F.col("high") + widen})
-    return merge_overlaps(wide, keys, "low", "high", touch=1)
+    merged = merge_intervals(wide, keys, "low", "high").where(F.col("kind") == PERIOD)
+    return merged.select(*map(quoted, keys), F.col("start").alias("low"), F.col("end").alias("high"))

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from pulseloom.functions import kernels
-from pulseloom.functions.common import quoted
+from pulseloom.functions.common import join_summary, quoted
 from pulseloom.operators.moving import _number, exact_median
 
 
@@ -47,8 +47,10 @@ def good_waves(waves: DataFrame, keys: list[str], wave: str, offset: str, value:
 
 def template(waves: DataFrame, keys: list[str], offset: str, value: str) -> DataFrame:
     """Median wave of each entity: keys, offset, template, n_waves. Missing values are skipped."""
-    counted = waves.where(_number(value).isNotNull()).groupBy(*map(quoted, keys), quoted(offset)).agg(F.percentile(_number(value), 0.5).alias("template"), F.count("*").alias("n_waves"))
-    return counted
+    known = waves.where(_number(value).isNotNull())
+    counted = known.groupBy(*map(quoted, keys), quoted(offset)).agg(F.count("*").alias("n_waves"))
+    whole = join_summary(counted, exact_median(known, [*keys, offset], _number(value), "template"), [*keys, offset])
+    return whole.select(*map(quoted, keys), quoted(offset), "template", "n_waves")
 
 
 def wave_scores(waves: DataFrame, keys: list[str], wave: str, offset: str, value: str, *, limit: float = 0.30) -> DataFrame:

@@ -17,6 +17,7 @@ from pulseloom.operators import beats as E
 from pulseloom.operators import channels as C
 from pulseloom.operators import intervals as I
 from pulseloom.operators import matching as M
+from pulseloom.operators.interval_islands import PERIOD, merge_intervals
 from pulseloom.plans.views import SEG, channel_arrays, markings, rounded
 from pulseloom.sources.sinks import existing, not_done
 
@@ -29,7 +30,8 @@ def clean_segments(noise: DataFrame, lengths: DataFrame, *, target_ms: int = 900
     as a bin of their own if they are half a target together. As in the original, short pieces in the outer halves of the first
     and last bin, and movers without a staying piece on their side, belong to no bin.
     """
-    long_noise = I.merge_overlaps(noise.where(F.col("e") - F.col("s") >= least_noise_ms), ["rec_id"], "s", "e")
+    merged = merge_intervals(noise.where(F.col("e") - F.col("s") >= least_noise_ms), ["rec_id"], "s", "e", touch=0)
+    long_noise = merged.where(F.col("kind") == PERIOD).select("rec_id", F.col("start").alias("s"), F.col("end").alias("e"))
     bounds = lengths.select("rec_id", F.lit(0).cast("bigint").alias("low"), F.col("length_ms").alias("high"))
     free = I.complement(long_noise, bounds, ["rec_id"], "s", "e", "low", "high")
     pieces = I.split_at_bins(free, "s", "e", target_ms)

@@ -30,7 +30,9 @@ def existing(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     """A Parquet table, or an empty one like ``like`` where there is none yet."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":  # an unreadable table is not a missing one
+            raise
         return spark.createDataFrame([], like.schema)
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pulseloom.functions.common import temporary_folder
+
 
 def tumbling_statistics(events: DataFrame, keys: list[str], time: str, value: str, width: str, delay: str) -> DataFrame:
     """Count, sum and extremes by key and tumbling window; rows later than ``delay`` behind the newest are dropped."""
@@ -30,11 +32,9 @@ def gap_sessions(events: DataFrame, keys: list[str], time: str, gap: str, delay:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared one that the session names, or a local temporary one where it names none."""
-    import tempfile
-
+    """A new folder below the shared one that the session names; a temporary one where it names none and the master is local."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base}/{name}-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix=f"pulseloom-{name}-")
+    return f"{base}/{name}-{uuid.uuid4().hex}" if base else temporary_folder(spark, f"pulseloom-{name}-")
 
 
 def run_to_table(stream: DataFrame, path: str, ids: list[str], *, mode: str = "update") -> DataFrame:

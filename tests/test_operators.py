@@ -228,3 +228,38 @@ def test_broadcast_only_below_the_bound(spark):
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     assert "broadcast" in plan(right.join(broadcast_if_small(small), "id"))
     assert "broadcast" not in plan(right.join(broadcast_if_small(small, max_bytes=10), "id"))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_exact_median_over_all_ranges(spark, seed):
+    rng = random.Random(seed)
+    pick = lambda: rng.choice([0.0, -0.0, 1e-300, 5e-324, -1e300, float("inf"), -float("inf"), rng.gauss(0, 1), rng.gauss(0, 1e-9), -3.5, 2.0, None, float("nan")])
+    data = [(rng.choice(["hot"] * 5 + ["a", None]), pick()) for _ in range(rng.choice([30, 301]))] + [("none", None)]
+    got = {r["k"]: r["m"] for r in V.exact_median(spark.createDataFrame(data, "k string, v double"), ["k"], F.col("v"), "m").collect()}
+    by = {}
+    for k, v in data:
+        if v is not None and v == v:
+            by.setdefault(k, []).append(v)
+    assert set(got) == set(by)
+    for k, own in by.items():
+        own.sort()
+        low, high = own[(len(own) - 1) // 2], own[len(own) // 2]
+        middle = (low + high) / 2
+        assert got[k] == middle or (got[k] != got[k] and middle != middle)
+
+
+def test_hot_entities_are_joined_to_their_bounds(spark):
+    from pulseloom.operators import features as B
+
+    rows_ = [("hot" if i % 2 else None, i // 40, float(i), 0 if i % 5 else 2) for i in range(200)]
+    df = spark.createDataFrame(rows_, "k string, part int, at double, stage int")
+    flags = {r["at"]: r["is_edge"] for r in B.edge_flags(df, ["k"], "part", "at").collect()}
+    for key in ("hot", None):
+        own = [r for r in rows_ if r[0] == key]
+        for p in range(5):
+            places = [r[2] for r in own if r[1] == p]
+            for at in places:
+                assert flags[at] == (at in (places[0], places[-1]) and at not in (own[0][2], own[-1][2]))
+    since = {r["at"]: r["since_onset"] for r in B.sleep_onsets(df, ["k"], "at", "stage").collect()}
+    first = {key: min(r[2] for r in rows_ if r[0] == key and r[3] != 0) for key in ("hot", None)}
+    assert all(since[r[2]] == r[2] - first[r[0]] for r in rows_)
