@@ -338,7 +338,7 @@ def beat_bounds(valleys: DataFrame, keys: list[str], position: str = "idx") -> D
 
 
 def over_beats(df: DataFrame, bounds: DataFrame, keys: list[str], samples: str, measure: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], dict], fields: str, *, carry: tuple[str, ...] = (), size: int = CHUNK) -> DataFrame:
-    """One row (keys, carry, beat_no, fields) for each beat: ``measure(value, offset, n, which)`` of matrices with a row a beat.
+    """One row (keys, carry, beat_no, low, high, fields) for each beat: ``measure(value, offset, n, which)`` of matrices with a row a beat.
 
     ``value`` and ``offset`` hold the known samples of the beats from their first bound to their last, ``n`` of each, NaN
     behind; ``which`` are the rows' numbers among the chunk's beats. Beats are listed by the chunk in which they begin, and
@@ -357,7 +357,7 @@ def over_beats(df: DataFrame, bounds: DataFrame, keys: list[str], samples: str,
     rows = rows.withColumn("__x", F.slice("__x", (F.col("__from") + 1).cast("int"), (F.col("__to") - F.col("__from") + 1).cast("int")))
     carried = [f"c{i}" for i in range(len(carry))]
     extra = T._parse_datatype_string(fields)
-    schema = T.StructType([*rows.select(*names, *carried).schema.fields, T.StructField("beat_no", T.IntegerType()), *extra.fields])
+    schema = T.StructType([*rows.select(*names, *carried).schema.fields, T.StructField("beat_no", T.IntegerType()), T.StructField("low", T.LongType()), T.StructField("high", T.LongType()), *extra.fields])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -371,7 +371,7 @@ def over_beats(df: DataFrame, bounds: DataFrame, keys: list[str], samples: str,
                     if len(which):
                         at = pa.array(np.full(len(which), i))
                         columns = [pa.array(found[f.name], arrow.field(f.name).type, from_pandas=True) for f in extra.fields]
-                        made = pa.record_batch([*(batch.column(a).take(at) for a in [*names, *carried]), pa.array(number[which], pa.int32()), *columns], schema=arrow)
+                        made = pa.record_batch([*(batch.column(a).take(at) for a in [*names, *carried]), pa.array(number[which], pa.int32()), pa.array(low[which]), pa.array(high[which]), *columns], schema=arrow)
                         yield made.filter(pa.array(found["keep"])) if "keep" in found else made
 
     return rows.mapInArrow(run, schema).withColumnsRenamed(dict(zip(names, keys, strict=True)) | {f"c{i}": c for i, c in enumerate(carry)})
@@ -427,16 +427,19 @@ def _shape(value: np.ndarray, offset: np.ndarray, n: np.ndarray, levels: tuple[i
         "peak_value": top,
         "rise_offset": _best(slope, offset, rising),
         "fall_offset": _best(-slope, offset, falling),
+        "least_value": low,
         "area": np.nancumsum((value - low[:, None] + (next_v - low[:, None])) / 2 * width, axis=1)[:, -1],
         "area_over_line": np.nancumsum((np.abs(off) + np.abs(next_off)) / 2 * width, axis=1)[:, -1],
         "peak_over_line": _value_at(off, offset, peak),
     }
-    for p in levels:
-        level = (first_v + (top - first_v) * (p / 100))[:, None]
+    heights = {str(p): first_v + (top - first_v) * (p / 100) for p in levels} | {f"end_{p}": last_v + (top - last_v) * ((100 - p) / 100) for p in levels}
+    for name, height in heights.items():
+        level = height[:, None]
         cross = offset + (level - value) / slope
         up = np.where(rising & (value < level) & (next_v >= level), cross, -np.inf).max(1)
         down = np.where(falling & (value >= level) & (next_v < level), cross, np.inf).min(1)
-        found[f"up_{p}"], found[f"down_{p}"] = np.where(np.isneginf(up), np.nan, up), np.where(np.isposinf(down), np.nan, down)
+        found[f"up_{name}"], found[f"down_{name}"] = np.where(np.isneginf(up), np.nan, up), np.where(np.isposinf(down), np.nan, down)
+        found[f"level_{name}"] = height
     return found
 
 
@@ -459,8 +462,6 @@ def _landmarks(value: np.ndarray, offset: np.ndarray, n: np.ndarray) -> dict:
         "fall_1_offset": _best(-step, offset, (offset >= peak[:, None]) & (offset < notch[:, None])),
         "fall_2_offset": second,
         "diastolic_offset": diastolic,
-        "diastolic_value": _value_at(value, offset, diastolic),
-        "notch_value": _value_at(value, offset, notch),
     }
 
 
@@ -473,16 +474,42 @@ def beat_measures(df: DataFrame, bounds: DataFrame, keys: list[str], samples: st
     first after it); foot_offset (the sample before the peak that lies furthest below the line from the begin to the
     peak), notch_offset (after the peak, furthest below the line from the peak to the end, only below it), fall_1_offset and
     fall_2_offset (steepest falls between peak and notch and after the notch), diastolic_offset and diastolic_value (the
-    largest sample from the notch to fall_2) and notch_value. Missing samples are skipped; equally good samples: the
+    largest sample from the notch to fall_2). up_end_<p> and down_end_<p> are the same for levels from the last value, where p
+    percent of the fall from the peak to it are done; level_<p> and level_end_<p> the levels themselves. <point>_value are the
+    samples at the points, least_value the least one; low and high are the beat's bounds. Missing samples are skipped; equally good samples: the
     earliest; what isn't there is null. Beats of fewer than ``least`` samples are dropped.
     """
     offsets = [f"{p}_offset" for p in ("peak", "rise", "fall", "foot", "notch", "fall_1", "fall_2", "diastolic")]
-    values = ["begin_value", "end_value", "peak_value", "area", "area_over_line", "peak_over_line", "diastolic_value", "notch_value", *(f"{side}_{p}" for p in levels for side in ("up", "down"))]
+    marks = ("rise", "foot", "fall_1", "fall_2", "notch", "diastolic")
+    values = ["begin_value", "end_value", "peak_value", "least_value", "area", "area_over_line", "peak_over_line", *(f"{m}_value" for m in marks)]
+    values += [f"{side}_{end}{p}" for p in levels for end in ("", "end_") for side in ("up", "down", "level")]
     fields = ", ".join(["n_samples long", *(f"{c} long" for c in offsets), *(f"{c} double" for c in values)])
 
     def measure(value: np.ndarray, offset: np.ndarray, n: np.ndarray, _: np.ndarray) -> dict:
         with np.errstate(invalid="ignore", divide="ignore"):
             found = _shape(value, offset, n, levels) | _landmarks(value, offset, n)
+            found |= {f"{m}_value": _value_at(value, offset, found[f"{m}_offset"]) for m in marks}
         return found | {"keep": n >= least}
 
     return over_beats(df, bounds, keys, samples, measure, fields, carry=carry)
+
+
+def beat_waves(df: DataFrame, bounds: DataFrame, keys: list[str], samples: str, rate: str, *, most_sec: float = 3.0, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The known samples of each beat, of at most ``most_sec``, as an array ``wave``, and how much it moves.
+
+    ``moving`` is the percentage of steps larger than half a unit; beats without two known samples have none.
+    """
+
+    def measure(value: np.ndarray, offset: np.ndarray, n: np.ndarray, _: np.ndarray) -> dict:
+        steps = np.abs(np.diff(value, axis=1))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            moving = np.where(n > 1, (steps > 0.5).sum(1) / (n - 1) * 100, np.nan)
+        return {"wave": [v[:k] for v, k in zip(value, n, strict=True)], "moving": moving}
+
+    rates = df.select(*(quoted(k).alias(f"__r{i}") for i, k in enumerate(keys)), quoted(rate).alias("__rate")).distinct()
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & quoted(k).eqNullSafe(F.col(f"__r{i}"))
+    longest = F.coalesce(F.col("low") + F.floor(F.col("__rate") * most_sec), F.col("high"))
+    short = bounds.join(broadcast_if_small(rates), same, "left").withColumn("high", F.least("high", longest)).select(*bounds.columns)
+    return over_beats(df, short, keys, samples, measure, "wave array<double>, moving double", carry=carry)

@@ -116,20 +116,44 @@ def beat_landmarks(beats: DataFrame, keys: list[str], value: str, *, least: int
     )
 
 
+LEVELS = (20, 50, 80)
+POINTS = ("rise", "foot", "peak", "fall_1", "notch", "diastolic", "fall_2")
+
+
 def beat_timings(shapes: DataFrame, rate: str) -> DataFrame:
-    """Add times in ms to a table of shapes and landmarks: from half rise to each point, widths at each level, and relative amplitudes.
+    """Add times in ms to a table of beat measures: from half rise to each point and crossing, widths at each level, and relative amplitudes.
 
-    ``ms_half_to_<point>`` for peak, foot, notch and diastolic, ``ms_width_<p>`` between the crossings of a level,
-    ``pulse_ratio`` (peak - diastolic over peak) and ``notch_over_begin``. Unknown points give null.
+    ``ms_half_to_<point>`` for all points and for the begin, ``ms_half_to_<side>_<level>`` for the crossings of levels from the
+    first and the last value, ``ms_width_<level>`` between the crossings of a level, ``ms_length``, ``pulse_ratio`` (peak -
+    diastolic over peak), ``foot_ratio`` and ``peak_ratio`` (over the least value), and ``<point>_over_begin`` and
+    ``level_<level>_over_begin``. Unknown points give null.
     """
     ms = lambda x: x / quoted(rate) * 1000
-    out = {f"ms_half_to_{p}": ms(F.col(f"{p}_offset") - F.col("up_50")) for p in ("peak", "foot", "notch", "diastolic")}
-    out |= {f"ms_width_{p}": ms(F.abs(F.col(f"down_{p}") - F.col(f"up_{p}"))) for p in (20, 50, 80)}
+    levels = [f"{end}{p}" for end in ("", "end_") for p in LEVELS]
+    out = {f"ms_half_to_{p}": ms(F.col(f"{p}_offset") - F.col("up_50")) for p in POINTS} | {"ms_half_to_begin": ms(-F.col("up_50"))}
+    out |= {f"ms_half_to_{side}_{p}": ms(F.col(f"{side}_{p}") - F.col("up_50")) for p in levels for side in ("up", "down") if (side, p) != ("up", "50")}
+    out |= {f"ms_width_{p}": ms(F.abs(F.col(f"down_{p}") - F.col(f"up_{p}"))) for p in levels} | {"ms_length": ms(F.col("high") - F.col("low"))}
     out["pulse_ratio"] = F.try_divide(F.col("peak_value") - F.col("diastolic_value"), F.col("peak_value"))
-    out["notch_over_begin"] = F.col("notch_value") - F.col("begin_value")
+    out |= {f"{p}_ratio": F.try_divide(F.col(f"{p}_value"), F.col("least_value")) for p in ("foot", "peak")}
+    out |= {f"{p}_over_begin": F.col(f"{p}_value") - F.col("begin_value") for p in (*POINTS, "end")}
+    out |= {f"level_{p}_over_begin": F.col(f"level_{p}") - F.col("begin_value") for p in levels}
     return shapes.withColumns(out)
 
 
+def beat_positions(shapes: DataFrame, begin: str) -> DataFrame:
+    """Add ``idx_<point>``, ``idx_begin`` and ``idx_end``: positions in the recording of the points of beats whose channel begins at ``begin``."""
+    at = quoted(begin) + F.col("low")
+    out = {f"idx_{p}": at + F.col(f"{p}_offset") for p in POINTS} | {"idx_begin": at, "idx_end": quoted(begin) + F.col("high")}
+    return shapes.withColumns(out)
+
+
+def delays_from_peak(timings: DataFrame, r_sec: str, begin_sec: str) -> DataFrame:
+    """Add ``ms_r_to_<point>``: ms from the R peak at ``r_sec`` to each point of a beat that begins at ``begin_sec``; null without an R peak."""
+    begin = (quoted(begin_sec) - quoted(r_sec)) * 1000
+    half = begin - F.col("ms_half_to_begin")
+    return timings.withColumns({"ms_r_to_begin": begin} | {f"ms_r_to_{p}": half + F.col(f"ms_half_to_{p}") for p in POINTS})
+
+
 def level_crossings(df: DataFrame, keys: list[str], position: str, value: str, level: float) -> DataFrame:
     """Interpolated positions at which a channel passes ``level``: keys, position, direction ("up", "down"); touching isn't passing."""
     w = Window.partitionBy(*map(quoted, keys)).orderBy(quoted(position))

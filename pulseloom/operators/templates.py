@@ -155,8 +155,35 @@ def nearest_stretches(df: DataFrame, ids: list[str], samples: str, query: list[f
     return df.select(*map(quoted, ids), quoted(samples).alias("__x")).mapInArrow(run, schema)
 
 
-def quality_class(direct: Column, resampled: Column, warped: Column, clipping: Column) -> Column:
-    """E (excellent), A (acceptable) or Q (questionable) from three scores of 0..100 and the share of clipped samples."""
-    high = sum(((c >= 90).cast("int") for c in (direct, resampled, warped)), F.lit(0))
-    fair = sum(((c >= 70).cast("int") for c in (direct, resampled, warped)), F.lit(0))
-    return F.when((high >= 2) & (clipping < 0.5), "E").when((fair >= 2) & (clipping < 0.5), "A").otherwise("Q")
+def beat_quality(waves: DataFrame, keys: list[str], *, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Scores and class of each beat ``wave`` (keys, beat_no, wave, moving) against its key's template.
+
+    The template is the median at the offsets that at least half of the key's beats reach. Columns: keys, carry, beat_no,
+    direct, resampled (correlations, as 0..100), warped (100 less the mean distance along the warping of both in unit
+    range), moving, frechet and quality_class. Beats of fewer than two samples and flat ones score 0.
+    """
+    long = waves.select(*map(quoted, keys), F.posexplode("wave").alias("pos", "value"))
+    medians = template(long, keys, "pos", "value")
+    sizes = waves.where(F.size("wave") > 0).groupBy(*map(quoted, keys)).agg(F.count("*").alias("__beats"))
+    common = join_summary(medians, sizes, keys).where(F.col("n_waves") * 2 >= F.col("__beats"))
+    whole = common.groupBy(*map(quoted, keys)).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "template"))), lambda s: s["template"]).alias("__reference"))
+    ids = [*keys, *carry, "beat_no", "moving"]
+    scored = similarity_to_template(join_summary(waves, whole, keys), ids, "wave", "__reference")
+    score = lambda x: F.when(flat | x.isNull(), 0.0).otherwise(F.greatest(F.least(x, F.lit(1.0)), F.lit(0.0)) * 100)
+    flat = F.col("correlation").isNull()
+    four = {"direct": score(F.col("correlation")), "resampled": score(F.col("correlation_resampled")), "warped": score(1 - F.col("warp")), "moving": F.coalesce("moving", F.lit(0.0))}
+    rows = scored.select(*map(quoted, [*keys, *carry]), "beat_no", *(c.alias(n) for n, c in four.items()), "frechet")
+    return rows.withColumn("quality_class", quality_class(*map(F.col, four)))
+
+
+def quality_class(direct: Column, resampled: Column, warped: Column, moving: Column) -> Column:
+    """E (excellent), A (acceptable) or Q (questionable) from four scores of 0..100.
+
+    E: all at least 90. A: three at least 90; or the median of the first three at least 80, the first at least 50 and the
+    fourth at least 70; or all at least 70.
+    """
+    scores = (direct, resampled, warped, moving)
+    least = F.least(*scores)
+    high = sum(((c >= 90).cast("int") for c in scores), F.lit(0))
+    median = F.sort_array(F.array(direct, resampled, warped))[1]
+    return F.when(least >= 90, "E").when((high >= 3) | ((median >= 80) & (direct >= 50) & (moving >= 70)) | (least >= 70), "A").otherwise("Q")

@@ -43,11 +43,6 @@ b3 AS (SELECT *, lead(off) OVER (PARTITION BY rec_id, seg_id, beat_no ORDER BY o
 """
 
 
-def beat_samples(spark: SparkSession, d: str) -> DataFrame:
-    valleys = extrema(channel_arrays(spark, d)).where("kind = 'valley'").select(*SEG, "idx")
-    return B.samples_by_beat(signal(spark, d), valleys, SEG, "idx", "idx")
-
-
 def beat_measures(spark: SparkSession, d: str) -> DataFrame:
     """All measures of the beats between the valleys of the pulse wave excerpts."""
     own = channel_arrays(spark, d)
@@ -83,34 +78,85 @@ def beat_slopes(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(*SEG, "beat_no", "rise_offset", "fall_offset", rounded(height).alias("relative_height"))
 
 
-@query(SHAPES + """, m1 AS (SELECT *, CASE WHEN o < pk THEN round(fv + (top - fv) / nullif(pk - fo, 0) * (o - fo) - v, 9) WHEN o > pk THEN round(top + (lv - top) / nullif(lo - pk, 0) * (o - pk) - v, 9) END AS under, nv - v AS step FROM b2 WHERE n >= 4),
+LANDMARKS = """, m1 AS (SELECT *, CASE WHEN o < pk THEN round(fv + (top - fv) / nullif(pk - fo, 0) * (o - fo) - v, 9) WHEN o > pk THEN round(top + (lv - top) / nullif(lo - pk, 0) * (o - pk) - v, 9) END AS under, nv - v AS step FROM b2 WHERE n >= 4),
 m2 AS (SELECT *, max(CASE WHEN o < pk AND under IS NOT NULL THEN row(under, -o) END) OVER x AS ft, max(CASE WHEN o > pk AND under > 0 THEN row(under, -o) END) OVER x AS nt FROM m1 WINDOW x AS (PARTITION BY rec_id, seg_id, beat_no)),
-m3 AS (SELECT *, max(CASE WHEN step IS NOT NULL AND o >= pk AND o < -nt[2] THEN row(-step, -o) END) OVER x AS f1, max(CASE WHEN step IS NOT NULL AND o >= -nt[2] THEN row(-step, -o) END) OVER x AS f2 FROM m2 WINDOW x AS (PARTITION BY rec_id, seg_id, beat_no))
-SELECT rec_id, seg_id, beat_no::INT AS beat_no, any_value(pk) AS peak_offset, any_value(-ft[2]) AS foot_offset, any_value(-nt[2]) AS notch_offset, any_value(-f1[2]) AS fall_1_offset, any_value(-f2[2]) AS fall_2_offset,
-  -(max(CASE WHEN o >= -nt[2] AND o <= -f2[2] THEN row(v, -o) END))[2] AS diastolic_offset FROM m3 GROUP BY ALL""")
+m3 AS (SELECT *, max(CASE WHEN step IS NOT NULL AND o >= pk AND o < -nt[2] THEN row(-step, -o) END) OVER x AS f1, max(CASE WHEN step IS NOT NULL AND o >= -nt[2] THEN row(-step, -o) END) OVER x AS f2 FROM m2 WINDOW x AS (PARTITION BY rec_id, seg_id, beat_no)), d AS (SELECT rec_id, seg_id, beat_no::INT AS beat_no, any_value(pk) AS peak_offset, any_value(-ft[2]) AS foot_offset, any_value(-nt[2]) AS notch_offset, any_value(-f1[2]) AS fall_1_offset, any_value(-f2[2]) AS fall_2_offset,
+  -(max(CASE WHEN o >= -nt[2] AND o <= -f2[2] THEN row(v, -o) END))[2] AS diastolic_offset FROM m3 GROUP BY ALL)"""
+
+
+@query(SHAPES + LANDMARKS + " SELECT * FROM d")
 def beat_landmarks(spark: SparkSession, d: str) -> DataFrame:
     """Foot, notch, steepest falls and diastolic peak of each beat."""
     rows = beat_measures(spark, d)
     return rows.select(*SEG, "beat_no", *(f"{p}_offset" for p in ("peak", "foot", "notch", "fall_1", "fall_2", "diastolic")))
 
 
-@query()
+MARKS = SHAPES + LANDMARKS
+CROSSINGS = ", ".join(
+    f"max(CASE WHEN no <= pk AND v < fv + (top - fv) * {p / 100} AND nv >= fv + (top - fv) * {p / 100} THEN o + (fv + (top - fv) * {p / 100} - v) / slope END) AS u{p}, "
+    f"min(CASE WHEN o >= pk AND v >= fv + (top - fv) * {p / 100} AND nv < fv + (top - fv) * {p / 100} THEN o + (fv + (top - fv) * {p / 100} - v) / slope END) AS w{p}"
+    for p in (20, 50, 80)
+)
+AT = {p: f"max(CASE WHEN o = {p}_offset THEN v END)" for p in ("foot", "notch", "fall_1", "fall_2", "diastolic")}
+
+
+@query(MARKS + f""", pt AS (SELECT d.rec_id, d.seg_id, d.beat_no, any_value(fv) AS fv, any_value(lv) AS lv, any_value(mn) AS mn, any_value(top) AS top, any_value(pk) AS pk, any_value(foot_offset) AS foot, any_value(notch_offset) AS notch,
+  any_value(diastolic_offset) AS dia, {', '.join(f'{sql} AS v_{p}' for p, sql in AT.items())}, {CROSSINGS}
+  FROM d JOIN b3 USING (rec_id, seg_id, beat_no) GROUP BY d.rec_id, d.seg_id, d.beat_no), fr AS (SELECT DISTINCT rec_id, seg_id, fs FROM sig)
+SELECT rec_id, seg_id, beat_no, {', '.join(f'round(({c} - u50) / fs * 1000 + 3e-7, 4) AS ms_half_to_{p}' for p, c in (('peak', 'pk'), ('foot', 'foot'), ('notch', 'notch'), ('diastolic', 'dia')))},
+  {', '.join(f'round(abs(w{p} - u{p}) / fs * 1000 + 3e-7, 4) AS ms_width_{p}' for p in (20, 50, 80))},
+  round((top - v_diastolic) / nullif(top, 0), 4) AS pulse_ratio, {', '.join(f'round(v_{p} - fv, 6) AS {p}_over_begin' for p in AT)}, round(top / nullif(mn, 0), 4) AS peak_ratio FROM pt JOIN fr USING (rec_id, seg_id)""")
 def beat_timings(spark: SparkSession, d: str) -> DataFrame:
     """Times between the points of each beat, widths and relative amplitudes."""
-    names = [*(f"ms_half_to_{p}" for p in ("peak", "foot", "notch", "diastolic")), *(f"ms_width_{p}" for p in (20, 50, 80)), "pulse_ratio", "notch_over_begin"]
-    return B.beat_timings(beat_measures(spark, d), "fs").select(*SEG, "beat_no", *(rounded(c, 4).alias(c) for c in names))
+    rows = B.beat_timings(beat_measures(spark, d), "fs")
+    names = [*(f"ms_half_to_{p}" for p in ("peak", "foot", "notch", "diastolic")), *(f"ms_width_{p}" for p in (20, 50, 80))]
+    times = (rounded(F.col(c) + 3e-7, 4).alias(c) for c in names)
+    return rows.select(*SEG, "beat_no", *times, *(rounded(c, 4).alias(c) for c in ("pulse_ratio", "peak_ratio")), *(rounded(f"{p}_over_begin").alias(f"{p}_over_begin") for p in AT))
+
+
+END_LEVELS = ", ".join(
+    f"round(max(CASE WHEN no <= pk AND v < lv + (top - lv) * {(100 - p) / 100} AND nv >= lv + (top - lv) * {(100 - p) / 100} THEN o + (lv + (top - lv) * {(100 - p) / 100} - v) / slope END) + 3e-7, 4) AS up_end_{p}, "
+    f"round(min(CASE WHEN o >= pk AND v >= lv + (top - lv) * {(100 - p) / 100} AND nv < lv + (top - lv) * {(100 - p) / 100} THEN o + (lv + (top - lv) * {(100 - p) / 100} - v) / slope END) + 3e-7, 4) AS down_end_{p}"
+    for p in (20, 50, 80)
+)
+
+
+@query(SHAPES + f"SELECT rec_id, seg_id, beat_no::INT AS beat_no, {END_LEVELS} FROM b3 WHERE n >= 4 GROUP BY rec_id, seg_id, beat_no")
+def beat_end_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Where each beat passes the levels of its fall, counted from its last value."""
+    names = [f"{side}_end_{p}" for p in (20, 50, 80) for side in ("up", "down")]
+    return beat_measures(spark, d).select(*SEG, "beat_no", *(rounded(F.col(c) + 3e-7, 4).alias(c) for c in names))
+
+
+@query(MARKS + """, sb AS (SELECT rec_id, seg_id, max(ppg_begin) AS ppg_begin FROM segment WHERE ppg_begin IS NOT NULL GROUP BY ALL)
+SELECT d.rec_id, d.seg_id, d.beat_no, ppg_begin + low AS idx_begin, ppg_begin + high AS idx_end, (ppg_begin + low + foot_offset)::BIGINT AS idx_foot, (ppg_begin + low + peak_offset)::BIGINT AS idx_peak,
+  (ppg_begin + low + notch_offset)::BIGINT AS idx_notch, (ppg_begin + low + diastolic_offset)::BIGINT AS idx_diastolic FROM d JOIN vl USING (rec_id, seg_id, beat_no) JOIN sb USING (rec_id, seg_id)""")
+def beat_positions(spark: SparkSession, d: str) -> DataFrame:
+    """Positions of each beat's points in the recording."""
+    begins = load(spark, d, "segment").where("ppg_begin is not null").groupBy(*SEG).agg(F.max("ppg_begin").alias("ppg_begin"))
+    rows = B.beat_positions(beat_measures(spark, d).join(begins, SEG), "ppg_begin")
+    return rows.select(*SEG, "beat_no", *(f"idx_{p}" for p in ("begin", "end", "foot", "peak", "notch", "diastolic")))
+
+
+def beat_scores(spark: SparkSession, d: str) -> DataFrame:
+    own = channel_arrays(spark, d)
+    bounds = cut(C.beat_bounds(extrema(own).where("kind = 'valley'"), SEG))
+    waves = C.beat_waves(own, bounds, SEG, "x", "fs", carry=("fs",)).withColumn("sec", F.col("low") / F.col("fs"))
+    return T.beat_quality(cut(waves), SEG, carry=("sec",))
+
+
+@query()
+def beat_quality(spark: SparkSession, d: str) -> DataFrame:
+    """Four scores and the quality class of each beat against its segment's median beat."""
+    return beat_scores(spark, d).select(*SEG, "beat_no", *(rounded(c, 4).alias(c) for c in ("direct", "resampled", "warped", "moving", "frechet")), "quality_class")
 
 
 @query()
 def block_quality(spark: SparkSession, d: str) -> DataFrame:
-    """Mean correlation of beats with their segment's template, in blocks of 5 s, and the quality of the block."""
-    samples = beat_samples(spark, d).select(*SEG, "beat_no", "offset", "idx", "fs", "value")
-    templates = T.template(samples, SEG, "offset", "value")
-    scores = T.correlation_to_template(samples, templates, SEG, "beat_no", "offset", "value")
-    begins = samples.groupBy(*SEG, "beat_no").agg(F.floor(F.min("idx") / F.max("fs") / 5).alias("block"))
-    blocks = scores.join(begins, [*SEG, "beat_no"]).groupBy(*SEG, "block").agg(F.count("*").alias("n_beats"), (F.avg("correlation") * 100).alias("quality"))
-    grade = T.quality_class(F.col("quality"), F.col("quality"), F.col("quality"), F.lit(0.0))
-    return blocks.select(*SEG, "block", "n_beats", rounded("quality", 4).alias("quality"), grade.alias("grade"))
+    """Mean scores of the beats in blocks of 30 s, and the class of the block."""
+    names = ("direct", "resampled", "warped", "moving")
+    blocks = beat_scores(spark, d).groupBy(*SEG, F.floor(F.col("sec") / 30).alias("block")).agg(F.count("*").alias("n_beats"), *(F.avg(c).alias(c) for c in names))
+    return blocks.select(*SEG, "block", "n_beats", *(rounded(c, 4).alias(c) for c in names), T.quality_class(*map(F.col, names)).alias("quality_class"))
 
 
 @query(f"""WITH {WAVES_SQL}, c AS (SELECT label, vec_id, pos, value AS v, lead(value) OVER w AS n, lead(pos) OVER w AS p FROM wv WINDOW w AS (PARTITION BY vec_id ORDER BY pos))

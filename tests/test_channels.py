@@ -94,3 +94,32 @@ def test_long_frames_empty_tables_and_null_keys(spark, arrays):
     assert C.beat_measures(none, bounds, ["k"], "x").collect() == []
     assert C.beat_measures(arrays, bounds.limit(0), ["k"], "x").collect() == []
     assert [r["k"] for r in C.beat_measures(arrays, bounds, ["k"], "x").collect()] == ["a"]
+
+
+def test_beat_quality_tells_odd_beats(spark):
+    from pulseloom.operators import templates as T
+
+    rng = np.random.default_rng(7)
+    beat = 100 * np.sin(np.linspace(0, np.pi, 80)) ** 2
+    x = np.concatenate([beat * rng.uniform(0.95, 1.05) + rng.normal(0, 0.3, 80) if i != 6 else rng.normal(50, 30, 80) for i in range(12)])
+    df = spark.createDataFrame([("a", 100.0, [float(v) for v in x]), (None, 100.0, [1.0] * 300)], "k string, fs double, x array<double>")
+    bounds = spark.createDataFrame([("a", i, i * 80, (i + 1) * 80) for i in range(11)] + [(None, 0, 0, 90), ("zz", 0, 0, 5)], "k string, beat_no int, low long, high long")
+    rows = {(r["k"], r["beat_no"]): r for r in T.beat_quality(C.beat_waves(df, bounds, ["k"], "x", "fs"), ["k"]).collect()}
+    assert len(rows) == 12
+    assert all(rows["a", i]["direct"] > 95 and rows["a", i]["quality_class"] in "EA" for i in range(11) if i != 6)
+    assert rows["a", 6]["direct"] < 60 and rows["a", 6]["quality_class"] == "Q"
+    assert (rows[None, 0]["direct"], rows[None, 0]["moving"], rows[None, 0]["quality_class"]) == (0, 0, "Q")
+    capped = C.beat_waves(df, spark.createDataFrame([("a", 0, 0, 900)], "k string, beat_no int, low long, high long"), ["k"], "x", "fs").first()
+    assert len(capped["wave"]) == 301
+
+
+def test_timings_positions_and_delays_of_a_plain_beat(spark):
+    x = [0.0, 2.0, 6.0, 10.0, 8.0, 5.0, 6.0, 3.0, 1.0]
+    df = spark.createDataFrame([("a", 100.0, 1000, x)], "k string, fs double, begin long, x array<double>")
+    bounds = spark.createDataFrame([("a", 0, 0, 8)], "k string, beat_no int, low long, high long")
+    rows = C.beat_measures(df, bounds, ["k"], "x", carry=("fs", "begin"))
+    got = B.delays_from_peak(B.beat_positions(B.beat_timings(rows, "fs"), "begin").withColumns({"r": F.lit(9.9), "at": F.lit(10.0)}), "r", "at").first()
+    assert (got["idx_begin"], got["idx_peak"], got["idx_end"], got["up_50"]) == (1000, 1003, 1008, 1.75)
+    assert got["up_end_80"] == pytest.approx(1 + 0.8 / 4) and got["level_end_80"] == pytest.approx(2.8)  # a fifth of the way from the end up to the peak
+    assert got["ms_half_to_peak"] == pytest.approx(12.5) and got["ms_length"] == 80 and got["peak_over_begin"] == 10 and got["end_over_begin"] == 1
+    assert got["ms_r_to_begin"] == pytest.approx(100) and got["ms_r_to_peak"] == pytest.approx(130)

@@ -208,8 +208,9 @@ def test_similarity_edge_cases(spark):
 
 
 def test_quality_classes(spark):
-    df = spark.createDataFrame([(95.0, 92.0, 10.0, 0.0), (75.0, 80.0, 10.0, 0.0), (95.0, 95.0, 95.0, 0.9), (0.0, 0.0, 0.0, 0.0)], "a double, b double, c double, d double")
-    assert [r[0] for r in df.select(T.quality_class(*map(F.col, "abcd"))).collect()] == ["E", "A", "Q", "Q"]
+    scores = [(95.0, 92.0, 91.0, 90.0), (95.0, 92.0, 10.0, 91.0), (85.0, 82.0, 40.0, 75.0), (75.0, 80.0, 72.0, 70.0), (75.0, 80.0, 10.0, 0.0), (0.0, 0.0, 0.0, 0.0)]
+    df = spark.createDataFrame(scores, "a double, b double, c double, d double")
+    assert [r[0] for r in df.select(T.quality_class(*map(F.col, "abcd"))).collect()] == ["E", "A", "A", "A", "Q", "Q"]
 
 
 def test_nearest_stretch_is_the_planted_one(spark):
