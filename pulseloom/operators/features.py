@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulseloom.functions.common import join_summary, quoted
+from pulseloom.operators.intervals import join_points
 from pulseloom.operators.moving import _number
 
 
@@ -176,6 +177,31 @@ def segment_offsets(segments: DataFrame, keys: list[str], order: str, length: st
     return segments.withColumn(out, F.coalesce(F.sum(quoted(length)).over(w), F.lit(0)))
 
 
+def original_positions(points: DataFrame, pieces: DataFrame, keys: list[str], at: str, offset: str, length: str, begin: str, *, cell: int = 1 << 20, out: str = "position") -> DataFrame:
+    """Map positions in an entity's pieces laid one behind the other back to the recording: adds ``out``, and the columns of ``pieces``.
+
+    ``pieces`` has each piece's ``offset`` among the others, its ``length`` and its ``begin`` in the recording. Positions in
+    no piece are dropped.
+    """
+    ends = pieces.withColumns({"__low": quoted(offset), "__high": quoted(offset) + quoted(length) - 1})
+    joined = join_points(ends, points, keys, at, "__low", "__high", cell=cell)
+    return joined.withColumn(out, quoted(begin) + quoted(at) - quoted(offset)).drop("__low", "__high")
+
+
+def concatenated(rows: DataFrame, keys: list[str], order: list[str], *, cell: float, out: str = "position") -> DataFrame:
+    """Number an entity's rows from 0 in ``order``, as in the series that is left when others were taken out.
+
+    ``order[0]`` is a number; rows are numbered inside cells of ``cell`` units of it, and the cells' sizes are summed up,
+    so no entity is one window. Rows without that number are dropped.
+    """
+    own = rows.where(quoted(order[0]).isNotNull()).withColumn("__cell", F.floor(quoted(order[0]) / cell))
+    sizes = own.groupBy(*map(quoted, keys), "__cell").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(*map(quoted, keys)).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*map(quoted, keys), "__cell", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    place = F.row_number().over(Window.partitionBy(*map(quoted, keys), "__cell").orderBy(*map(quoted, order))) - 1
+    return join_summary(own.withColumn("__place", place), starts, [*keys, "__cell"]).withColumn(out, F.col("__start") + F.col("__place")).drop("__cell", "__start", "__place")
+
+
 def edge_flags(df: DataFrame, keys: list[str], part: str, order: str, out: str = "is_edge") -> DataFrame:
     """Mark the first and last row of each part of an entity, but not the entity's very first and last row.
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulseloom.functions.common import broadcast_if_small, cut, quoted
+from pulseloom.functions.common import broadcast_if_small, cut, join_summary, quoted
 from pulseloom.functions.kernels import second_valley
 
 
@@ -153,6 +153,33 @@ def mutual_matches(pairs: DataFrame, keys: list[str], left_at: str, right_at: st
     return pairs.where(quoted(right_at).isNotNull()).groupBy(*map(quoted, keys), quoted(right_at)).agg(F.max(quoted(left_at)).alias(left_at))
 
 
+def nearest_in_series(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str, *, cell: float) -> DataFrame:
+    """Rows (keys, left_at, right_at): for each distinct left time the nearest right one of the same key, however far; of two as near the earlier.
+
+    Times are ordered inside cells of ``cell`` units; only the first and last right time of each cell are carried to the
+    others. Null times don't count; equal null keys meet; left times of keys without a right one get null.
+    """
+    names = [f"k{i}" for i in range(len(keys))]
+    times = lambda df, at: df.where(quoted(at).isNotNull()).select(*(quoted(k).alias(a) for k, a in zip(keys, names, strict=True)), quoted(at).alias("t")).distinct()
+    one, other = times(left, left_at), times(right, right_at)
+    both = one.withColumn("r", F.lit(None).cast(other.schema["t"].dataType)).unionByName(other.withColumn("r", F.col("t"))).withColumn("cell", F.floor(F.col("t") / cell))
+    place = Window.partitionBy(*names, "cell").orderBy("t", F.col("r").asc_nulls_last())
+    near = {"before": F.last("r", ignorenulls=True).over(place.rowsBetween(Window.unboundedPreceding, 0)), "after": F.first("r", ignorenulls=True).over(place.rowsBetween(0, Window.unboundedFollowing))}
+    rows = both.withColumns(near).where("r is null").drop("r")
+    cells = both.groupBy(*names, "cell").agg(F.min("r").alias("low"), F.max("r").alias("high"))
+    order = Window.partitionBy(*names).orderBy("cell")
+    carried = cells.select(
+        *names,
+        "cell",
+        F.last("high", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"),
+        F.first("low", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("later"),
+    )
+    rows = join_summary(rows, carried, [*names, "cell"])
+    before, after = F.coalesce("before", "earlier"), F.coalesce("after", "later")
+    nearest = F.when(before.isNull() | (after - F.col("t") < F.col("t") - before), after).otherwise(before)
+    return rows.select(*(F.col(a).alias(k) for k, a in zip(keys, names, strict=True)), F.col("t").alias(left_at), nearest.alias(right_at))
+
+
 def nearest_grid_index(seconds: Column, rate: Column, length: Column | None = None) -> Column:
     """Index of the sample nearest to a time on a regular grid, within 0..length-1."""
     index = F.greatest(F.round(seconds * rate).cast("bigint"), F.lit(0).cast("bigint"))

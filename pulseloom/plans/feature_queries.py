@@ -15,7 +15,7 @@ from pulseloom.operators import templates as T
 from pulseloom.operators import windows as S
 from pulseloom.operators.moving import exact_median
 from pulseloom.plans.signal_queries import EXTREMA, extrema
-from pulseloom.plans.views import BEATS_SQL, EPOCHS_SQL, MERGED_SQL, SEG, WAVES_SQL, beats, channel_arrays, epochs, markings, rounded, signal, signal_sql, waves
+from pulseloom.plans.views import BEATS_SQL, EPOCHS_SQL, MERGED_SQL, SEG, WAVES_SQL, beats, channel_arrays, epochs, events_of, events_sql, markings, rounded, signal, signal_sql, waves
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -183,6 +183,18 @@ def offset_concat(spark: SparkSession, d: str) -> DataFrame:
     return B.segment_offsets(own, ["rec_id"], "seg_id", "length", "offset_samples").select(*SEG, "offset_samples")
 
 
+@query(f"""WITH sg AS (SELECT rec_id, seg_id, max(ecg_begin) AS first, max(ecg_end - ecg_begin) AS length, max(ecg_rate) AS fs FROM segment GROUP BY ALL),
+o AS (SELECT *, coalesce(sum(length) OVER (PARTITION BY rec_id ORDER BY seg_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM sg), {events_sql('r_peak', 'p')}
+SELECT p.rec_id, p.seg_id, (off + idx)::BIGINT AS at, (first + idx)::BIGINT AS position, round((first + idx) / fs, 6) AS sec FROM p JOIN o ON p.rec_id = o.rec_id AND p.seg_id = o.seg_id WHERE idx < length""")
+def original_positions(spark: SparkSession, d: str) -> DataFrame:
+    """R peaks of the segments laid one behind the other, and where they are in the recording."""
+    segments = load(spark, d, "segment").groupBy(*SEG).agg(F.max("ecg_begin").alias("first"), F.max(F.col("ecg_end") - F.col("ecg_begin")).alias("length"), F.max("ecg_rate").alias("fs"))
+    pieces = B.segment_offsets(segments, ["rec_id"], "seg_id", "length", "off")
+    peaks = events_of(spark, d, "r_peak").join(pieces.select(*SEG, "off", "length"), SEG).where("idx < length").select("rec_id", (F.col("off") + F.col("idx")).alias("at"))
+    rows = B.original_positions(peaks, pieces, ["rec_id"], "at", "off", "length", "first")
+    return rows.select(*SEG, "at", "position", rounded(F.col("position") / F.col("fs")).alias("sec"))
+
+
 @query(f"""WITH {BEATS_SQL}, t AS (SELECT * FROM beats WHERE sec IS NOT NULL), e AS (SELECT *, (sec = min(sec) OVER p OR sec = max(sec) OVER p) AND NOT (sec = min(sec) OVER q OR sec = max(sec) OVER q) AS is_edge
   FROM t WINDOW p AS (PARTITION BY rec_id, seg_id), q AS (PARTITION BY rec_id)) SELECT rec_id, seg_id, beat_no, is_edge FROM e""")
 def first_last_flags(spark: SparkSession, d: str) -> DataFrame:

@@ -11,6 +11,8 @@ from pulseloom.functions.common import broadcast_if_small, load
 from pulseloom.operators import intervals as I
 from pulseloom.operators import matching as M
 from pulseloom.operators import runs as R
+from pulseloom.operators.features import concatenated
+from pulseloom.operators.interval_islands import PERIOD, merge_intervals
 from pulseloom.plans.views import BEATS_SQL, EPOCHS_SQL, MARKINGS_SQL, MERGED_SQL, SEG, beats, epochs, events_of, events_sql, markings, rates, rounded, signal
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,7 +121,8 @@ def split_at_bins(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {MERGED_SQL} SELECT rec_id, s, e FROM merged")
 def merge_overlaps(spark: SparkSession, d: str) -> DataFrame:
     """Union of a recording's markings, whatever their type."""
-    return I.merge_overlaps(markings(spark, d), ["rec_id"], "s", "e")
+    merged = merge_intervals(markings(spark, d), ["rec_id"], "s", "e", touch=0).where(F.col("kind") == PERIOD)
+    return merged.select("rec_id", F.col("start").alias("s"), F.col("end").alias("e"))
 
 
 FREE_SQL = f"""{MERGED_SQL}, lim AS (SELECT rec_id, max(e) + 100000 AS high FROM nz GROUP BY rec_id),
@@ -159,6 +162,13 @@ def points_outside_noise(spark: SparkSession, d: str) -> DataFrame:
     return I.points_in_intervals(_beat_points(spark, d), merge_overlaps(spark, d), ["rec_id"], "at", "s", "e", cell=60000, keep="outside")
 
 
+@query(POINTS_SQL + """, o AS (SELECT * FROM pt WHERE NOT EXISTS (SELECT 1 FROM merged m WHERE m.rec_id = pt.rec_id AND pt.at BETWEEN m.s AND m.e))
+SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY o.at, o.seg_id, o.beat_no) - 1 AS position FROM o""")
+def noise_free_series(spark: SparkSession, d: str) -> DataFrame:
+    """The beats outside all markings as one series of each recording, with its time axis."""
+    return concatenated(points_outside_noise(spark, d), ["rec_id"], ["at", "seg_id", "beat_no"], cell=600_000)
+
+
 @query(f"""WITH {MARKINGS_SQL}, a AS (SELECT rec_id, s, e FROM nz WHERE label = 'PPG'), b AS (SELECT rec_id, s, e FROM nz WHERE label = 'ECG')
 SELECT a.rec_id, greatest(a.s, b.s) AS s, least(a.e, b.e) AS e FROM a JOIN b ON a.rec_id = b.rec_id AND a.s <= b.e AND b.s <= a.e""")
 def interval_overlaps(spark: SparkSession, d: str) -> DataFrame:
@@ -299,6 +309,16 @@ def nearest_grid_index(spark: SparkSession, d: str) -> DataFrame:
     return own.select(*SEG, M.nearest_grid_index(F.col("ecg_begin") / F.col("er"), F.col("ppg_rate")).alias("ppg_index"))
 
 
+@query(f"""WITH {events_sql('r_peak', 'p')}, {events_sql('ppg_valley', 'v')}, pd AS (SELECT DISTINCT rec_id, seg_id, sec FROM p), b AS (SELECT pd.*, v.sec AS lo FROM pd ASOF LEFT JOIN v ON pd.rec_id = v.rec_id AND pd.seg_id = v.seg_id AND pd.sec >= v.sec),
+a AS (SELECT b.*, v.sec AS hi FROM b ASOF LEFT JOIN v ON b.rec_id = v.rec_id AND b.seg_id = v.seg_id AND b.sec <= v.sec)
+SELECT rec_id, seg_id, round(sec, 6) AS r_sec, round(CASE WHEN lo IS NULL OR hi - sec < sec - lo THEN hi ELSE lo END, 6) AS ppg_sec FROM a""")
+def nearest_in_series(spark: SparkSession, d: str) -> DataFrame:
+    """The pulse valley nearest to each R peak, however far."""
+    peaks = events_of(spark, d, "r_peak").select(*SEG, F.col("sec").alias("r_sec"))
+    rows = M.nearest_in_series(peaks, events_of(spark, d, "ppg_valley").select(*SEG, F.col("sec").alias("ppg_sec")), SEG, "r_sec", "ppg_sec", cell=600)
+    return rows.select(*SEG, rounded("r_sec").alias("r_sec"), rounded("ppg_sec").alias("ppg_sec"))
+
+
 PAIR_SQL = f"""WITH {events_sql('r_peak', 'p')}, {events_sql('ppg_valley', 'v')},
 q AS (SELECT *, coalesce(lag(sec) OVER w, 0) AS lo, coalesce(lead(sec) OVER w, sec + 4) AS hi FROM p WINDOW w AS (PARTITION BY rec_id, seg_id ORDER BY sec)),
 k AS (SELECT q.rec_id, q.seg_id, q.sec AS r_sec, v.sec AS ppg_sec, row_number() OVER (PARTITION BY q.rec_id, q.seg_id, q.sec ORDER BY abs(v.sec - q.sec), v.sec) AS place

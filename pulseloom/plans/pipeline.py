@@ -1,8 +1,8 @@
 """The three stages, each on its own: clean segments, beats and pairs, beat features.
 
-Each stage takes and returns DataFrames. Stages B and C read the segments' excerpts, not what the stage before returns;
-R peaks come from the one adaptive detector, without a vote, and window statistics are queries of their own. :func:`run_stage` keeps a stage's result as Parquet by recording and computes
-only recordings that are not there yet.
+Each stage takes and returns DataFrames. Stages B and C read the segments' excerpts, not what the stage before returns; window
+statistics are queries of their own. :func:`run_stage` keeps a stage's result as Parquet and computes only recordings that are
+not there yet.
 """
 
 from __future__ import annotations
@@ -72,10 +72,13 @@ def beat_features(channels: DataFrame) -> DataFrame:
 
 
 def run_stage(spark: SparkSession, path: str, work: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Apply ``stage`` to the recordings of ``work`` that ``path`` doesn't hold yet, append the result, and return the whole."""
+    """Apply ``stage`` to the recordings of ``work`` that ``path`` doesn't hold yet, append the result, and return the whole.
+
+    The files of a run are as many as its partitions, not its recordings.
+    """
     todo = not_done(work, path, ["rec_id"])
     if not todo.isEmpty():
-        stage(todo).write.mode("append").partitionBy("rec_id").parquet(path)
+        stage(todo).write.mode("append").parquet(path)
     return existing(spark, path, work)
 
 

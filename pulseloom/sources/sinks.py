@@ -10,14 +10,19 @@ from pulseloom.functions.common import quoted
 from pulseloom.operators.windows import unpivot
 
 
-def write_feature_files(df: DataFrame, path: str, ids: list[str], features: list[str], *, rename: dict[str, str] | None = None) -> None:
-    """One folder for each recording and feature, with the feature's values in order of the other ids."""
+def write_feature_files(df: DataFrame, path: str, ids: list[str], features: list[str], *, rename: dict[str, str] | None = None, buckets: int = 256) -> None:
+    """One folder for each feature and bucket of recordings, with the feature's values in order of the ids.
+
+    Recordings share ``buckets`` folders by a hash, so their number doesn't set the number of files; rows are sorted by
+    recording, so a reader that asks for one skips the rest by the files' statistics.
+    """
     long = unpivot(df, ids, features)
     if rename:
         names = F.create_map(*(F.lit(x) for pair in rename.items() for x in pair))
         long = long.withColumn("feature", F.coalesce(F.try_element_at(names, F.col("feature")), F.col("feature")))
-    laid = long.repartition("rec_id", "feature").sortWithinPartitions(*map(quoted, ids), "feature")
-    laid.write.partitionBy("rec_id", "feature").mode("overwrite").parquet(path)
+    long = long.withColumn("bucket", F.pmod(F.xxhash64("rec_id"), F.lit(buckets)))
+    laid = long.repartition("feature", "bucket").sortWithinPartitions("feature", "bucket", *map(quoted, ids))
+    laid.write.partitionBy("feature", "bucket").mode("overwrite").parquet(path)
 
 
 def append_windows(df: DataFrame, path: str, *, digits: int = 15) -> None:

@@ -264,3 +264,34 @@ def test_hot_entities_are_joined_to_their_bounds(spark):
     since = {r["at"]: r["since_onset"] for r in B.sleep_onsets(df, ["k"], "at", "stage").collect()}
     first = {key: min(r[2] for r in rows_ if r[0] == key and r[3] != 0) for key in ("hot", None)}
     assert all(since[r[2]] == r[2] - first[r[0]] for r in rows_)
+
+
+def test_nearest_in_series_over_cells(spark):
+    rng = random.Random(8)
+    left = [(k, rng.randrange(400) / 2) for k in ["a"] * 60 + [None] * 5 + ["none"]] + [("a", None)]
+    right = [(k, rng.randrange(400) / 2) for k in ["a"] * 25 + [None] * 3 + ["other"]]
+    frames = spark.createDataFrame(left, "k string, t double"), spark.createDataFrame(right, "k string, u double")
+    for cell in (7, 1000):
+        got = {(r["k"], r["t"]): r["u"] for r in M.nearest_in_series(*frames, ["k"], "t", "u", cell=cell).collect()}
+        assert set(got) == {(k, t) for k, t in left if t is not None}
+        for (k, t), u in got.items():
+            own = [v for j, v in right if j == k]
+            assert u == (min(own, key=lambda v: (abs(v - t), v)) if own else None)
+    assert M.nearest_in_series(frames[0].limit(0), frames[1], ["k"], "t", "u", cell=7).collect() == []
+
+
+def test_concatenated_rows_and_their_way_back(spark):
+    from pulseloom.operators import features as B
+
+    rng = random.Random(9)
+    data = [(k, rng.randrange(300), i) for i, k in enumerate(["a"] * 70 + [None] * 10)] + [("a", None, 99)]
+    df = spark.createDataFrame(data, "k string, at long, i int")
+    for cell in (11, 1000):
+        got = {r["i"]: r["position"] for r in B.concatenated(df, ["k"], ["at", "i"], cell=cell).collect()}
+        for k in ("a", None):
+            own = sorted((a, i) for j, a, i in data if j == k and a is not None)
+            assert [got[i] for _, i in own] == list(range(len(own)))
+    pieces = spark.createDataFrame([("a", 0, 10, 100), ("a", 10, 5, 300)], "k string, offset long, length long, begin long")
+    points = spark.createDataFrame([("a", p) for p in (0, 9, 10, 14, 15)] + [("b", 1)], "k string, at long")
+    got = {r["at"]: r["position"] for r in B.original_positions(points, pieces, ["k"], "at", "offset", "length", "begin", cell=4).collect()}
+    assert got == {0: 100, 9: 109, 10: 300, 14: 304}
