@@ -59,18 +59,17 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
-def gram_keys(words: np.ndarray, n: int) -> np.ndarray:
-    """A 64-bit key for each n-gram of word hashes."""
-    if len(words) < n:
-        return np.zeros(0, np.uint64)
-    length = len(words) - n + 1
-    own = words.astype(np.uint64)
-    key = np.full(length, n, np.uint64)
+def gram_keys(words: np.ndarray, lengths: list[int]) -> list[np.ndarray]:
+    """A 64-bit key for each n-gram of word hashes, for each length n."""
+    own, found = words.astype(np.uint64), {}
+    key = np.full(len(own), 1, np.uint64)
     with np.errstate(over="ignore"):
-        for k in range(n):
-            key = (key ^ own[k : k + length]) * _MIX
+        for k in range(max(lengths)):
+            key = (key[: max(len(own) - k, 0)] ^ own[k:]) * _MIX
             key ^= key >> np.uint64(29)
-    return key
+            if k + 1 in lengths:
+                found[k + 1] = key * np.uint64(2 * k + 3)  # the same words make different keys as parts of longer ones
+    return [found[n] for n in lengths]
 
 
 def _slots(keys: np.ndarray, bits: int) -> Iterator[np.ndarray]:
@@ -122,21 +121,26 @@ def align(pairs: list[tuple[np.ndarray, np.ndarray]], match: int = 2, mismatch:
     """
     n = len(pairs)
     rows, columns = (max((len(p[k]) for p in pairs), default=0) for k in (0, 1))
-    a, b = np.full((n, rows), -2, np.int64), np.full((n, columns), -3, np.int64)
+    kind = np.int16 if match * (rows + columns) < 30_000 else np.int32
+    a, b = np.full((rows, n), -2, np.int64), np.full((columns, n), -3, np.int64)  # a pair is a column, so that all steps run along pairs
     for k, (x, y) in enumerate(pairs):
-        a[k, : len(x)] = x
-        b[k, : len(y)] = y
-    score, run = np.zeros((n, columns + 1), np.int32), np.zeros((n, columns + 1), np.int32)
-    slope = (-gap * np.arange(columns + 1)).astype(np.int32)
-    best, longest = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        a[: len(x), k] = x
+        b[: len(y), k] = y
+    score, run = np.zeros((columns + 1, n), kind), np.zeros((columns + 1, n), kind)
+    best, longest = score.copy(), run.copy()
+    slope = (-gap * np.arange(columns + 1)).astype(kind)[:, None]
+    win, step = kind(match - mismatch), kind(mismatch)
     for i in range(rows):
-        same = b == a[:, i : i + 1]
-        run[:, 1:] = np.where(same, run[:, :-1] + 1, 0)
+        same = b == a[i]
         row = np.zeros_like(score)
-        row[:, 1:] = np.maximum(0, np.maximum(score[:, :-1] + np.where(same, match, mismatch), score[:, 1:] + gap))
-        score = np.maximum.accumulate(row + slope, axis=1) - slope  # gaps along b
-        best, longest = np.maximum(best, score.max(1)), np.maximum(longest, run.max(1))
-    return best, longest
+        row[1:] = np.maximum(score[:-1] + same * win + step, score[1:] + kind(gap))
+        np.maximum(row, 0, out=row)
+        run[1:] = (run[:-1] + kind(1)) * same
+        row += slope
+        score = np.maximum.accumulate(row, axis=0) - slope  # gaps along b
+        np.maximum(best, score, out=best)
+        np.maximum(longest, run, out=longest)
+    return best.max(0).astype(np.int64), longest.max(0).astype(np.int64)
 
 
 def _passages(items: DataFrame, item_id: str, passage: str) -> DataFrame:
@@ -159,8 +163,7 @@ def _grams_of(passages: DataFrame, lengths: list[int]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, words in zip(batch.column("k").to_pylist(), batch.column("words"), strict=True):
-                for n in lengths:
-                    keys = gram_keys(words.values.to_numpy(), n)
+                for n, keys in zip(lengths, gram_keys(words.values.to_numpy(), lengths), strict=True):
                     size = len(keys)
                     columns = [keys.view(np.int64), np.full(size, n, np.int32), np.full(size, k), np.arange(size, dtype=np.int32), np.full(size, size - 1, np.int32)]
                     yield pa.record_batch([pa.array(c) for c in columns], names=["gram", "n", "k", "item_at", "last_at"])
@@ -181,8 +184,7 @@ def _hits(docs: DataFrame, packed: np.ndarray, lengths: list[int], margin: int)
                     continue
                 words = hashes.of(words_of(text))
                 places, keys = [], []
-                for n in lengths:
-                    every = gram_keys(words, n)
+                for every in gram_keys(words, lengths):
                     at = _maybe(every, own)
                     places.append(at)
                     keys.append(every[at])

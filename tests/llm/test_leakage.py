@@ -110,9 +110,9 @@ def test_words_and_alignment():
     pairs = [(a, a), (a, np.array([9, 1, 2, 3, 8, 4, 5])), (a, np.array([1, 2, 4, 5])), (a, np.array([0, 0])), (a, a[:0])]
     score, run = align(pairs)
     assert score.tolist() == [10, 9, 7, 0, 0] and run.tolist() == [5, 3, 2, 0, 0]
-    keys = gram_keys(np.array([1, 2, 3, 7, 1, 2, 3]), 3)
-    assert keys[0] == keys[4] and len(set(keys.tolist())) == 4
-    assert len(gram_keys(np.array([1, 2]), 3)) == 0
+    pairs, single = gram_keys(np.array([1, 2, 3, 7, 1, 2, 3]), [2, 3])
+    assert single[0] == single[4] and len(set(single.tolist())) == 4 and len(pairs) == 6 and not set(pairs.tolist()) & set(single.tolist())
+    assert [len(k) for k in gram_keys(np.array([1, 2]), [5, 3, 2])] == [0, 0, 1]
 
 
 def test_hidden_cases_at_small_scale(spark, sf_dir):
