@@ -117,7 +117,7 @@ def frame_mean(x: np.ndarray, before: int, after: int) -> np.ndarray:
     low, high = _bounds(len(x), before, after)
     n = _sums(known, low, high)
     with np.errstate(invalid="ignore", divide="ignore"):
-        return np.where(n > 0, middle + _sums(np.where(known, x - middle, 0.0), low, high) / n, np.nan)
+        return np.where(n > 0, (_sums(np.where(known, x - middle, 0.0), low, high) + middle * n) / n, np.nan)
 
 
 def frame_std(x: np.ndarray, before: int, after: int) -> np.ndarray:
@@ -142,7 +142,7 @@ def boxcar(x: np.ndarray, width: int, passes: int, tolerance: float = 0.5) -> np
         bounds = [_bounds(len(x), *f) for f in frames]
         weight = sum(_sums(known, *b) for b in bounds) / len(frames)
         with np.errstate(invalid="ignore", divide="ignore"):
-            x = np.where(weight >= least, middle + sum(_sums(centred, *b) for b in bounds) / len(frames) / weight, np.nan)
+            x = np.where(weight >= least, (sum(_sums(centred, *b) for b in bounds) / len(frames) + middle * weight) / weight, np.nan)
     return x
 
 
